@@ -60,17 +60,25 @@ def rescaling_is_safe(n_periods: int, cfg: KernelConfig) -> bool:
     return n_periods * math.log(1 / cfg.xi) <= 200
 
 
+# Rows of day-keyed shocks (date, topic, z) that are safe to hold in every executor: about 100 MB.
+BROADCAST_ROWS = 2_000_000
+
+
 def period_products(returns: DataFrame, shocks: DataFrame, calendar: DataFrame, n_topics: int, cfg: KernelConfig) -> DataFrame:
     """Sums of rz, r, z and the count per (asset, topic, period), whole and inside the window.
 
-    Returns are laid out by asset first; the join with the day-keyed shocks keeps
-    that layout when it is broadcast, so the sums and the later windows run
-    without another shuffle. The planner broadcasts only below its size limit.
+    Shocks number at most days times topics. Below ``BROADCAST_ROWS`` they are
+    broadcast and returns are laid out by asset once: the sums and the later
+    windows then need no further shuffle. Above it the two sides meet by day and
+    the sums combine map-side before they are shuffled.
     """
     usable = shocks.join(complete_days(shocks, n_topics), "date", "left_semi")
-    days = calendar.select("date", "period_id", "back")
-    by_asset = returns.where("ret IS NOT NULL").repartition("asset")
-    daily = by_asset.join(usable.join(days, "date"), "date")
+    keyed = usable.join(calendar.select("date", "period_id", "back"), "date")
+    observed = returns.where("ret IS NOT NULL")
+    if calendar.count() * n_topics <= BROADCAST_ROWS:
+        daily = observed.repartition("asset").join(F.broadcast(keyed), "date")
+    else:
+        daily = observed.join(keyed, "date")
     r, z, inside = F.col("ret"), F.col("z"), F.col("back") > cfg.skip_days
 
     def both(expr: Column, name: str) -> list[Column]:

@@ -45,7 +45,8 @@ class Tables:
         return self.calendar_of("M")
 
     def calendar_of(self, period: str) -> DataFrame:
-        return trading_calendar(self.returns.select("date"), period)
+        """Calendar of one period length; one small file, so every join with it can be broadcast by size."""
+        return materialise(trading_calendar(self.returns.select("date"), period), "calendar")
 
     @cached_property
     def returns(self) -> DataFrame:
@@ -88,7 +89,7 @@ class Tables:
 
     @cached_property
     def shocks(self) -> DataFrame:
-        return attention_shocks(self.attention, self.calendar, 5)
+        return materialise(attention_shocks(self.attention, self.calendar, 5), "shocks")
 
     @cached_property
     def risk_free(self) -> DataFrame:
