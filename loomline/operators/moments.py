@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomline.functions.session import materialise
+
 MOMENT_SCHEMA = "t_idx int, n long, yy double, v array<double>, s array<double>, mean array<double>, m2 array<double>"
 PARTIAL_BYTES = 64 << 20
 DRIVER_BYTES = 256 << 20
@@ -85,7 +87,7 @@ def _merge_moments(table: pa.Table) -> pa.Table:
 
 
 def period_moments(panel: DataFrame, fan_in: int = 16) -> DataFrame:
-    """One row of moments per period.
+    """One row of moments per period, written once because every estimator reads them again.
 
     Every task reduces its own rows to partial moments, so a period that holds
     most of the panel is still a few rows per task before anything is shuffled.
@@ -94,7 +96,8 @@ def period_moments(panel: DataFrame, fan_in: int = 16) -> DataFrame:
     partial = panel.select("t_idx", "y", "x").mapInArrow(_partial_moments, MOMENT_SCHEMA)
     salted = partial.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(fan_in)))
     first = salted.groupBy("t_idx", "salt").applyInArrow(lambda t: _merge_moments(t.drop_columns(["salt"])), MOMENT_SCHEMA)
-    return first.groupBy("t_idx").applyInArrow(_merge_moments, MOMENT_SCHEMA)
+    merged = first.groupBy("t_idx").applyInArrow(_merge_moments, MOMENT_SCHEMA)
+    return materialise(merged, "moments")
 
 
 @dataclass

@@ -1,6 +1,6 @@
 """Importing this module registers every named query."""
 
-from loomline.plans import catalog_align  # noqa: F401
+from loomline.plans import catalog_align, catalog_lab, catalog_model  # noqa: F401
 from loomline.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -310,29 +310,24 @@ def kernel_top_pairs(t: Tables):
     return tidy(ranked, 9)
 
 
-def panel_of(t: Tables):
-    cov = kernel.kernel_covariance(t.returns, t.shocks, t.calendar, len(t.topics), KERNEL)
-    return panel.build_panel(kernel.pack_topics(cov, t.topics), align.period_returns(t.returns, t.calendar), KERNEL.burn_in, 20)
-
-
 @query("panel_rows", with_ctes("panel", """
     SELECT t_idx, CAST(period AS VARCHAR) AS period, asset, round(y, 8) AS y, l, round(v, 9) AS v
     FROM (SELECT t_idx, period, asset, y, unnest(x) AS v, unnest(range(len(x))) AS l FROM panel)"""))
 def panel_rows(t: Tables):
-    return tidy(panel_of(t).select("t_idx", "period", "asset", "y", F.posexplode("x").alias("l", "v")), 8, v=9)
+    return tidy(t.panel.select("t_idx", "period", "asset", "y", F.posexplode("x").alias("l", "v")), 8, v=9)
 
 
 @query("panel_summary", with_ctes("panel", """
     SELECT t_idx, CAST(period AS VARCHAR) AS period, count(*) AS n, round(avg(y), 8) AS mean, round(stddev_samp(y), 8) AS std
     FROM panel GROUP BY 1, 2"""))
 def panel_summary(t: Tables):
-    return tidy(panel.panel_summary(panel_of(t)))
+    return tidy(panel.panel_summary(t.panel))
 
 
 @query("panel_split", with_ctes("panel", """
     SELECT period < DATE '1999-01-01' AS is_train, count(*) AS n, count(DISTINCT t_idx) AS n_periods FROM panel GROUP BY 1"""))
 def panel_split(t: Tables):
-    split = panel.split_periods(panel_of(t), "1999-01-01")
+    split = panel.split_periods(t.panel, "1999-01-01")
     return tidy(split.groupBy("is_train").agg(F.count("*").alias("n"), F.countDistinct("t_idx").alias("n_periods")))
 
 
@@ -340,14 +335,14 @@ def panel_split(t: Tables):
     SELECT dense_rank() OVER (ORDER BY t_idx) - 1 AS t_idx, CAST(period AS VARCHAR) AS period, asset, round(y, 8) AS y
     FROM panel WHERE month(period) <> 12"""))
 def panel_subset_renumbered(t: Tables):
-    return tidy(panel.keep_periods(panel_of(t), F.month("period") != 12).select("t_idx", "period", "asset", "y"))
+    return tidy(panel.keep_periods(t.panel, F.month("period") != 12).select("t_idx", "period", "asset", "y"))
 
 
 @query("sigma_c", with_ctes("panel", """
     SELECT l, CASE WHEN l = 0 THEN 1.0 ELSE coalesce(nullif(round(stddev_pop(v), 9), 0), 1.0) END AS sigma
     FROM (SELECT unnest(x) AS v, unnest(range(len(x))) AS l FROM panel) GROUP BY l"""))
 def sigma_c(t: Tables):
-    return tidy(panel.instrument_scale(panel_of(t)), 9)
+    return tidy(panel.instrument_scale(t.panel), 9)
 
 
 @query("panel_moments_long", with_ctes("panel", """
@@ -356,7 +351,7 @@ def sigma_c(t: Tables):
     JOIN (SELECT t_idx, asset, unnest(list_prepend(y, x)) AS v, unnest(range(len(x) + 1)) AS l FROM panel) b USING (t_idx, asset)
     GROUP BY 1, 2, 3"""))
 def panel_moments_long(t: Tables):
-    return tidy(panel.moments_long(panel_of(t)), 9)
+    return tidy(panel.moments_long(t.panel), 9)
 
 
 # A fixed two-factor loading matrix for the fitted-value queries.
@@ -380,14 +375,14 @@ def fixed_factors(rows):
 @query("fitted_fixed_gamma", with_ctes("panel", """
     SELECT t_idx, CAST(period AS VARCHAR) AS period, asset, round(y, 8) AS y, round(fitted, 8) AS fitted FROM fit""", **FIXED_FIT))
 def fitted_fixed_gamma(t: Tables):
-    rows = panel_of(t)
+    rows = t.panel
     return tidy(panel.fitted_values(rows, GAMMA, fixed_factors(rows)))
 
 
 @query("total_r2", with_ctes("panel", """
     SELECT round(1 - sum((y - fitted) ** 2) / sum(y * y), 8) AS r2 FROM fit""", **FIXED_FIT))
 def total_r2(t: Tables):
-    rows = panel_of(t)
+    rows = t.panel
     return tidy(panel.uncentred_r2(panel.fitted_values(rows, GAMMA, fixed_factors(rows))))
 
 
@@ -395,7 +390,7 @@ def total_r2(t: Tables):
     SELECT round(1 - sum((y - b1 * m1 - b2 * m2) ** 2) / sum(y * y), 8) AS r2
     FROM bet CROSS JOIN (SELECT avg(f1) AS m1, avg(f2) AS m2 FROM fac)""", **FIXED_FIT))
 def pred_r2(t: Tables):
-    rows = panel_of(t)
+    rows = t.panel
     f = fixed_factors(rows)
     mean = [F.avg(F.col("f")[k]).over(Window.partitionBy()) for k in range(2)]
     return tidy(panel.uncentred_r2(panel.fitted_values(rows, GAMMA, f.select("t_idx", F.array(*mean).alias("f")))))

@@ -13,7 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomline.functions.session import bounded_list, materialise
+from loomline.operators import kernel
+from loomline.operators.align import period_returns
 from loomline.operators.calendar import trading_calendar
+from loomline.operators.panel import build_panel
 from loomline.operators.shocks import attention_shocks
 
 TABLE_NAMES = [
@@ -91,6 +94,14 @@ class Tables:
     def shocks(self) -> DataFrame:
         return materialise(attention_shocks(self.attention, self.calendar, 5), "shocks")
 
+    @cached_property
+    def panel(self) -> DataFrame:
+        """Estimation panel of the default kernel."""
+        cfg = kernel.KernelConfig()
+        cov = kernel.kernel_covariance(self.returns, self.shocks, self.calendar, len(self.topics), cfg)
+        rows = build_panel(kernel.pack_topics(cov, self.topics), period_returns(self.returns, self.calendar), cfg.burn_in, 20)
+        return materialise(rows, "panel")
+
     @cached_property
     def risk_free(self) -> DataFrame:
         """A rate published once a month, on the last shipping day."""
