@@ -179,6 +179,8 @@ def fit_direct(rows: DataFrame, scale: DataFrame, topics: list[str], cfg: Direct
                             raise ValueError(f"least squares refused: {width} topics for {n} training pairs")
                         b = cross.least_squares()
                     c = cross.intercept(b)
+                # A coefficient at the very edge of its threshold may keep a rounding residue.
+                b = np.where(np.abs(b) < 1e-12, 0.0, b)
                 chosen = b != 0 if cfg.method == "elastic_net" else np.abs(b) >= cfg.tau
                 yield pd.DataFrame({"asset_id": asset, "topic": topics, "b": b, "intercept": c, "penalty": pen, "n_train": n, "selected": chosen})
 
