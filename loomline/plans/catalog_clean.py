@@ -313,12 +313,12 @@ def sensitivity_matrix(t: Tables):
 
 
 @query("blank_and_flip", with_ctes("", """
-    SELECT CAST(as_of AS VARCHAR) AS as_of, topic, asset, coverage, CASE WHEN coverage <> 'none' AND abs(sensitivity) >= 0.05
+    SELECT CAST(as_of AS VARCHAR) AS as_of, topic, asset, coverage, CASE WHEN coverage <> 'none' AND abs(sensitivity) >= 0.0501
       THEN round(sensitivity * CASE WHEN asset IN ('Brand#1', 'Brand#2') THEN -1 ELSE 1 END, 7) END AS sensitivity FROM d""", d=DELIVERED))
 def blank_and_flip(t: Tables):
     """Blanks weak or uncovered cells and flips the rows held short."""
     short = t.spark.createDataFrame([("Brand#1", -1), ("Brand#2", -1)], "asset string, sign int")
-    kept = views.blank(delivered(t), "sensitivity", F.col("coverage") != "none", 0.05)
+    kept = views.blank(delivered(t), "sensitivity", F.col("coverage") != "none", 0.0501)
     return tidy(views.apply_views(kept, short, "sensitivity"), 7)
 
 

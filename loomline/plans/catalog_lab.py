@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomline.functions.ranking import spearman
-from loomline.functions.session import materialise
+from loomline.functions.session import bounded_list, materialise
 from loomline.operators import designed, direct, links, scoring, windows
 from loomline.plans.oracle import with_ctes
 from loomline.plans.registry import query
@@ -57,8 +57,6 @@ def link_map_query(t: Tables):
     CROSS JOIN (SELECT DISTINCT p_brand AS asset FROM part) a LEFT JOIN wts w ON w.topic = t.topic AND w.asset = a.asset""", **LINKED)
     .replace("coalesce(w.w, 0) AS w", "CAST(coalesce(w.w, 0) AS DOUBLE) AS w"))
 def design_matrix(t: Tables):
-    from loomline.functions.session import bounded_list
-
     table = materialise(link_map(t), "links")
     topics = bounded_list(table, "topic")
     brands = t.read("part").select(F.col("p_brand").alias("asset")).distinct()
@@ -129,8 +127,6 @@ def with_lead(lead: int) -> dict[str, str]:
 
 
 def lab_design(t: Tables):
-    from loomline.functions.session import bounded_list
-
     table = materialise(link_map(t), "links")
     topics = bounded_list(table, "topic")
     std = materialise(designed.standardise(t.returns), "standardised")
@@ -434,3 +430,80 @@ def pairwise_corr(t: Tables):
       SELECT asset, list(date ORDER BY date) AS s, count(*) AS n_days, CAST(min(date) AS VARCHAR) AS first_day FROM rets GROUP BY asset)"""))
 def observation_groups(t: Tables):
     return tidy(scoring.observation_groups(t.returns, "asset", "date"))
+
+
+def weekly_world(t: Tables):
+    """Weekly panel on training-scaled returns with attention lagged by the lead, its fit and pieces."""
+    from loomline.operators import align, factor_model, kernel, moments, panel, shocks, tuning, weekly
+
+    cal = t.calendar_of("W")
+    att = align.lag_attention(t.attention, cal, 1)
+    shock_rows = materialise(shocks.attention_shocks(att, cal, 5), "weekly_shocks")
+    divisor = materialise(weekly.training_divisor(t.returns, shocks.complete_days(shock_rows, len(t.topics)), TRAIN_END), "divisor")
+    rets = materialise(weekly.scale_returns(t.returns, divisor), "scaled_returns")
+    cfg = kernel.KernelConfig(xi=weekly.half_life_decay(69 * 52 / 12), burn_in=52)
+    cov = kernel.kernel_covariance(rets, shock_rows, cal, len(t.topics), cfg)
+    rows = materialise(panel.build_panel(kernel.pack_topics(cov, t.topics), align.period_returns(rets, cal), cfg.burn_in, 12), "weekly_panel")
+    train = moments.period_moments(weekly.training_rows(rows, TRAIN_START, TRAIN_END))
+    tune = tuning.TuneConfig(tolerance=0.02, annualization=weekly.WEEKS_PER_YEAR)
+    _, fit = tuning.tune_model(train, factor_model.FitConfig(K=2, n_lambdas=8, ratio=1e-2), tune)
+    return rows, fit, divisor, shock_rows, cal, cfg
+
+
+@query("weekly_training_divisor", with_ctes("rets shk okday cal", f"""
+    SELECT asset, round(stddev_pop(ret), 9) AS scale FROM rets r
+    JOIN (SELECT d.date FROM okday o JOIN cal c ON c.date = o.date JOIN cal d ON d.pos = c.pos + 1) k ON k.date = r.date
+    WHERE r.date <= DATE '{TRAIN_END}' GROUP BY asset HAVING stddev_pop(ret) > 0"""))
+def weekly_training_divisor(t: Tables):
+    """Training deviation of each asset over the days paired with a lagged shock."""
+    from loomline.operators import align, shocks, weekly
+
+    moved = align.lag_attention(t.attention, t.calendar, 1)
+    days = shocks.complete_days(shocks.attention_shocks(moved, t.calendar, 5), len(t.topics))
+    return tidy(weekly.training_divisor(t.returns, days, TRAIN_END), 9)
+
+
+@query("weekly_history_share", with_ctes("wcal", f"""
+    SELECT round(sum(CASE WHEN date < DATE '1997-01-06' THEN w ELSE 0 END) / sum(w), 9) AS share FROM (
+      SELECT date, pow(0.99, 200 - period_id) AS w FROM wcal WHERE period_id < 200 OR (period_id = 200 AND back > 1))"""))
+def weekly_history_share(t: Tables):
+    from loomline.operators import kernel, weekly
+
+    return tidy(weekly.history_share(t.calendar_of("W"), 200, "1997-01-06", kernel.KernelConfig()), 9)
+
+
+@query("weekly_forecast")
+def weekly_forecast(t: Tables):
+    """Out-of-sample fit of the weekly factor model per asset and on shuffled instruments."""
+    from loomline.operators import weekly
+
+    rows, fit, *_ = weekly_world(t)
+    scores = weekly.forecast_scores(weekly.forecast(rows, fit, FORECAST, "1999-03-28"))
+    shuffled = weekly.shuffle_reference(rows, fit, FORECAST, "1999-03-28")
+    every = Window.partitionBy()
+    pooled = 1 - F.sum("sse").over(every) / F.sum("sst").over(every)
+    return scores.withColumn("pooled", pooled).withColumn("r2_shuffled", F.lit(shuffled.first()[0]))
+
+
+@query("implied_sensitivities")
+def implied_sensitivities(t: Tables):
+    """Sensitivities implied by the weekly factor model, in the units of the direct regressions."""
+    from loomline.operators import weekly
+
+    rows, fit, divisor, shock_rows, *_ = weekly_world(t)
+    scale = divisor.select("asset", F.col("scale").alias("divisor"), F.col("scale").alias("ret_scale"))
+    return weekly.implied_sensitivities(rows, fit, shock_rows, scale, t.topics, TRAIN_START, TRAIN_END)
+
+
+@query("harness_run")
+def harness_run(t: Tables):
+    """One seed of a signal and a null scenario on designed attention, with pass flags."""
+    from loomline.operators import factor_model, tuning
+    from loomline.plans import harness, study
+
+    nations = t.read("nation").select(F.col("n_name").alias("topic"))
+    drawn = links.share_with_signal(links.random_links(nations, t.assets), 0.5)
+    used = materialise(links.design_weights(drawn), "linked_weights")
+    topics = bounded_list(nations, "topic")
+    cfg = study.StudyConfig(fit=factor_model.FitConfig(K=1, n_lambdas=5), oos=tuning.OosConfig(min_train=30, refit_every=24))
+    return harness.run_harness(t.returns, used, t.calendar, topics, harness.HarnessConfig(seeds=(0,), study=cfg))["passed"]
