@@ -367,3 +367,53 @@ def placebo_test(t: Tables):
     rets, shk, cal, topics, rows, m = study.build(t.attention_all_days, t.returns, cfg)
     path, fit = tuning.tune_model(m, FIT)
     return study.placebo_test(study.Study(cal, topics, shk, rows, m, path, fit), rets, cfg)
+
+
+WIDE = {
+    "wret": "SELECT date, CAST(l_suppkey AS VARCHAR) AS asset, avg(l_discount - l_tax) AS ret FROM lines GROUP BY 1, 2",
+    "wcnt": """SELECT CAST(o_orderdate AS DATE) AS date, lpad(CAST(c_nationkey AS VARCHAR), 2, '0') || ' ' || o_orderpriority AS topic, CAST(count(*) AS DOUBLE) AS level
+        FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2""",
+    "wtop": "SELECT DISTINCT topic FROM wcnt",
+    "wshk": """SELECT * FROM (SELECT g.date, g.topic, CASE WHEN count(l) OVER w = 5 THEN l - avg(l) OVER w END AS z FROM (
+          SELECT c.date, t.topic, CASE WHEN o.date IS NOT NULL THEN coalesce(n.level, 0) END AS l
+          FROM cal c CROSS JOIN wtop t LEFT JOIN oday o ON o.date = c.date LEFT JOIN wcnt n ON n.date = c.date AND n.topic = t.topic) g
+        WINDOW w AS (PARTITION BY g.topic ORDER BY g.date ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)) WHERE z IS NOT NULL""",
+    "wsum": """SELECT r.asset, s.topic, c.period_id AS m, sum(r.ret * z) AS rz, sum(r.ret) AS r, sum(z) AS z, count(*) AS n,
+          coalesce(sum(r.ret * z) FILTER (WHERE back > 1), 0) AS prz, coalesce(sum(r.ret) FILTER (WHERE back > 1), 0) AS pr,
+          coalesce(sum(z) FILTER (WHERE back > 1), 0) AS pz, count(*) FILTER (WHERE back > 1) AS pn
+        FROM wret r JOIN wshk s USING (date) JOIN cal c USING (date) GROUP BY 1, 2, 3""",
+    "wcov": """SELECT t AS period_id, asset, topic, rz / w - r / w * (z / w) AS cov, n AS n_days FROM (
+          SELECT p.t, asset, topic, sum(k * CASE WHEN m = p.t THEN prz ELSE rz END) AS rz, sum(k * CASE WHEN m = p.t THEN pr ELSE r END) AS r,
+            sum(k * CASE WHEN m = p.t THEN pz ELSE z END) AS z, sum(k * CASE WHEN m = p.t THEN pn ELSE n END) AS w, sum(CASE WHEN m = p.t THEN pn ELSE n END) AS n
+          FROM (SELECT p.t, s.*, pow(0.99, p.t - m) AS k FROM periods p JOIN wsum s ON m <= p.t) p GROUP BY 1, 2, 3) WHERE n >= 60""",
+}
+
+
+@query("kernel_cov_wide", with_ctes("lines cal oday periods", """
+    SELECT period_id, topic, count(*) AS n_assets, CAST(sum(n_days) AS BIGINT) AS n_days, round(sum(cov), 7) AS sum_cov, round(sum(cov * cov), 8) AS sum_sq
+    FROM wcov GROUP BY 1, 2""", **WIDE))
+def kernel_cov_wide(t: Tables):
+    """Matrix-product covariances of every supplier with 125 topics, summed over suppliers."""
+    from loomline.functions.session import bounded_list
+    from loomline.operators import kernel
+    from loomline.operators.calendar import trading_calendar
+    from loomline.operators.shocks import attention_shocks
+    from loomline.plans.study import covariances
+
+    cal = materialise(trading_calendar(t.wide_returns.select("date")), "calendar")
+    att = align.apply_calendar_policy(t.wide_attention, cal, "drop")
+    shk = materialise(attention_shocks(att, cal, 5), "wide_shocks")
+    topics = bounded_list(shk, "topic", 10_000)
+    long = kernel.unpack_topics(covariances(t.wide_returns, shk, cal, topics, kernel.KernelConfig()), topics)
+    return tidy(long.groupBy("period_id", "topic").agg(
+        F.count("*").alias("n_assets"), F.sum("n_days").alias("n_days"), F.sum("cov").alias("sum_cov"), F.sum(F.col("cov") * F.col("cov")).alias("sum_sq")), 7, sum_sq=8)
+
+
+WIDE_STUDY = study.StudyConfig(
+    fit=factor_model.FitConfig(K=3, n_lambdas=12, ratio=1e-2), oos=tuning.OosConfig(min_train=30, refit_every=4))
+
+
+@query("study_wide")
+def study_wide(t: Tables):
+    """The whole study with suppliers as assets and 125 topics."""
+    return study.report(study.run_study(t.wide_attention, t.wide_returns, WIDE_STUDY), WIDE_STUDY)

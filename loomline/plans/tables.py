@@ -102,6 +102,29 @@ class Tables:
         rows = build_panel(kernel.pack_topics(cov, self.topics), period_returns(self.returns, self.calendar), cfg.burn_in, 20)
         return materialise(rows, "panel")
 
+    @cached_property
+    def wide_returns(self) -> DataFrame:
+        """(date, asset, ret) with suppliers as assets."""
+        daily = self.lineitem.groupBy("date", F.col("l_suppkey").cast("string").alias("asset")).agg(
+            F.avg(F.col("l_discount") - F.col("l_tax")).alias("ret"))
+        return materialise(daily, "wide_returns")
+
+    @cached_property
+    def wide_attention(self) -> DataFrame:
+        """(date, topic, level) with one topic per customer nation and order priority, zero-filled.
+
+        Orders are counted per customer before the join, so a hot customer is one
+        row per day and priority.
+        """
+        per_customer = self.orders.groupBy("date", "o_custkey", "o_orderpriority").agg(F.count("*").alias("n"))
+        nation = self.read("customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
+        topic = F.concat(F.lpad(F.col("c_nationkey").cast("string"), 2, "0"), F.lit(" "), "o_orderpriority")
+        counts = per_customer.join(nation, "o_custkey").groupBy("date", topic.alias("topic")).agg(F.sum("n").cast("double").alias("level"))
+        counts = materialise(counts, "wide_counts")
+        topics = bounded_list(counts, "topic", 10_000)
+        grid = counts.select("date").distinct().select("date", F.explode(F.array(*[F.lit(t) for t in topics])).alias("topic"))
+        return grid.join(counts, ["date", "topic"], "left").select("date", "topic", F.coalesce("level", F.lit(0.0)).alias("level"))
+
     @cached_property
     def risk_free(self) -> DataFrame:
         """A rate published once a month, on the last shipping day."""

@@ -17,10 +17,16 @@ def read_wide(spark: SparkSession, path: str, fmt: str | None = None) -> DataFra
     reader = spark.read.format(fmt)
     if fmt == "csv":
         reader = reader.option("header", True).option("inferSchema", True)
+    else:
+        # Frames saved with nanosecond stamps arrive as whole numbers.
+        spark.conf.set("spark.sql.legacy.parquet.nanosAsLong", "true")
     df = reader.load(path)
     named = [c for c in df.columns if c.strip().lower() in DATE_NAMES or c.startswith("__index")]
     key = named[0] if named else df.columns[0]
-    return df.withColumn(key, F.to_date(F.col(f"`{key}`").cast("timestamp"))).withColumnRenamed(key, "date")
+    stamp = F.col(f"`{key}`")
+    stamp = F.timestamp_micros((stamp / 1000).cast("long")) if dict(df.dtypes)[key] == "bigint" else stamp.cast("timestamp")
+    rest = [F.col(f"`{c}`") for c in df.columns if c != key]
+    return df.select(F.to_date(stamp).alias("date"), *rest)
 
 
 def to_long(wide: DataFrame, name: str, value: str) -> DataFrame:
