@@ -28,33 +28,56 @@ def hac_covariance(x: np.ndarray, e: np.ndarray, lags: int) -> np.ndarray:
 def price_test_assets(returns: DataFrame, factors: DataFrame, K: int, hac_lags: int | None = None) -> DataFrame:
     """Regression of each asset's period return on the factors: alpha, its t, betas and R2.
 
-    ``returns`` is (t_idx, asset, y) and ``factors`` (t_idx, f). A group is one
-    asset's periods, so its size is bounded by the calendar. Assets with fewer
-    than K + 2 periods have NULL results.
+    ``returns`` is (t_idx, asset, y) and ``factors`` (t_idx, f). Cross products
+    are sums of the JVM and only one short row per asset is solved. Robust errors
+    need the scores in time order, so those assets are handled as groups of their
+    periods. Assets with fewer than K + 2 periods have NULL results.
     """
+    rows = returns.where("y IS NOT NULL").join(factors, "t_idx").select("asset", "t_idx", "y", "f")
+    if hac_lags is not None:
+        return rows.groupBy("asset").applyInPandas(lambda pdf: _robust_row(pdf, K, hac_lags), PRICING_SCHEMA)
+    x = [F.lit(1.0)] + [F.col("f")[k] for k in range(K)]
+    products = [F.sum(x[i] * x[j]) for i in range(K + 1) for j in range(K + 1)]
+    sums = rows.groupBy("asset").agg(
+        F.count("*").alias("n"), F.sum(F.col("y") * F.col("y")).alias("yy"), F.array(*products).alias("xx"), F.array(*[F.sum(c * F.col("y")) for c in x]).alias("xy")
+    )
 
-    def regress(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t_idx")
-        n = len(pdf)
-        if n < K + 2:
-            return pd.DataFrame({"asset": [pdf["asset"].iloc[0]], "alpha": [None], "t_stat": [None], "betas": [None], "r2": [None], "n": [n]})
+    def solve(batches):
+        for batch in batches:
+            out = [_plain_row(a, int(n), yy, np.reshape(xx, (K + 1, K + 1)), np.asarray(xy, float)) for a, n, yy, xx, xy in zip(batch["asset"], batch["n"], batch["yy"], batch["xx"], batch["xy"])]
+            yield pd.DataFrame(out, columns=["asset", "alpha", "t_stat", "betas", "r2", "n"])
+
+    return sums.mapInPandas(solve, PRICING_SCHEMA)
+
+
+def _plain_row(asset, n: int, yy: float, xx: np.ndarray, xy: np.ndarray):
+    """OLS with classical errors from cross products."""
+    k = len(xy) - 1
+    if n < k + 2:
+        return asset, None, None, None, None, n
+    inverse = np.linalg.pinv(xx)
+    coef = inverse @ xy
+    rss = max(yy - coef @ xy, 0.0)
+    spread = yy - xy[0] ** 2 / n
+    se = np.sqrt(max(inverse[0, 0] * rss / max(n - k - 1, 1), 0.0))
+    return asset, coef[0], coef[0] / se if se > 0 else None, coef[1:].tolist(), 1 - rss / spread if spread > 0 else None, n
+
+
+def _robust_row(pdf: pd.DataFrame, K: int, lags: int) -> pd.DataFrame:
+    """OLS of one asset with heteroskedasticity and autocorrelation robust errors."""
+    pdf = pdf.sort_values("t_idx")
+    n, asset = len(pdf), pdf["asset"].iloc[0]
+    if n < K + 2:
+        row = (asset, None, None, None, None, n)
+    else:
         y = pdf["y"].to_numpy()
         x = np.column_stack([np.ones(n), np.stack(pdf["f"].to_numpy())])
         coef = np.linalg.lstsq(x, y, rcond=None)[0]
         e = y - x @ coef
-        if hac_lags is None:
-            cov = np.linalg.pinv(x.T @ x) * (e @ e) / max(n - K - 1, 1)
-        else:
-            cov = hac_covariance(x, e, hac_lags)
+        se = np.sqrt(max(hac_covariance(x, e, lags)[0, 0], 0.0))
         spread = ((y - y.mean()) ** 2).sum()
-        se = np.sqrt(max(cov[0, 0], 0.0))
-        return pd.DataFrame({
-            "asset": [pdf["asset"].iloc[0]], "alpha": [coef[0]], "t_stat": [coef[0] / se if se > 0 else None],
-            "betas": [coef[1:].tolist()], "r2": [1 - e @ e / spread if spread > 0 else None], "n": [n],
-        })
-
-    rows = returns.where("y IS NOT NULL").join(factors, "t_idx").select("asset", "t_idx", "y", "f")
-    return rows.groupBy("asset").applyInPandas(regress, PRICING_SCHEMA)
+        row = (asset, coef[0], coef[0] / se if se > 0 else None, coef[1:].tolist(), 1 - e @ e / spread if spread > 0 else None, n)
+    return pd.DataFrame([row], columns=["asset", "alpha", "t_stat", "betas", "r2", "n"])
 
 
 def joint_alpha_test(returns: DataFrame, factors: DataFrame, n_assets: int, K: int) -> DataFrame:

@@ -74,29 +74,46 @@ def _partial_moments(batches):
         yield _batch(held)
 
 
-def _merge_moments(table: pa.Table) -> pa.Table:
-    rows = table.num_rows
-    n, yy = table["n"].to_numpy(), table["yy"].to_numpy()
-    v, s, mean, m2 = (_matrix(table[c], rows) for c in ("v", "s", "mean", "m2"))
-    p = v.shape[1]
-    total = [int(n[0]), yy[0], v[0], s[0].reshape(p, p), mean[0], m2[0]]
-    for i in range(1, rows):
-        total = _combine(total, [int(n[i]), yy[i], v[i], s[i].reshape(p, p), mean[i], m2[i]])
-    out = pa.Table.from_batches([_batch({int(table["t_idx"][0].as_py()): total})])
-    return out
+def _merge_sorted(batches):
+    """Adds up the rows of each key; keys arrive in order, so one key is held at a time."""
+    held: dict[int, list] = {}
+    size = 0
+    for batch in batches:
+        rows = batch.num_rows
+        if rows == 0:
+            continue
+        key, n, yy = (batch.column(j).to_numpy() for j in range(3))
+        v, s, mean, m2 = (_matrix(batch.column(j), rows) for j in range(3, 7))
+        p = v.shape[1]
+        for i in range(rows):
+            stat = [int(n[i]), yy[i], v[i], s[i].reshape(p, p), mean[i], m2[i]]
+            k = int(key[i])
+            if k in held:
+                held[k] = _combine(held[k], stat)
+                continue
+            if size > PARTIAL_BYTES:
+                yield _batch(held)
+                held, size = {}, 0
+            held[k] = stat
+            size += 8 * (p * p + 3 * p)
+    if held:
+        yield _batch(held)
 
 
-def period_moments(panel: DataFrame, fan_in: int = 16) -> DataFrame:
+def period_moments(panel: DataFrame, fan_in: int = 64) -> DataFrame:
     """One row of moments per period, written once because every estimator reads them again.
 
     Every task reduces its own rows to partial moments, so a period that holds
     most of the panel is still a few rows per task before anything is shuffled.
-    Partials meet in two rounds of at most ``fan_in`` keys per period.
+    On clusters with more than ``fan_in`` cores the partials of a period first
+    meet under ``fan_in`` salted keys, so no task adds up thousands of them.
     """
     partial = panel.select("t_idx", "y", "x").mapInArrow(_partial_moments, MOMENT_SCHEMA)
-    salted = partial.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(fan_in)))
-    first = salted.groupBy("t_idx", "salt").applyInArrow(lambda t: _merge_moments(t.drop_columns(["salt"])), MOMENT_SCHEMA)
-    merged = first.groupBy("t_idx").applyInArrow(_merge_moments, MOMENT_SCHEMA)
+    if panel.sparkSession.sparkContext.defaultParallelism > fan_in:
+        salt = F.pmod(F.spark_partition_id(), F.lit(fan_in))
+        salted = partial.withColumn("salt", salt).repartition("t_idx", "salt").sortWithinPartitions("t_idx").drop("salt")
+        partial = salted.mapInArrow(_merge_sorted, MOMENT_SCHEMA)
+    merged = partial.repartition("t_idx").sortWithinPartitions("t_idx").mapInArrow(_merge_sorted, MOMENT_SCHEMA)
     return materialise(merged, "moments")
 
 
@@ -137,15 +154,16 @@ def moment_bytes(periods: int, width: int) -> int:
 
 def collect_moments(moments: DataFrame, limit: int = DRIVER_BYTES) -> Moments | None:
     """Moments on the driver when their size, fixed by periods and topics alone, is under ``limit``; else None."""
-    head = moments.select(F.size("v").alias("p")).first()
-    if head is None:
+    head = moments.agg(F.max(F.size("v")).alias("p"), F.count("*").alias("t")).first()
+    if not head["t"]:
         raise ValueError("the panel is empty")
-    if moment_bytes(moments.count(), head["p"]) > limit:
+    p = head["p"]
+    if moment_bytes(head["t"], p) > limit:
         return None
-    table = moments.orderBy("t_idx").toArrow()
+    table = moments.toArrow()
     rows = table.num_rows
-    p = head["p"]
-    return Moments(
+    held = Moments(
         table["t_idx"].to_numpy(), table["n"].to_numpy(), table["yy"].to_numpy(), _matrix(table["v"], rows),
         _matrix(table["s"], rows).reshape(rows, p, p), _matrix(table["mean"], rows), _matrix(table["m2"], rows),
     )
+    return held.subset(np.argsort(held.t_idx))

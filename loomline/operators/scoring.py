@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomline.functions.columns import ratio
-from loomline.functions.dense import canonical_correlations, subspace_cosines
+from loomline.functions.dense import subspace_cosines
+from loomline.operators.moments import period_moments
 
 # Check, direction, bound and the kind of scenario it applies to.
 CHECKS = [
@@ -77,22 +78,82 @@ def selection_scores(topics: DataFrame) -> DataFrame:
     )
 
 
-def first_canonical_correlation(left: DataFrame, right: DataFrame, key: str, by: str | None = None) -> DataFrame:
+def _numbered(rows: DataFrame, by: str | None) -> DataFrame:
+    """Rows with an integer group number ``t_idx`` and the group's label ``g``."""
+    if by is None:
+        return rows.withColumn("t_idx", F.lit(0)).withColumn("g", F.lit("all"))
+    labels = rows.select(F.col(by).cast("string").alias("g")).distinct()
+    numbers = labels.select("g", (F.row_number().over(Window.orderBy("g")) - 1).alias("t_idx"))
+    return rows.withColumn("g", F.col(by).cast("string")).join(F.broadcast(numbers), "g")
+
+
+def _moment_matrices(batch: pd.DataFrame):
+    """Number, count and covariance of the columns after the constant, for each row of a moment table."""
+    for t, n, s in zip(batch["t_idx"], batch["n"], batch["s"]):
+        width = int(round(len(s) ** 0.5))
+        m = np.asarray(s, float).reshape(width, width)
+        mean = m[0, 1:] / n
+        yield int(t), int(n), m[1:, 1:] / n - np.outer(mean, mean)
+
+
+def first_canonical_correlation(left: DataFrame, right: DataFrame, keys: list[str], width: int, by: str | None = None) -> DataFrame:
     """Largest canonical correlation of two sets of columns, overall or per group.
 
-    Each side carries an array column ``v`` of model width; a group holds the
-    factors of one run or the assets of one period.
+    Each side has an array column ``v``; ``width`` is its length on the left. Only
+    the joint covariance of a group is needed, which is summed map-side, so a
+    group may hold any number of rows.
     """
-    keys = [key] + ([by] if by else [])
     rows = left.select(*keys, F.col("v").alias("a")).join(right.select(*keys, F.col("v").alias("b")), keys)
-    rows = rows.withColumn("g", F.col(by).cast("string") if by else F.lit("all"))
+    rows = _numbered(rows, by)
+    x = F.concat(F.array(F.lit(1.0)), "a", "b")
+    table = period_moments(rows.select("t_idx", F.lit(0.0).alias("y"), x.alias("x")))
+
+    def whiten(c: np.ndarray) -> np.ndarray:
+        w, u = np.linalg.eigh(c)
+        keep = w > 1e-10 * max(w.max(), 1e-300)
+        return u[:, keep] / np.sqrt(w[keep])
 
-    def corr(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = np.stack(pdf["a"].to_numpy()), np.stack(pdf["b"].to_numpy())
-        got = canonical_correlations(a, b)
-        return pd.DataFrame({"g": [pdf["g"].iloc[0]], "first": [got[0] if len(got) else None], "n": [len(pdf)]})
+    def solve(batches):
+        for batch in batches:
+            out = []
+            for t, n, c in _moment_matrices(batch):
+                pa, pb = whiten(c[:width, :width]), whiten(c[width:, width:])
+                got = np.linalg.svd(pa.T @ c[:width, width:] @ pb, compute_uv=False)
+                out.append((t, min(float(got[0]), 1.0) if len(got) else None, n))
+            yield pd.DataFrame(out, columns=["t_idx", "first", "n"])
 
-    return rows.select("g", "a", "b").groupBy("g").applyInPandas(corr, "g string, first double, n long")
+    solved = table.select("t_idx", "n", "s").mapInPandas(solve, "t_idx int, first double, n long")
+    return solved.join(rows.select("t_idx", "g").distinct(), "t_idx").select("g", "first", "n")
+
+
+def instrument_beta_r2(instruments: DataFrame, betas: DataFrame, keys: list[str], K: int, by: str) -> DataFrame:
+    """Cross-sectional R2 of each instrument on the true betas, per period.
+
+    Both sides have an array column ``v``; the regressions of a period share one
+    cross-product matrix.
+    """
+    rows = betas.select(*keys, F.col("v").alias("b")).join(instruments.select(*keys, F.col("v").alias("c")), keys)
+    rows = _numbered(rows, by)
+    table = period_moments(rows.select("t_idx", F.lit(0.0).alias("y"), F.concat(F.array(F.lit(1.0)), "b", "c").alias("x")))
+
+    def solve(batches):
+        for batch in batches:
+            out = []
+            for t, n, c in _moment_matrices(batch):
+                cross = c[:K, K:]
+                part = np.einsum("kl,kl->l", cross, np.linalg.pinv(c[:K, :K], hermitian=True) @ cross)
+                for j, total in enumerate(np.diag(c)[K:]):
+                    out.append((t, j, float(part[j] / total) if total > 0 else None, n))
+            yield pd.DataFrame(out, columns=["t_idx", "instrument", "r2", "n"])
+
+    solved = table.select("t_idx", "n", "s").mapInPandas(solve, "t_idx int, instrument int, r2 double, n long")
+    return solved.join(rows.select("t_idx", "g").distinct(), "t_idx").select("g", "instrument", "r2", "n")
+
+
+def systematic_r2(pairs: DataFrame, *keys: str) -> DataFrame:
+    """Share of the true systematic return that the fit recovers; ``pairs`` has ``truth`` and ``fitted``."""
+    err = F.sum(F.pow(F.col("truth") - F.col("fitted"), 2))
+    return pairs.groupBy(*keys).agg((1 - ratio(err, F.sum(F.col("truth") * F.col("truth")))).alias("systematic_r2"))
 
 
 def loading_angles(estimate: np.ndarray, truth: np.ndarray) -> float:

@@ -42,6 +42,14 @@ def training_rows(panel: DataFrame, train_start: str, train_end: str) -> DataFra
     return inside.join(weeks, "period").select(F.col("t_new").alias("t_idx"), "period", "asset", "y", "x")
 
 
+def training_weeks(calendar: DataFrame, train_start: str, train_end: str, burn_in: int) -> DataFrame:
+    """Whole weeks inside the training window and how many have a full instrument history before them."""
+    weeks = calendar.groupBy("period_id").agg(F.min("date").alias("first"), F.max("date").alias("last"))
+    inside = (F.col("first") >= F.lit(train_start).cast("date")) & (F.col("last") <= F.lit(train_end).cast("date"))
+    usable = inside & (F.col("period_id") > burn_in)
+    return weeks.agg(F.count(F.when(inside, 1)).alias("n_weeks"), F.count(F.when(usable, 1)).alias("n_usable"), F.min(F.when(usable, F.col("first"))).alias("first_usable"))
+
+
 def history_share(calendar: DataFrame, period_id: int, train_start: str, cfg: KernelConfig) -> DataFrame:
     """Share of one period's kernel weight that falls on days before the training window."""
     days = calendar.where((F.col("period_id") < period_id) | ((F.col("period_id") == period_id) & (F.col("back") > cfg.skip_days)))

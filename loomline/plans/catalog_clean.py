@@ -262,10 +262,29 @@ def selection_scores(t: Tables):
 
 @query("canonical_corr")
 def canonical_corr(t: Tables):
-    """First canonical correlation of the two halves of the embeddings, per label."""
-    half = t.read("embeddings").select("vec_id", "label", F.slice("embedding", 1, 4).cast("array<double>").alias("v"))
-    other = t.read("embeddings").select("vec_id", "label", F.slice("embedding", 33, 4).cast("array<double>").alias("v"))
-    return scoring.first_canonical_correlation(half, other, "vec_id", "label")
+    """First canonical correlation of two groups of embedding columns, per label."""
+    rows = t.read("embeddings").withColumn("e", F.col("embedding").cast("array<double>"))
+    left = rows.select("vec_id", "label", F.slice("e", 1, 4).alias("v"))
+    return scoring.first_canonical_correlation(left, rows.select("vec_id", "label", F.slice("e", 33, 4).alias("v")), ["vec_id", "label"], 4, "label")
+
+
+@query("canonical_corr_one_column", """
+    SELECT CAST(label AS VARCHAR) AS g, round(abs(corr(CAST(embedding[1] AS DOUBLE), CAST(embedding[2] AS DOUBLE))), 7) AS first, count(*) AS n FROM embeddings GROUP BY label""")
+def canonical_corr_one_column(t: Tables):
+    """With one column a side it is the absolute correlation."""
+    rows = t.read("embeddings").withColumn("e", F.col("embedding").cast("array<double>"))
+    left = rows.select("vec_id", "label", F.slice("e", 1, 1).alias("v"))
+    return tidy(scoring.first_canonical_correlation(left, rows.select("vec_id", "label", F.slice("e", 2, 1).alias("v")), ["vec_id", "label"], 1, "label"), 7)
+
+
+@query("instrument_beta_r2", """
+    SELECT CAST(label AS VARCHAR) AS g, k AS instrument, round(corr(CAST(embedding[1] AS DOUBLE), CAST(embedding[k + 2] AS DOUBLE)) ** 2, 7) AS r2, count(*) AS n
+    FROM embeddings CROSS JOIN (SELECT unnest(range(63)) AS k) GROUP BY label, k""")
+def instrument_beta_r2(t: Tables):
+    """R2 of every other column on the first one, per label."""
+    rows = t.read("embeddings").withColumn("e", F.col("embedding").cast("array<double>"))
+    beta = rows.select("vec_id", "label", F.slice("e", 1, 1).alias("v"))
+    return tidy(scoring.instrument_beta_r2(rows.select("vec_id", "label", F.slice("e", 2, 63).alias("v")), beta, ["vec_id", "label"], 1, "label"), 7)
 
 
 @query("embedding_scale", """

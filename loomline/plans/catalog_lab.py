@@ -472,6 +472,16 @@ def weekly_history_share(t: Tables):
     return tidy(weekly.history_share(t.calendar_of("W"), 200, "1997-01-06", kernel.KernelConfig()), 9)
 
 
+@query("weekly_training_weeks", with_ctes("wcal", f"""
+    SELECT count(*) FILTER (WHERE ins) AS n_weeks, count(*) FILTER (WHERE ins AND period_id > 52) AS n_usable,
+      CAST(min(f) FILTER (WHERE ins AND period_id > 52) AS VARCHAR) AS first_usable
+    FROM (SELECT period_id, min(date) AS f, min(date) >= DATE '{TRAIN_START}' AND max(date) <= DATE '{TRAIN_END}' AS ins FROM wcal GROUP BY period_id)"""))
+def weekly_training_weeks(t: Tables):
+    from loomline.operators import weekly
+
+    return tidy(weekly.training_weeks(t.calendar_of("W"), TRAIN_START, TRAIN_END, 52))
+
+
 @query("weekly_forecast")
 def weekly_forecast(t: Tables):
     """Out-of-sample fit of the weekly factor model per asset and on shuffled instruments."""

@@ -417,3 +417,67 @@ WIDE_STUDY = study.StudyConfig(
 def study_wide(t: Tables):
     """The whole study with suppliers as assets and 125 topics."""
     return study.report(study.run_study(t.wide_attention, t.wide_returns, WIDE_STUDY), WIDE_STUDY)
+
+
+@query("study_checks")
+def study_checks(t: Tables):
+    """Every identity and diagnostic of a finished study."""
+    from loomline.plans.checks import study_checks as checks
+
+    return checks(study.run_study(t.attention_all_days, t.returns, STUDY), t.returns, STUDY)
+
+
+TRACE = {"asset": "Brand#7", "topic": "2-HIGH", "period_id": 40}
+
+
+@query("trace_kernel_profile", with_ctes("prods", """
+    SELECT CAST(date AS VARCHAR) AS date, period_id, round(r, 8) AS ret, round(z, 8) AS z, round(w / sum(w) OVER (), 10) AS k,
+      round(w / sum(w) OVER () * (r - sum(w * r) OVER () / sum(w) OVER ()) * (z - sum(w * z) OVER () / sum(w) OVER ()), 10) AS part
+    FROM (SELECT *, pow(0.99, 40 - period_id) AS w FROM prods WHERE asset = 'Brand#7' AND topic = '2-HIGH' AND (period_id < 40 OR (period_id = 40 AND back > 1)))"""))
+def trace_kernel_profile(t: Tables):
+    """Days behind one covariance cell."""
+    from loomline.operators import kernel, trace
+    from loomline.operators.shocks import complete_days
+
+    full = t.shocks.join(complete_days(t.shocks, len(t.topics)), "date", "left_semi")
+    return tidy(trace.kernel_profile(t.returns, full, t.calendar, **TRACE, cfg=kernel.KernelConfig()), 8, k=10, part=10)
+
+
+@query("trace_instrument_series", with_ctes("kcov periods", """
+    SELECT period_id, CAST(period_end AS VARCHAR) AS period_end, round(cov, 9) AS cov, n_days
+    FROM kcov JOIN periods ON t = period_id WHERE asset = 'Brand#7' AND topic = '2-HIGH'"""))
+def trace_instrument_series(t: Tables):
+    from loomline.operators import kernel, trace
+
+    cov = kernel.kernel_covariance(t.returns, t.shocks, t.calendar, len(t.topics))
+    return tidy(trace.instrument_series(cov, t.calendar, TRACE["asset"], TRACE["topic"]), 9)
+
+
+@query("trace_pairing", with_ctes("kcov cal pret", """
+    SELECT c.period_id, CAST(c.period_end AS VARCHAR) AS period_end, c.n_days, CAST(coalesce(k.n, 0) AS BIGINT) AS n_instruments, round(r.ret, 8) AS next_return,
+      k.n IS NOT NULL AND r.ret IS NOT NULL AS used
+    FROM (SELECT period_id, max(date) AS period_end, count(*) AS n_days FROM cal GROUP BY 1) c
+    LEFT JOIN (SELECT period_id, count(*) AS n FROM kcov WHERE asset = 'Brand#7' GROUP BY 1) k USING (period_id)
+    LEFT JOIN (SELECT period_id - 1 AS period_id, ret FROM pret WHERE asset = 'Brand#7') r USING (period_id)"""))
+def trace_pairing(t: Tables):
+    from loomline.operators import kernel, trace
+
+    cov = kernel.kernel_covariance(t.returns, t.shocks, t.calendar, len(t.topics))
+    return tidy(trace.pairing_table(cov, align.period_returns(t.returns, t.calendar), t.calendar, TRACE["asset"]))
+
+
+@query("trace_asset_days", with_ctes("cal rets", """
+    SELECT CAST(c.date AS VARCHAR) AS date, pos, period_id, round(ret, 8) AS ret FROM cal c LEFT JOIN rets r ON r.date = c.date AND r.asset = 'Brand#7'"""))
+def trace_asset_days(t: Tables):
+    from loomline.operators import trace
+
+    return tidy(trace.asset_days(t.returns, t.calendar, TRACE["asset"]))
+
+
+@query("trace_topic_days", with_ctes("cal att shk", """
+    SELECT CAST(c.date AS VARCHAR) AS date, c.pos, a.level, round(s.z, 8) AS z FROM cal c
+    LEFT JOIN att a ON a.date = c.date AND a.topic = '2-HIGH' LEFT JOIN shk s ON s.date = c.date AND s.topic = '2-HIGH'"""))
+def trace_topic_days(t: Tables):
+    from loomline.operators import trace
+
+    return tidy(trace.topic_days(t.attention, t.shocks, t.calendar, TRACE["topic"]))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,11 @@ SCHEMAS = {
 TIERS = ["strong", "moderate", "weak"]
 
 
+def data_folder(default: str, variable: str = "LOOMLINE_DATA") -> str:
+    """Folder of registries and stores; an environment variable overrides the default."""
+    return os.environ.get(variable) or default
+
+
 def read_registry(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One registry file with its fixed columns; values are read by header name."""
     raw = spark.read.option("header", True).csv(f"{folder.rstrip('/')}/{name}.csv")

@@ -25,3 +25,8 @@ def test_every_oracle_has_a_query():
 
 def test_entry_runs(spark):
     assert set(entry.entry(spark).columns) == {"asset", "topic", "cov", "rank"}
+
+
+def test_study_checks_pass(spark):
+    rows = QUERIES["study_checks"](spark, "/root/testdata/sf0.01").collect()
+    assert len(rows) > 12 and [r["name"] for r in rows if r["status"] == "fail"] == []
