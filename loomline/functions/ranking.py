@@ -5,33 +5,42 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomline.functions.session import materialise
 
-def _with_bucket(counts: DataFrame, value: str, buckets: int) -> DataFrame:
-    """Adds the number of cut points below each value; cuts are approximate quantiles, ranks stay exact."""
-    cuts = sorted(set(counts.approxQuantile(value, [i / buckets for i in range(1, buckets)], 0.01)))
-    below = F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda c: c < F.col(value))) if cuts else F.lit(0)
-    return counts.withColumn("bucket", below)
 
+def average_rank(counts: DataFrame, value: str, out: str, buckets: int = 64) -> DataFrame:
+    """Average rank of each value (ties share their mean rank); ``counts`` has one row per value with ``ties``.
 
-def average_rank(df: DataFrame, value: str, out: str, buckets: int = 64) -> DataFrame:
-    """Average rank of each value (ties share their mean rank).
-
-    Rows are counted per distinct value, values are split into ranges, and a
-    range's rank starts after the counts of the ranges before it. Only range
-    totals meet in one task.
+    Values are split into ranges at approximate quantiles and a range's ranks
+    start after the counts of the ranges before it, so the ranks are exact and only
+    range totals meet in one task.
     """
-    counts = _with_bucket(df.groupBy(value).agg(F.count("*").alias("ties")), value, buckets)
-    totals = counts.groupBy("bucket").agg(F.sum("ties").alias("n"))
+    cuts = sorted(set(counts.approxQuantile(value, [i / buckets for i in range(1, buckets)], 0.01)))
+    below = F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda c: c < F.col(value))) if cuts else F.lit(0)
+    split = counts.withColumn("bucket", below)
+    totals = split.groupBy("bucket").agg(F.sum("ties").alias("n"))
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select("bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     inside = Window.partitionBy("bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = counts.join(F.broadcast(starts), "bucket").select(
+    return split.join(F.broadcast(starts), "bucket").select(
         value, (F.col("start") + F.coalesce(F.sum("ties").over(inside), F.lit(0)) + (F.col("ties") + 1) / 2).alias(out)
     )
-    return df.join(ranks, value)
 
 
 def spearman(pairs: DataFrame, a: str, b: str) -> DataFrame:
-    """Rank correlation over rows where both values exist; NULL when one side is constant."""
-    both = pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(a, b)
-    return average_rank(average_rank(both, a, "rank_a"), b, "rank_b").agg(F.corr("rank_a", "rank_b").alias("spearman"))
+    """Rank correlation over rows where both values exist; NULL when one side is constant.
+
+    Equal pairs are counted first, so heavily tied columns shrink before anything
+    is ranked. Ranks have the known mean (N + 1) / 2, which centres them exactly.
+    """
+    both = pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull())
+    cells = materialise(both.groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").alias("n")), "rank_cells")
+    ranked = cells
+    for side in ("a", "b"):
+        counts = cells.groupBy(side).agg(F.sum("n").alias("ties"))
+        ranked = ranked.join(average_rank(counts, side, f"rank_{side}"), side)
+    total = cells.agg(F.sum("n")).first()[0] or 0
+    middle = F.lit((total + 1) / 2)
+    ra, rb, n = F.col("rank_a") - middle, F.col("rank_b") - middle, F.col("n")
+    var = F.sqrt(F.sum(n * ra * ra) * F.sum(n * rb * rb))
+    return ranked.agg(F.when(var > 0, F.sum(n * ra * rb) / var).alias("spearman"))

@@ -65,12 +65,13 @@ def instrument_scale(panel: DataFrame) -> DataFrame:
     )
 
 
-def moments_long(panel: DataFrame) -> DataFrame:
-    """Cross moments per period as rows ``(t_idx, l, m, s)`` and ``m = -1`` for x'y."""
-    left = panel.select("t_idx", "y", "x", F.posexplode("x").alias("l", "a"))
-    values = F.concat(F.array("y"), F.col("x"))
-    pairs = left.select("t_idx", "l", "a", F.posexplode(values).alias("m", "b"))
-    return pairs.groupBy("t_idx", "l", (F.col("m") - 1).alias("m")).agg(F.sum(F.col("a") * F.col("b")).alias("s"))
+def moments_long(moments: DataFrame) -> DataFrame:
+    """Period moments as rows ``(t_idx, l, m, s)``, with ``m = -1`` for x'y."""
+    width = F.size("v")
+    square = moments.select("t_idx", width.alias("p"), F.posexplode("s").alias("k", "s")).select(
+        "t_idx", F.floor(F.col("k") / F.col("p")).cast("int").alias("l"), (F.col("k") % F.col("p")).alias("m"), "s"
+    )
+    return square.unionByName(moments.select("t_idx", F.posexplode("v").alias("l", "s")).withColumn("m", F.lit(-1)))
 
 
 def fitted_values(panel: DataFrame, gamma: list[list[float]], factors: DataFrame) -> DataFrame:

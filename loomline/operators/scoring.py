@@ -84,7 +84,7 @@ def _numbered(rows: DataFrame, by: str | None) -> DataFrame:
         return rows.withColumn("t_idx", F.lit(0)).withColumn("g", F.lit("all"))
     labels = rows.select(F.col(by).cast("string").alias("g")).distinct()
     numbers = labels.select("g", (F.row_number().over(Window.orderBy("g")) - 1).alias("t_idx"))
-    return rows.withColumn("g", F.col(by).cast("string")).join(F.broadcast(numbers), "g")
+    return rows.withColumn("g", F.col(by).cast("string")).join(numbers, "g")
 
 
 def _moment_matrices(batch: pd.DataFrame):
@@ -164,16 +164,42 @@ def loading_angles(estimate: np.ndarray, truth: np.ndarray) -> float:
     return float(got.min()) if len(got) else float("nan")
 
 
-def pairwise_correlation(rows: DataFrame, key: str, name: str, value: str, min_obs: int = 3) -> DataFrame:
-    """Pairwise-complete correlation of every ordered pair of series with ``a < b``.
+def pairwise_correlation(rows: DataFrame, key: str, name: str, value: str, names: list[str], min_obs: int = 3) -> DataFrame:
+    """Pairwise-complete correlation and population covariance of every pair of series with ``a < b``.
 
-    Series meet on the key; what a key emits is the pair matrix itself. For many
-    series use ``cross_products``, which moves one array per key.
+    One array per key holds presence, value and squared value of every series;
+    the cross products of those arrays contain every pairwise-complete sum, so no
+    key emits its pairs.
     """
-    a = rows.where(F.col(value).isNotNull()).select(key, F.col(name).alias("a"), F.col(value).alias("x"))
-    b = rows.where(F.col(value).isNotNull()).select(key, F.col(name).alias("b"), F.col(value).alias("y"))
-    pairs = a.join(b, key).where("a < b").groupBy("a", "b").agg(F.corr("x", "y").alias("c"), F.covar_pop("x", "y").alias("cov"), F.count("*").alias("n"))
-    return pairs.select("a", "b", F.when(F.col("n") >= min_obs, F.col("c")).alias("corr"), "cov", "n")
+    order = sorted(names)
+    width = len(order)
+    packed = rows.where(F.col(value).isNotNull()).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct(name, F.col(value).cast("double")))).alias("m"))
+    ids = F.array(*[F.lit(n) for n in order])
+
+    def part(f):
+        return F.transform(ids, lambda i: F.coalesce(f(F.col("m")[i]), F.lit(0.0)))
+
+    x = F.concat(part(lambda v: F.when(v.isNotNull(), 1.0)), part(lambda v: v), part(lambda v: v * v))
+    table = period_moments(packed.select(F.lit(0).alias("t_idx"), F.lit(0.0).alias("y"), x.alias("x")))
+
+    def solve(batches):
+        for batch in batches:
+            for s in batch["s"]:
+                m = np.asarray(s, float).reshape(3 * width, -1)
+                n, sx, sxx, sq = m[:width, :width], m[width : 2 * width, :width], m[width : 2 * width, width : 2 * width], m[2 * width :, :width]
+                i, j = np.triu_indices(width, 1)
+                k = n[i, j]
+                ok = k > 0
+                i, j, k = i[ok], j[ok], k[ok]
+                mi, mj = sx[i, j] / k, sx[j, i] / k
+                cov = sxx[i, j] / k - mi * mj
+                var = (sq[i, j] / k - mi**2) * (sq[j, i] / k - mj**2)
+                good = (k >= min_obs) & (var > 0)
+                corr = np.where(good, cov / np.sqrt(np.where(good, var, 1.0)), np.nan)
+                yield pd.DataFrame({"a": [order[v] for v in i], "b": [order[v] for v in j], "corr": corr, "cov": cov, "n": k.astype(np.int64)})
+
+    out = table.select("s").mapInPandas(solve, "a string, b string, corr double, cov double, n long")
+    return out.withColumn("corr", F.when(~F.isnan("corr"), F.col("corr")))
 
 
 def observation_groups(rows: DataFrame, name: str, key: str) -> DataFrame:

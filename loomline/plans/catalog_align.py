@@ -351,7 +351,9 @@ def sigma_c(t: Tables):
     JOIN (SELECT t_idx, asset, unnest(list_prepend(y, x)) AS v, unnest(range(len(x) + 1)) AS l FROM panel) b USING (t_idx, asset)
     GROUP BY 1, 2, 3"""))
 def panel_moments_long(t: Tables):
-    return tidy(panel.moments_long(t.panel), 9)
+    from loomline.operators.moments import period_moments
+
+    return tidy(panel.moments_long(period_moments(t.panel)), 9)
 
 
 # A fixed two-factor loading matrix for the fitted-value queries.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import cache
 
 from pyspark.sql import Window
@@ -396,33 +397,20 @@ def spearman_ties(t: Tables):
 @query("lab_comparison")
 def lab_comparison(t: Tables):
     """Direct methods on designed attention with known sensitivities, scored on the same days."""
-    std, weights, topics, scaling, signal, attention = lab_world(t)
-    truth = materialise(designed.population_sensitivities(signal, scaling, std, t.calendar, topics, 5), "truth")
-    by_day, usable = lab_pairs(t, attention.select("date", "topic", "level"), topics)
-    rows, scale = direct.training_rows(by_day, usable, topics, TRAIN_START, TRAIN_END)
-    rows, scale = materialise(rows, "training_rows"), materialise(scale, "training_scale")
-    out = None
-    methods = {"elastic_net": direct.DirectConfig(), "ridge": direct.DirectConfig(method="ridge"), "ols": direct.DirectConfig(method="ols")}
-    for name, cfg in [*methods.items(), ("oracle", None)]:
-        if cfg is None:
-            coefs = truth.select("topic", "asset", "b", (F.abs("b") >= 0.05).alias("selected"))
-        else:
-            coefs = materialise(direct.fit_direct(rows, scale, topics, cfg), "coefs").select("topic", "asset", "b", "selected")
-        fit = windows.fitted_days(by_day, windows.forecast_days(usable, FORECAST, 12), coefs, scale, topics)
-        r2 = windows.median_r2(windows.window_r2(fit, "asset"))
-        pairs = coefs.join(truth.select("topic", "asset", F.col("b").alias("b_true")), ["topic", "asset"]).join(weights, ["topic", "asset"], "left")
-        score = windows.recovery(pairs, 0.05)
-        row = r2.withColumn("method", F.lit(name)).join(score.withColumn("method", F.lit(name)), "method")
-        row = row.join(spearman(pairs, "b", "b_true").withColumn("method", F.lit(name)), "method")
-        out = row if out is None else out.unionByName(row)
-    return out
+    from loomline.functions.session import shared_folder
+    from loomline.plans.lab import LabConfig, LabSession
+
+    _, weights, topics = lab_design(t)
+    cfg = LabConfig(train_start=TRAIN_START, train_end=TRAIN_END, forecast_start=FORECAST, forecast_weeks=12)
+    lab = LabSession(t.spark, f"{shared_folder(t.spark)}/loomline/lab-{uuid.uuid4().hex}", t.returns, weights, t.calendar, topics, cfg)
+    return lab.compare(("elastic_net", "ridge", "ols", "oracle"))
 
 
 @query("pairwise_corr", with_ctes("shk", """
     SELECT a.topic AS a, b.topic AS b, CASE WHEN count(*) >= 3 THEN round(corr(a.z, b.z), 8) END AS corr, round(covar_pop(a.z, b.z), 7) AS cov, count(*) AS n
     FROM shk a JOIN shk b ON a.date = b.date AND a.topic < b.topic WHERE a.z IS NOT NULL AND b.z IS NOT NULL GROUP BY 1, 2"""))
 def pairwise_corr(t: Tables):
-    return tidy(scoring.pairwise_correlation(t.shocks, "date", "topic", "z"), 8, cov=7)
+    return tidy(scoring.pairwise_correlation(t.shocks, "date", "topic", "z", t.topics), 8, cov=7)
 
 
 @query("observation_groups", with_ctes("rets", """

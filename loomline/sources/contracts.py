@@ -19,8 +19,11 @@ def sensitivity_problems(rows: DataFrame, topics: DataFrame) -> DataFrame:
     """Row count, duplicate keys, unknown enumeration values and unknown topics."""
     known = topics.select("topic").distinct().withColumn("known", F.lit(True))
     checked = rows.join(known, "topic", "left")
+    wrong = ~F.col("coverage").isin(COVERAGE)
+    if "source" in rows.columns:
+        wrong = wrong | ~F.col("source").isin(SOURCES)
     per_key = checked.groupBy("as_of", "topic", "asset").agg(
-        F.count("*").alias("c"), F.count(F.when(~F.col("coverage").isin(COVERAGE), 1)).alias("bad"), F.count(F.when(F.col("known").isNull(), 1)).alias("unknown")
+        F.count("*").alias("c"), F.count(F.when(wrong, 1)).alias("bad"), F.count(F.when(F.col("known").isNull(), 1)).alias("unknown")
     )
     return per_key.agg(
         F.sum("c").alias("n_rows"), F.sum(F.col("c") - 1).alias("n_duplicates"), F.sum("bad").alias("n_bad_coverage"), F.sum("unknown").alias("n_unknown_topic")

@@ -116,6 +116,19 @@ def test_spearman_matches_pandas_with_ties(spark):
     assert spearman(spark.createDataFrame(pdf), "a", "b").first()[0] == pytest.approx(pdf["a"].rank().corr(pdf["b"].rank()))
 
 
+def test_pairwise_correlation_with_gaps(spark):
+    rng = np.random.default_rng(2)
+    z = pd.DataFrame(rng.standard_normal((200, 4)) + 3, columns=list("abcd"))
+    z = z.mask(rng.random(z.shape) < 0.2)
+    z.loc[2:, "d"] = np.nan
+    rows = spark.createDataFrame([(i, c, float(v)) for c in z for i, v in z[c].items() if v == v], "k int, s string, v double")
+    got = {(r["a"], r["b"]): r for r in scoring.pairwise_correlation(rows, "k", "s", "v", list("abcd")).collect()}
+    for a, b in [("a", "b"), ("b", "c")]:
+        ok = z[[a, b]].dropna()
+        assert got[a, b]["n"] == len(ok) and got[a, b]["corr"] == pytest.approx(ok[a].corr(ok[b])) and got[a, b]["cov"] == pytest.approx(ok[a].cov(ok[b], ddof=0))
+    assert all(r["corr"] is None for k, r in got.items() if "d" in k)
+
+
 def test_shuffles_are_permutations(spark):
     rows = [(t, dt.date(2024, 1, 5), f"a{i}", 0.1 * i, [1.0, float(i)]) for t in range(2) for i in range(7)]
     df = spark.createDataFrame(rows, "t_idx int, period date, asset string, y double, x array<double>")
