@@ -15,8 +15,8 @@ def average_rank(counts: DataFrame, value: str, out: str, buckets: int = 64) ->
     start after the counts of the ranges before it, so the ranks are exact and only
     range totals meet in one task.
     """
-    cuts = sorted(set(counts.approxQuantile(value, [i / buckets for i in range(1, buckets)], 0.01)))
-    below = F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda c: c < F.col(value))) if cuts else F.lit(0)
+    cuts = sorted(set(counts.approxQuantile(value, [i / buckets for i in range(1, buckets)], 0.01))) if buckets > 1 else []
+    below = sum(((F.col(value) > F.lit(float(c))).cast("int") for c in cuts), F.lit(0))
     split = counts.withColumn("bucket", below)
     totals = split.groupBy("bucket").agg(F.sum("ties").alias("n"))
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -35,11 +35,13 @@ def spearman(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """
     both = pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull())
     cells = materialise(both.groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").alias("n")), "rank_cells")
+    total, size = cells.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    # A few values need no ranges; beyond that they are split.
+    buckets = 1 if size <= 100_000 else 64
     ranked = cells
     for side in ("a", "b"):
         counts = cells.groupBy(side).agg(F.sum("n").alias("ties"))
-        ranked = ranked.join(average_rank(counts, side, f"rank_{side}"), side)
-    total = cells.agg(F.sum("n")).first()[0] or 0
+        ranked = ranked.join(average_rank(counts, side, f"rank_{side}", buckets), side)
     middle = F.lit((total + 1) / 2)
     ra, rb, n = F.col("rank_a") - middle, F.col("rank_b") - middle, F.col("n")
     var = F.sqrt(F.sum(n * ra * ra) * F.sum(n * rb * rb))

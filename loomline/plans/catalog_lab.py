@@ -223,7 +223,8 @@ def training_pairs(t: Tables):
 
 
 @query("direct_ols_one_topic", with_ctes(PAIR_CTES, """
-    SELECT asset, topic, round(regr_slope((ret - mean) / scale, s), 8) AS b, round(regr_intercept((ret - mean) / scale, s), 8) AS intercept, count(*) AS n_train
+    SELECT asset, topic, CASE WHEN count(*) >= 20 THEN round(regr_slope((ret - mean) / scale, s), 8) ELSE 0.0 END AS b,
+      CASE WHEN count(*) >= 20 THEN round(regr_intercept((ret - mean) / scale, s), 8) ELSE 0.0 END AS intercept, count(*) AS n_train
     FROM train JOIN sday USING (date) JOIN rsc USING (asset) WHERE topic = '1-URGENT' GROUP BY 1, 2""", **PAIRS))
 def direct_ols_one_topic(t: Tables):
     """Least squares on one topic through the cross-product route."""
@@ -234,7 +235,7 @@ def direct_ols_one_topic(t: Tables):
 
 
 @query("direct_ridge_one_topic", with_ctes(PAIR_CTES, """
-    SELECT asset, topic, round(covar_pop((ret - mean) / scale, s) / (var_pop(s) + 0.1), 8) AS b, count(*) AS n_train
+    SELECT asset, topic, CASE WHEN count(*) >= 20 THEN round(covar_pop((ret - mean) / scale, s) / (var_pop(s) + 0.1), 8) ELSE 0.0 END AS b, count(*) AS n_train
     FROM train JOIN sday USING (date) JOIN rsc USING (asset) WHERE topic = '1-URGENT' GROUP BY 1, 2""", **PAIRS))
 def direct_ridge_one_topic(t: Tables):
     by_day, usable = lab_pairs(t)
@@ -243,7 +244,7 @@ def direct_ridge_one_topic(t: Tables):
 
 
 @query("direct_lasso_one_topic", with_ctes(PAIR_CTES, """
-    SELECT asset, topic, CASE WHEN abs(c) > 0.009 THEN round(sign(c) * (abs(c) - 0.009) / (v + 0.001), 6) ELSE 0 END AS b, n_train FROM (
+    SELECT asset, topic, CASE WHEN abs(c) > 0.009 AND n_train >= 20 THEN round(sign(c) * (abs(c) - 0.009) / (v + 0.001), 6) ELSE 0 END AS b, n_train FROM (
       SELECT asset, topic, covar_pop((ret - mean) / scale, s) AS c, var_pop(s) AS v, count(*) AS n_train
       FROM train JOIN sday USING (date) JOIN rsc USING (asset) WHERE topic = '1-URGENT' GROUP BY 1, 2)""", **PAIRS)
     .replace("ELSE 0 END AS b", "ELSE 0.0 END AS b"))

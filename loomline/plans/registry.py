@@ -26,7 +26,7 @@ def query(name: str, sql: str | None = None):
         QUERIES[name] = run
         if sql is not None:
             # Adding zero turns a negative zero left by rounding into zero on both sides.
-            ORACLES[name] = re.sub(r"(,\s*\d+\))( END)? AS (?!DATE|VARCHAR|BIGINT|DOUBLE)", r"\1 + 0.0\2 AS ", sql)
+            ORACLES[name] = re.sub(r"(,\s*\d+\))( ELSE [0-9.]+)?( END)? AS (?!DATE|VARCHAR|BIGINT|DOUBLE)", r"\1 + 0.0\2\3 AS ", sql)
         return fn
 
     return wrap

@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from loomline.functions.ranking import spearman
+from loomline.functions.ranking import average_rank, spearman
 from loomline.operators import cleaning, designed, direct, inference, links, scoring, weekly
 from loomline.operators.calendar import trading_calendar
 from tests.test_hand_cases import days
@@ -113,7 +113,12 @@ def test_unit_slips_and_bad_ticks(spark):
 def test_spearman_matches_pandas_with_ties(spark):
     rng = np.random.default_rng(1)
     pdf = pd.DataFrame({"a": rng.integers(0, 9, 500).astype(float), "b": rng.standard_normal(500).round(1)})
-    assert spearman(spark.createDataFrame(pdf), "a", "b").first()[0] == pytest.approx(pdf["a"].rank().corr(pdf["b"].rank()))
+    df = spark.createDataFrame(pdf)
+    assert spearman(df, "a", "b").first()[0] == pytest.approx(pdf["a"].rank().corr(pdf["b"].rank()))
+    counts = df.groupBy("b").count().withColumnRenamed("count", "ties")
+    for buckets in (1, 7, 64):
+        got = {r["b"]: r["r"] for r in average_rank(counts, "b", "r", buckets).collect()}
+        assert all(got[v] == r for v, r in zip(pdf["b"], pdf["b"].rank()))
 
 
 def test_pairwise_correlation_with_gaps(spark):

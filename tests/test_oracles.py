@@ -5,7 +5,7 @@ import pytest
 import __spark_entry__ as entry
 from tests.compare import connect, differences
 
-SF = "/root/testdata/sf0.001"
+SF = "/root/testdata/sf0.01"
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
 
 
