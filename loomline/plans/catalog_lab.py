@@ -48,7 +48,7 @@ def link_map(t: Tables):
     return edges(t).where("tier IS NOT NULL").select("topic", "asset", "tier", "sign", F.lit("default").alias("origin"))
 
 
-@query("link_map", with_ctes("", "SELECT topic, asset, tier, sign, origin FROM links", edges=EDGES, links=LINKS))
+@query("link_map", with_ctes("", "SELECT topic, asset, tier, CAST(sign AS BIGINT) AS sign, origin FROM links", edges=EDGES, links=LINKS))
 def link_map_query(t: Tables):
     return tidy(link_map(t))
 
@@ -72,7 +72,7 @@ def design_two_tiers(t: Tables):
 
 @query("link_overrides", with_ctes("", """
     SELECT coalesce(l.topic, o.topic) AS topic, coalesce(l.asset, o.asset) AS asset, coalesce(o.tier, l.tier) AS tier,
-      coalesce(o.sign, l.sign) AS sign, CASE WHEN o.tier IS NOT NULL THEN 'override' ELSE l.origin END AS origin
+      CAST(coalesce(o.sign, l.sign) AS BIGINT) AS sign, CASE WHEN o.tier IS NOT NULL THEN 'override' ELSE l.origin END AS origin
     FROM links l FULL JOIN (SELECT * FROM ov QUALIFY row_number() OVER (PARTITION BY topic, asset ORDER BY seq DESC) = 1) o
       ON o.topic = l.topic AND o.asset = l.asset
     WHERE coalesce(o.tier, l.tier) <> 'none'""", edges=EDGES, links=LINKS, ov="""

@@ -127,7 +127,7 @@ def fixed_map(t: Tables):
 
 
 @query("states_fixed_map", with_ctes("shk att", """
-    SELECT CAST(date AS VARCHAR) AS date, factor, CASE WHEN count(z) = 5 THEN round(sum(z * w), 8) END AS value
+    SELECT CAST(date AS VARCHAR) AS date, CAST(factor AS BIGINT) AS factor, CASE WHEN count(z) = 5 THEN round(sum(z * w), 8) END AS value
     FROM shk JOIN map USING (topic) SEMI JOIN att USING (date) GROUP BY 1, 2""", map=MAP_SQL))
 def states_fixed_map(t: Tables):
     return tidy(interpret.weighted_shocks(t.shocks, fixed_map(t), len(t.topics)))
