@@ -118,3 +118,19 @@ def test_stream_equals_batch(spark, tmp_path):
     got = {(r["date"], r["topic"]): r["level"] for r in spark.table("attention_stream").collect()}
     want = {(r["date"], r["topic"]): r["level"] for r in align.document_attention(theta).where(F.col("date") <= "2024-01-08").collect()}
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in got)
+
+
+def test_shared_folder_fallback_is_local_only():
+    from types import SimpleNamespace
+
+    from loomline.functions.session import shared_folder
+
+    def session(master, value=None):
+        conf = SimpleNamespace(get=lambda key, default: value)
+        return SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master, applicationId="app-1"))
+
+    assert shared_folder(session("yarn", "s3a://x/cp")) == "s3a://x/cp"
+    first = shared_folder(session("local[2]"))
+    assert first and shared_folder(session("local[2]")) == first
+    with pytest.raises(ValueError):
+        shared_folder(session("yarn"))
