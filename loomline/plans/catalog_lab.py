@@ -506,3 +506,16 @@ def harness_run(t: Tables):
     topics = bounded_list(nations, "topic")
     cfg = study.StudyConfig(fit=factor_model.FitConfig(K=1, n_lambdas=5), oos=tuning.OosConfig(min_train=30, refit_every=24))
     return harness.run_harness(t.returns, used, t.calendar, topics, harness.HarnessConfig(seeds=(0,), study=cfg))["passed"]
+
+
+@query("designed_kernel_pairs")
+def designed_kernel_pairs(t: Tables):
+    """Kernel covariances of every brand with designed attention in the last period; the largest pairs."""
+    from loomline.operators import interpret, kernel, shocks
+
+    *_, topics, _, _, attention = lab_world(t)
+    z = materialise(shocks.attention_shocks(attention.select("date", "topic", "level"), t.calendar, 5), "designed_shocks")
+    cov = kernel.kernel_covariance(t.returns, z, t.calendar, len(topics))
+    newest = cov.groupBy("asset", "topic").agg(F.max_by(F.struct("period_id", "cov", "n_days"), "period_id").alias("k"))
+    pairs = newest.select("asset", "topic", "k.period_id", "k.cov", "k.n_days").withColumn("size", F.abs("cov"))
+    return interpret.top_scores(pairs, "size", 20, "asset", "topic").drop("size")

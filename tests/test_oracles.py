@@ -24,7 +24,8 @@ def test_every_oracle_has_a_query():
 
 
 def test_entry_runs(spark):
-    assert set(entry.entry(spark).columns) == {"asset", "topic", "cov", "rank"}
+    got = entry.entry(spark)
+    assert got.columns == ["asset", "topic", "period_id", "cov", "n_days"] and got.count() == 20
 
 
 def test_study_checks_pass(spark):
