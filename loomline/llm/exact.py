@@ -21,6 +21,7 @@ from loomline.functions.session import materialise
 from loomline.llm import packed
 
 CHUNK = 1 << 20  # documents in one list of a sender
+OWNER_ROWS = 1 << 22
 
 SENT = T.StructType([
     T.StructField("sender", T.StringType()), T.StructField("owner", T.IntegerType()), T.StructField("coded", T.BinaryType()),
@@ -99,8 +100,8 @@ def exact_groups(docs: DataFrame, owners: int | None = None) -> DataFrame:
     Texts are equal when identical after white-space runs become one space; the
     smallest doc_id of a group stays.
 
-    owners: ranges of fingerprints, by default the session's shuffle
-    partitions; an owner holds one value per list and distinct text, so a text
+    owners: ranges of fingerprints, by default the session's shuffle partitions
+    and more where an owner would get over 4 million rows; an owner holds one value per list and distinct text, so a text
     that fills a third of the table costs it one value per list.
 
     Null or empty texts are equal to each other and form a group like any
@@ -109,7 +110,7 @@ def exact_groups(docs: DataFrame, owners: int | None = None) -> DataFrame:
     keep_id is null. Other columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    owners = owners or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    owners = owners or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // OWNER_ROWS))
     marks = materialise(fingerprints(docs, owners), "marks")
     suspects = marks.where("suspect").select(F.col("doc_id").alias("s_id")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised("text").alias("body"))

@@ -3,23 +3,44 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loomline.llm import exact, warc
+from loomline.llm import exact, jaccard, licences, lm, mixing, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and epochs that the weighted mixture takes."""
+    return mixing.select_mixture(_table(spark, sf_dir, "documents"))
+
+
+def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and model log-probability of every text."""
+    return lm.score_texts(_table(spark, sf_dir, "documents")).withColumns({c: F.round(c, 6) for c in ("base_score", "score")})
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of equal texts and the row that stays."""
     return exact.exact_groups(_table(spark, sf_dir, "documents"))
 
 
+def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and templates found in every text."""
+    return licences.scan_licences(_table(spark, sf_dir, "documents"))
+
+
+def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components by five-word shingles."""
+    return jaccard.jaccard_components(_table(spark, sf_dir, "documents"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages written as archives and read back."""
     return warc.round_trip(_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op5_exact_dedup, op10_warc)}
-ORACLES = {"op5_exact_dedup": exact.EXACT_SQL, "op10_warc": warc.WARC_SQL}
+QUERIES = {f.__name__: f for f in (op3_mix_sources, op4_lm_scores, op5_exact_dedup, op6_licences, op9_jaccard, op10_warc)}
+ORACLES = {"op3_mix_sources": mixing.MIX_SQL, "op4_lm_scores": lm.LM_SQL, "op9_jaccard": jaccard.JACCARD_SQL, "op6_licences": licences.LICENCE_SQL, "op5_exact_dedup": exact.EXACT_SQL, "op10_warc": warc.WARC_SQL}
