@@ -8,6 +8,7 @@ records; bodies are framed as chunked transfer coding.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -20,7 +21,7 @@ from loomline.functions.session import materialise, shared_folder
 
 SEGMENT_BYTES = 8192  # largest block of one record
 FRAME_BYTES = 4096  # largest chunk of the transfer coding
-FILE_RECORDS = 4000  # records of one archive, which bounds an archive to about 32 MB
+FILE_RECORDS = 4000  # records of one archive, which bounds an archive to about 32 MB before compression
 MIN_REVISIT = 100  # shorter payloads are never replaced by a revisit
 DATE = "2024-01-01T00:00:00Z"  # fixed value: the tables have no fetch time
 
@@ -116,7 +117,7 @@ def write_archives(pages: DataFrame, path: str, segment: int = SEGMENT_BYTES) ->
                         F.when(again, F.col("first_id")).alias("refers_to"), F.when(~again, F.col("payload")).alias("payload"))
     records = rows.mapInArrow(_to_records(segment), "value binary")
     # A cast from binary keeps the bytes as they are, and the text writer writes them so.
-    records.select(F.col("value").cast("string").alias("value")).write.mode("errorifexists").option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", str(FILE_RECORDS)).text(path)
+    records.select(F.col("value").cast("string").alias("value")).write.mode("errorifexists").option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", str(FILE_RECORDS)).option("compression", "gzip").text(path)
 
 
 def _parse(archive: bytes) -> Iterator[tuple]:
@@ -145,7 +146,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for archive in batch.column(0):
             rows, size = [], 0
-            for row in _parse(archive.as_py()):
+            for row in _parse(gzip.decompress(archive.as_py())):
                 rows.append(row)
                 size += len(row[-1])
                 if size > 1 << 23:
