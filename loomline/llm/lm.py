@@ -27,8 +27,8 @@ from loomline.llm import packed
 
 ORDER = 2
 MASS = 200.0  # words' worth of belief that a state gives its shorter history
-BATCH_WORDS = 1 << 20
-OWNER_GRAMS = 1 << 22  # n-grams of all batches that one owner adds up
+BATCH_WORDS = 1 << 18
+OWNER_GRAMS = 1 << 21  # n-grams of all batches that one owner adds up
 END = np.uint64(0xC2B2AE3D27D4EB4F)  # the token that ends a text
 
 SEQUENCES = "batch string, ids array<long>, held array<boolean>, lengths binary, words binary, tokens binary, n_tokens long"
