@@ -33,9 +33,11 @@ from loomline.llm import packed
 from loomline.llm.graph import components
 
 WIDTH, PERCENT = 5, 75
-SIGNATURES = 4  # min-hash groups a row is compared in before the product
+SIGNATURES = 6  # min-hash groups a row is compared in before the product
 SKETCH_BITS = 18  # counters of the rarity count: 2 MB, whatever the input
 PIECES = 16
+WIDE = 48  # rows from which a column is multiplied by tiles rather than as pairs
+TILE, TILE_COLUMNS = 512, 4096
 BLOCK_CELLS = 1 << 22  # cells of the matrix in one block of columns
 _SALTS = np.random.default_rng(11).integers(1, 2**64, SIGNATURES, dtype=np.uint64)
 
@@ -161,6 +163,68 @@ def _columns(table: pa.Table) -> pa.Table:
     return pa.table({"gram": grams[shared].view(np.int64), "doc_id": ids[shared], "size": sizes[shared].astype(np.int64)})
 
 
+def _tile(width: int, percent: int):
+    """Overlaps of all rows of two tiles as a matrix product over chunks of columns; gives each row the first row it is connected with."""
+
+    def run(table: pa.Table) -> pa.Table:
+        data, offsets = packed.text_bytes(table.column("text"))
+        sets = list(packed.shingle_sets(data, offsets, width))
+        node, comp = table.column("node").to_numpy(), table.column("comp").to_numpy()
+        size = np.array([len(x) for x in sets])
+        row = np.repeat(np.arange(len(sets)), size)
+        _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        met = times > 1
+        row, column = row[met[column]], (np.cumsum(met) - 1)[column[met[column]]]
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        overlap = np.zeros((len(sets), len(sets)), np.float32)
+        total = int(met.sum())
+        for at in range(0, total, TILE_COLUMNS):
+            a, b = np.searchsorted(column, (at, at + TILE_COLUMNS))
+            cells = np.zeros((len(sets), min(TILE_COLUMNS, total - at)), np.float32)
+            cells[row[a:b], column[a:b] - at] = 1
+            overlap += cells @ cells.T
+        links = enough(overlap.astype(np.int64), size[:, None], size[None, :], percent) & (comp[:, None] != comp[None, :])
+        label = np.arange(len(sets))
+        while True:
+            near = np.where(links, label[None, :], len(sets)).min(1)
+            new = np.minimum(label, near)
+            new = np.minimum(new, new[new])
+            if (new == label).all():
+                break
+            label = new
+        moved = label != np.arange(len(sets))
+        return pa.table({"a": node[label[moved]], "b": node[moved]})
+
+    return run
+
+
+def _hot_links(cells: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links between different components among the rows of wide columns: (a, b), a spanning set of them.
+
+    Columns that start with the same row are one family (the n-grams of a shared
+    passage have nearly the same rows). A family is cut into tiles of TILE rows and
+    each pair of tiles is one product, so no pair of rows leaves a task
+    but those that connect something. Pairs of tiles that lie in one component, or
+    whose sizes can not link, are left out.
+    """
+    rows = materialise(cells.groupBy("family", "node").agg(F.max("n").alias("n"), F.max("comp").alias("comp")), "jaccard_families")
+    by_comp = rows.groupBy("family", "comp").agg(F.count("*").alias("own"))
+    small = by_comp.groupBy("family").agg(F.sum(F.when(F.col("own") <= TILE, F.col("own")).otherwise(0)).alias("others"))
+    spread = lambda key, m: F.pmod(F.xxhash64(key), F.ceil(F.col(m) / TILE)).cast("string")
+    tile = F.when(F.col("own") > TILE, F.concat(F.col("comp").cast("string"), F.lit("#"), spread("node", "own"))).otherwise(F.concat(F.lit("#"), spread("comp", "others")))
+    rows = materialise(rows.join(by_comp, ["family", "comp"]).join(small, "family").select("family", "node", "n", "comp", tile.alias("tile")), "jaccard_tiled")
+    tiles = rows.groupBy("family", "tile").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("n").alias("least"), F.max("n").alias("most"))
+    one, two = tiles.alias("x"), tiles.alias("y")
+    pairs = one.join(two, F.expr(f"""x.family = y.family and x.tile <= y.tile and (x.low <> x.high or y.low <> y.high or x.low <> y.low)
+        and 100 * x.most >= {percent} * y.least and 100 * y.most >= {percent} * x.least""")).selectExpr("x.family as family", "x.tile as tile_a", "y.tile as tile_b")
+    pairs = materialise(pairs, "jaccard_tile_pairs")
+    side = lambda t: pairs.select("family", "tile_a", "tile_b", F.col(t).alias("tile"))
+    dealt = side("tile_a").unionByName(side("tile_b").where("tile_a <> tile_b")).join(rows, ["family", "tile"]).select("family", "tile_a", "tile_b", "node", "comp")
+    texts = docs.join(rows.select(F.col("node").alias("i")).distinct(), F.col("doc_id") == F.col("i"), "left_semi").select(F.col("doc_id").alias("node"), F.coalesce("text", F.lit("")).alias("text"))
+    return dealt.join(texts, "node").groupBy("family", "tile_a", "tile_b").applyInArrow(_tile(width, percent), "a long, b long")
+
+
 def _pairs_of(cells: DataFrame, percent: int) -> DataFrame:
     """Overlap counts of rows in different components, at or above what their sizes ask for: (a, b)."""
     left = cells.select("gram", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("comp").alias("comp_a"))
@@ -204,7 +268,14 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
 
     # Every row against the first of its min-hash groups.
     signed = nodes.select("node", "n", F.posexplode("sigs").alias("k", "sig"))
-    first = signed.groupBy("k", "sig").agg(F.min(F.struct("node", "n")).alias("first"), F.count("*").alias("m")).where("m > 1")
+    # A row that is in large groups throughout is most like the rest of its family, so each group tries it; and one at random.
+    sizes = signed.groupBy("k", "sig").agg(F.count("*").alias("m")).where("m > 1")
+    signed = materialise(signed.join(sizes, ["k", "sig"]), "jaccard_groups")
+    central = signed.groupBy("node").agg(F.sum(F.log("m")).alias("central"))
+    ranked = signed.join(central, "node")
+    one = F.struct("node", "n")
+    first = ranked.groupBy("k", "sig").agg(F.array(F.max_by(one, F.struct("central", -F.col("node"))), F.min_by(one, F.xxhash64("node", "k"))).alias("first"))
+    first = first.select("k", "sig", F.explode("first").alias("first"))
     tries = signed.join(first, ["k", "sig"]).where("node <> first.node").select(F.col("first.node").alias("a"), F.col("node").alias("b"), F.col("first.n").alias("n_a"), F.col("n").alias("n_b"))
     tries = tries.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")).groupBy("a", "b").agg(F.count("*").alias("times"))
     sure = _linked(materialise(tries.select("a", "b"), "jaccard_tries"), docs, width, percent)
@@ -216,9 +287,11 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     cells = sent.groupBy("block").applyInArrow(_columns, "gram long, doc_id long, size long")
     of = members.join(start, members.node == start.node, "left").select("doc_id", members.node, F.coalesce("label", members.node).alias("comp"))
     cells = materialise(cells.where("size > 0").join(of.where("doc_id = node"), "doc_id").select("gram", "node", F.col("size").alias("n"), "comp"), "jaccard_cells")
-    mixed = cells.groupBy("gram").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("gram")
-    cells = materialise(cells.join(mixed, "gram", "left_semi"), "jaccard_mixed")
-    rest = _linked(materialise(_pairs_of(cells, percent), "jaccard_pairs"), docs, width, percent)
+    mixed = cells.groupBy("gram").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("m"), F.min("node").alias("family")).where("low <> high").select("gram", "m", "family")
+    cells = materialise(cells.join(mixed, "gram"), "jaccard_mixed")
+    # A pair that meets in a wide column is counted there; for any other the narrow columns hold all it shares.
+    rest = _linked(materialise(_pairs_of(cells.where(F.col("m") <= WIDE), percent), "jaccard_pairs"), docs, width, percent)
+    rest = rest.unionByName(materialise(_hot_links(cells.where(F.col("m") > WIDE), docs, width, percent), "jaccard_wide"))
 
     label = materialise(of.select("node", "comp").distinct(), "jaccard_comps")
     ends = lambda side: label.select(F.col("node").alias(side), F.col("comp").alias(f"comp_{side}"))
