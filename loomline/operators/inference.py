@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomline.functions.dense import f_survival
@@ -14,28 +14,15 @@ SINGULAR = 1e-12
 PRICING_SCHEMA = "asset string, alpha double, t_stat double, betas array<double>, r2 double, n int"
 
 
-def hac_covariance(x: np.ndarray, e: np.ndarray, lags: int) -> np.ndarray:
-    """Heteroskedasticity and autocorrelation robust covariance with Bartlett weights, no small-sample factor."""
-    u = x * e[:, None]
-    middle = u.T @ u
-    for j in range(1, min(lags, len(u) - 1) + 1):
-        cross = u[j:].T @ u[:-j]
-        middle += (1 - j / (lags + 1)) * (cross + cross.T)
-    bread = np.linalg.pinv(x.T @ x)
-    return bread @ middle @ bread
-
-
 def price_test_assets(returns: DataFrame, factors: DataFrame, K: int, hac_lags: int | None = None) -> DataFrame:
     """Regression of each asset's period return on the factors: alpha, its t, betas and R2.
 
     ``returns`` is (t_idx, asset, y) and ``factors`` (t_idx, f). Cross products
-    are sums of the JVM and only one short row per asset is solved. Robust errors
-    need the scores in time order, so those assets are handled as groups of their
-    periods. Assets with fewer than K + 2 periods have NULL results.
+    are sums of the JVM and only one short row per asset is solved. With ``hac_lags``
+    the t of alpha is robust to heteroskedasticity and autocorrelation (Bartlett
+    weights, no small-sample factor). Assets with fewer than K + 2 periods have NULL results.
     """
     rows = returns.where("y IS NOT NULL").join(factors, "t_idx").select("asset", "t_idx", "y", "f")
-    if hac_lags is not None:
-        return rows.groupBy("asset").applyInPandas(lambda pdf: _robust_row(pdf, K, hac_lags), PRICING_SCHEMA)
     x = [F.lit(1.0)] + [F.col("f")[k] for k in range(K)]
     products = [F.sum(x[i] * x[j]) for i in range(K + 1) for j in range(K + 1)]
     sums = rows.groupBy("asset").agg(
@@ -47,7 +34,42 @@ def price_test_assets(returns: DataFrame, factors: DataFrame, K: int, hac_lags:
             out = [_plain_row(a, int(n), yy, np.reshape(xx, (K + 1, K + 1)), np.asarray(xy, float)) for a, n, yy, xx, xy in zip(batch["asset"], batch["n"], batch["yy"], batch["xx"], batch["xy"])]
             yield pd.DataFrame(out, columns=["asset", "alpha", "t_stat", "betas", "r2", "n"])
 
-    return sums.mapInPandas(solve, PRICING_SCHEMA)
+    plain = sums.mapInPandas(solve, PRICING_SCHEMA)
+    return plain if hac_lags is None else _with_robust_errors(rows, sums.select("asset", "xx"), plain, K, hac_lags)
+
+
+def _with_robust_errors(rows: DataFrame, squares: DataFrame, plain: DataFrame, K: int, lags: int) -> DataFrame:
+    """Replaces the t of alpha by its robust form.
+
+    A period's score is u = x e. With g the Bartlett-weighted sum of the scores
+    before it, the middle of the sandwich is the sum of uu' + ug' + gu', so one
+    window per asset and one grouped sum hold all lags.
+    """
+    line = plain.where("alpha IS NOT NULL").select("asset", F.concat(F.array("alpha"), "betas").alias("b"))
+    x = F.concat(F.array(F.lit(1.0)), "f")
+    error = F.col("y") - F.aggregate(F.zip_with(x, "b", lambda p, q: p * q), F.lit(0.0), lambda p, q: p + q)
+    scores = rows.join(line, "asset").withColumn("e", error).withColumn("u", F.transform(x, lambda p: p * F.col("e")))
+    order = Window.partitionBy("asset").orderBy("t_idx")
+
+    def earlier(i: int):
+        terms = [F.coalesce(F.lag(F.col("u")[i], j).over(order), F.lit(0.0)) * (1 - j / (lags + 1)) for j in range(1, lags + 1)]
+        return sum(terms, F.lit(0.0))
+
+    scores = scores.select("asset", "u", F.array(*[earlier(i) for i in range(K + 1)]).alias("g"))
+    u, g = F.col("u"), F.col("g")
+    middle = scores.groupBy("asset").agg(F.array(*[F.sum(u[i] * u[j] + u[i] * g[j] + g[i] * u[j]) for i in range(K + 1) for j in range(K + 1)]).alias("middle"))
+
+    def deviation(batches):
+        for batch in batches:
+            out = []
+            for xx, mid in zip(batch["xx"], batch["middle"]):
+                bread = np.linalg.pinv(np.reshape(xx, (K + 1, K + 1)))[0]
+                out.append(float(np.sqrt(max(bread @ np.reshape(mid, (K + 1, K + 1)) @ bread, 0.0))))
+            yield pd.DataFrame({"asset": batch["asset"], "se": out})
+
+    robust = middle.join(squares, "asset").mapInPandas(deviation, "asset string, se double")
+    t_stat = F.when(F.col("se") > 0, F.col("alpha") / F.col("se"))
+    return plain.join(robust, "asset", "left").select("asset", "alpha", t_stat.alias("t_stat"), "betas", "r2", "n")
 
 
 def _plain_row(asset, n: int, yy: float, xx: np.ndarray, xy: np.ndarray):
@@ -63,23 +85,6 @@ def _plain_row(asset, n: int, yy: float, xx: np.ndarray, xy: np.ndarray):
     return asset, coef[0], coef[0] / se if se > 0 else None, coef[1:].tolist(), 1 - rss / spread if spread > 0 else None, n
 
 
-def _robust_row(pdf: pd.DataFrame, K: int, lags: int) -> pd.DataFrame:
-    """OLS of one asset with heteroskedasticity and autocorrelation robust errors."""
-    pdf = pdf.sort_values("t_idx")
-    n, asset = len(pdf), pdf["asset"].iloc[0]
-    if n < K + 2:
-        row = (asset, None, None, None, None, n)
-    else:
-        y = pdf["y"].to_numpy()
-        x = np.column_stack([np.ones(n), np.stack(pdf["f"].to_numpy())])
-        coef = np.linalg.lstsq(x, y, rcond=None)[0]
-        e = y - x @ coef
-        se = np.sqrt(max(hac_covariance(x, e, lags)[0, 0], 0.0))
-        spread = ((y - y.mean()) ** 2).sum()
-        row = (asset, coef[0], coef[0] / se if se > 0 else None, coef[1:].tolist(), 1 - e @ e / spread if spread > 0 else None, n)
-    return pd.DataFrame([row], columns=["asset", "alpha", "t_stat", "betas", "r2", "n"])
-
-
 def joint_alpha_test(returns: DataFrame, factors: DataFrame, n_assets: int, K: int) -> DataFrame:
     """F test that all alphas are zero, on the periods in which every asset is observed.
 
@@ -98,7 +103,7 @@ def joint_alpha_test(returns: DataFrame, factors: DataFrame, n_assets: int, K: i
     if n_periods <= n_assets + K + 1:
         return none
     rows = full.select(F.lit(0).alias("t_idx"), F.lit(0.0).alias("y"), x.alias("x"))
-    s = collect_moments(period_moments(rows)).s[0]
+    s = collect_moments(period_moments(rows), None).s[0]
     t, n = n_periods, n_assets
     head = s[: K + 1, : K + 1]
     coef = np.linalg.pinv(head) @ s[: K + 1, K + 1 :]

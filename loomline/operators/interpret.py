@@ -30,7 +30,7 @@ def weighted_shocks(shocks: DataFrame, weights: DataFrame, n_topics: int) -> Dat
     ``weights`` has one row per topic and factor, which is small by construction,
     so the shocks are never shuffled by topic: the sums combine map-side by day.
     """
-    terms = shocks.join(F.broadcast(weights), "topic")
+    terms = shocks.join(weights, "topic")
     value = F.when(F.count("z") == n_topics, F.sum(F.col("z") * F.col("w")))
     return terms.groupBy("date", "factor").agg(value.alias("value"))
 
@@ -43,7 +43,7 @@ def project_observable(factors: DataFrame, target: DataFrame, K: int) -> DataFra
     """
     rows = factors.join(target.where("y IS NOT NULL"), "t_idx")
     x = F.concat(F.array(F.lit(1.0)), "f", F.array("y"))
-    held = collect_moments(period_moments(rows.select(F.lit(0).alias("t_idx"), "y", x.alias("x"))))
+    held = collect_moments(period_moments(rows.select(F.lit(0).alias("t_idx"), "y", x.alias("x"))), None)
     s, n = held.s[0], int(held.n[0])
     spark = factors.sparkSession
     schema = "b array<double>, r2 double, n int"
@@ -69,10 +69,10 @@ def term_impact(phi: DataFrame, impact: dict[str, float], rcond: float = 1e-6) -
         F.map_from_entries(F.collect_list(F.struct("topic", "p"))).alias("m")
     )
     wide = packed.select(F.transform(order, lambda t: F.coalesce(F.col("m")[t], F.lit(0.0))).alias("x"))
-    gram = collect_moments(period_moments(wide.select(F.lit(0).alias("t_idx"), F.lit(0.0).alias("y"), "x"))).s[0]
+    gram = collect_moments(period_moments(wide.select(F.lit(0).alias("t_idx"), F.lit(0.0).alias("y"), "x")), None).s[0]
     weights = sym_pinv(gram, rcond)[0] @ np.array([impact[t] for t in topics])
     small = phi.sparkSession.createDataFrame([(t, float(w)) for t, w in zip(topics, weights)], "topic string, w double")
-    return phi.join(F.broadcast(small), "topic").groupBy("term").agg(F.sum(F.col("p") * F.col("w")).alias("impact"))
+    return phi.join(small, "topic").groupBy("term").agg(F.sum(F.col("p") * F.col("w")).alias("impact"))
 
 
 def top_scores(scores: DataFrame, value: str, k: int, *ties: str) -> DataFrame:

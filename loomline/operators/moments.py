@@ -152,13 +152,16 @@ def moment_bytes(periods: int, width: int) -> int:
     return 8 * periods * (width * width + 3 * width + 3)
 
 
-def collect_moments(moments: DataFrame, limit: int = DRIVER_BYTES) -> Moments | None:
-    """Moments on the driver when their size, fixed by periods and topics alone, is under ``limit``; else None."""
+def collect_moments(moments: DataFrame, limit: int | None = DRIVER_BYTES) -> Moments | None:
+    """Moments on the driver when their size, fixed by periods and topics alone, is under ``limit``; else None.
+
+    No limit is for the moments of a single period: one square of the model's width.
+    """
     head = moments.agg(F.max(F.size("v")).alias("p"), F.count("*").alias("t")).first()
     if not head["t"]:
         raise ValueError("the panel is empty")
     p = head["p"]
-    if moment_bytes(head["t"], p) > limit:
+    if limit is not None and moment_bytes(head["t"], p) > limit:
         return None
     table = moments.toArrow()
     rows = table.num_rows

@@ -55,7 +55,7 @@ def median_r2(r2: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-def window_sweep(fitted: DataFrame, calendar: DataFrame, start: str, weeks: int, max_windows: int = 150) -> DataFrame:
+def window_sweep(fitted: DataFrame, calendar: DataFrame, start: str, weeks: int) -> DataFrame:
     """Median and pooled R2 over consecutive complete windows with frozen coefficients."""
     length = 7 * weeks
     first = F.lit(start).cast("date")
@@ -63,7 +63,7 @@ def window_sweep(fitted: DataFrame, calendar: DataFrame, start: str, weeks: int,
     last = F.max("date").over(Window.partitionBy())
     days = calendar.select("date", last.alias("last"), number.alias("window")).where(F.col("date") >= first)
     complete = F.date_add(first, ((F.col("window") + 1) * length - 1).cast("int")) <= F.col("last")
-    days = days.where(complete & (F.col("window") < max_windows)).select("date", "window")
+    days = days.where(complete).select("date", "window")
     counted = days.groupBy("window").agg(F.count("*").alias("n_days"))
     scores = median_r2(window_r2(fitted.join(days, "date"), "window", "asset"), "window")
     return counted.join(scores, "window", "left").select(

@@ -51,11 +51,25 @@ def rolling_median(t: Tables):
     return tidy(cleaning.rolling_median(hourly(t).drop("n"), 10).withColumn("at", stamp("at")), 6)
 
 
-@query("bad_ticks")
+def _tick_passes(k: float, floor: float, passes: int = 6) -> dict[str, str]:
+    """The passes of the outlier rule, one group of subqueries each."""
+    w, out = "PARTITION BY series ORDER BY tm", {"p0": "SELECT series, tm, n, ln(n) AS x FROM h"}
+    for i in range(1, passes + 1):
+        out[f"d{i}"] = f"SELECT *, x - lag(x) OVER w AS a, lead(x) OVER w - x AS b, abs(x - (lag(x) OVER w + lead(x) OVER w) / 2) AS off FROM p{i - 1} WINDOW w AS ({w})"
+        out[f"s{i}"] = f"SELECT *, CASE WHEN count(a) OVER f >= 20 THEN 1.4826 * median(abs(a)) OVER f END AS sc FROM d{i} WINDOW f AS ({w} ROWS BETWEEN 62 PRECEDING AND 62 FOLLOWING)"
+        out[f"l{i}"] = f"""SELECT *, coalesce(first_value(sc IGNORE NULLS) OVER ({w} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING),
+            last_value(sc IGNORE NULLS) OVER ({w} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS c FROM s{i}"""
+        out[f"b{i}"] = f"""SELECT *, CASE WHEN c IS NOT NULL AND sign(a) <> sign(b) AND least(abs(a), abs(b), off) > greatest({k} * c, {floor}) AND a IS NOT NULL AND b IS NOT NULL
+            THEN off / greatest({k} * c, {floor}) ELSE 0 END AS pk FROM l{i}"""
+        out[f"p{i}"] = f"""SELECT series, tm, n, x FROM (SELECT *, pk > 0 AND pk >= coalesce(lag(pk) OVER w, 0) AND pk >= coalesce(lead(pk) OVER w, 0) AS gone FROM b{i} WINDOW w AS ({w})) WHERE NOT gone"""
+    return out
+
+
+@query("bad_ticks", with_ctes("", "SELECT series, strftime(tm, '%Y-%m-%d %H:%M:%S') AS \"at\", n AS level FROM p6", h=HOURLY, **_tick_passes(3.0, 0.2)))
 def bad_ticks(t: Tables):
     """Hourly counts left after removal of isolated outliers."""
     series = hourly(t).select("series", "at", F.col("n").alias("level"))
-    return cleaning.remove_bad_ticks(series, 3.0, 0.2)
+    return tidy(cleaning.remove_bad_ticks(series, 3.0, 0.2).withColumn("at", stamp("at")))
 
 
 @query("longest_run", with_ctes("rets cal", """

@@ -18,7 +18,7 @@ def query(name: str, sql: str | None = None):
         from loomline.plans.tables import Tables
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return fn(Tables(spark, sf_dir))
+            return fn(Tables.of(spark, sf_dir))
 
         run.__doc__ = fn.__doc__
         if name in QUERIES:

@@ -31,6 +31,16 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
+    _kept: tuple[str, str, Tables] | None = None
+
+    @classmethod
+    def of(cls, spark: SparkSession, sf_dir: str) -> Tables:
+        """The tables of a folder; the last one used in a session is kept, so its intermediate tables are shared."""
+        key = (spark.sparkContext.applicationId, sf_dir)
+        if cls._kept is None or cls._kept[:2] != key:
+            cls._kept = (*key, cls(spark, sf_dir))
+        return cls._kept[2]
+
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
@@ -49,7 +59,7 @@ class Tables:
 
     def calendar_of(self, period: str) -> DataFrame:
         """Calendar of one period length; one small file, so every join with it can be broadcast by size."""
-        return materialise(trading_calendar(self.returns.select("date"), period), "calendar")
+        return materialise(trading_calendar(self.lineitem.select("date").distinct(), period), "calendar")
 
     @cached_property
     def returns(self) -> DataFrame:

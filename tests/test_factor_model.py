@@ -125,7 +125,7 @@ def test_selection_rules_agree_in_and_out_of_tasks(spark):
     assert (best["K"], best["lam"], best["n_selected"]) == (2, 0.2, 3)
     assert tuning.select_best(path, 0.0).first()["lam"] == 0.1
     fits = [fm.Fit(np.r_[np.zeros((1, r[0])), np.repeat(np.eye(1, r[0]), r[3], 0), np.zeros((6 - r[3], r[0]))], np.zeros((0, r[0])), np.zeros(r[0]), np.eye(r[0]), r[1], 0.0) for r in rows]
-    assert tuning.best_point(fits, [r[2] for r in rows], tuning.TuneConfig(tolerance=0.02)) == 2
+    assert tuning.chosen(tuning._points(fits, [r[2] for r in rows]), tuning.TuneConfig(tolerance=0.02)) == 2
 
 
 def test_f_tail_identities():
