@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,6 +33,16 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 _LOCAL_FOLDERS: dict[str, str] = {}
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the executors of a session that do not have it installed.
+
+    Functions run in tasks are named by module, so a worker must be able to import them.
+    """
+    root = Path(__file__).resolve().parents[1]
+    folder = Path(tempfile.mkdtemp(prefix="loomline-ship-"))
+    spark.sparkContext.addPyFile(shutil.make_archive(str(folder / root.name), "zip", root.parent, root.name))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that survives executor loss, as named by ``spark.checkpoint.dir``.
 

@@ -262,9 +262,67 @@ def direct_all(t: Tables, cfg: direct.DirectConfig):
     return direct.fit_direct(rows, scale, t.topics, cfg)
 
 
-@query("elastic_net")
+# All five topics at once, solved in SQL from the covariances of one row per asset.
+TOPICS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+FIVE = range(1, 6)
+WIDE = {
+    **PAIRS,
+    "xs": "SELECT date, " + ", ".join(f"max(CASE WHEN topic = '{v}' THEN s END) AS x{i}" for i, v in zip(FIVE, TOPICS)) + " FROM sday GROUP BY date",
+    "w": "SELECT asset, (ret - mean) / scale AS y, " + ", ".join(f"x{i}" for i in FIVE) + " FROM train JOIN xs USING (date) JOIN rsc USING (asset)",
+    "m": "SELECT asset, count(*) AS n, avg(y) AS my, var_pop(y) AS vy, " + ", ".join(f"avg(x{i}) AS m{i}, covar_pop(x{i}, y) AS c{i}" for i in FIVE) + ", "
+         + ", ".join(f"covar_pop(x{i}, x{j}) AS g{i}{j}" for i in FIVE for j in FIVE) + " FROM w GROUP BY asset",
+}
+
+
+def _elimination(source: str, keys: str, extra: int) -> dict[str, str]:
+    """Gauss-Jordan steps e1 to e5 on the columns a11 to a5(5 + extra) of ``source``."""
+    out, last = {}, source
+    for k in FIVE:
+        cells = [f"a{k}{c} / a{k}{k} AS a{k}{c}" if r == k else f"a{r}{c} - a{r}{k} * a{k}{c} / a{k}{k} AS a{r}{c}" for r in FIVE for c in range(k + 1, 6 + extra)]
+        out[f"e{k}"] = f"SELECT {keys}, {', '.join(cells)} FROM {last}"
+        last = f"e{k}"
+    return out
+
+
+def _by_topic(cells: str, table: str) -> str:
+    """One row per topic of a table with columns b1 to b5."""
+    return " UNION ALL ".join(f"SELECT asset, '{v}' AS topic, b{i} AS b, {cells} FROM {table}" for i, v in zip(FIVE, TOPICS))
+
+
+DOT = " + ".join(f"m{i} * b{i}" for i in FIVE)
+OLS = {**WIDE, "e0": "SELECT asset, " + ", ".join(f"g{i}{j} AS a{i}{j}" for i in FIVE for j in FIVE) + ", " + ", ".join(f"c{i} AS a{i}6" for i in FIVE) + " FROM m",
+       **_elimination("e0", "asset", 1), "b": "SELECT asset, n, " + ", ".join(f"a{i}6 AS b{i}" for i in FIVE) + ", m.* EXCLUDE (asset, n) FROM e5 JOIN m USING (asset)",
+       "long": _by_topic(f"my - ({DOT}) AS intercept, n AS n_train", "b")}
+# The inverse stands in columns 7 to 11, so that effective degrees of freedom can be read off.
+RIDGE = {**WIDE, "lams": "SELECT k, pow(10, -4 + 5.0 * k / 29) AS lam FROM range(30) AS r(k)",
+         "e0": "SELECT asset, k, " + ", ".join(f"g{i}{j}" + (" + lam" if i == j else "") + f" AS a{i}{j}" for i in FIVE for j in FIVE) + ", " + ", ".join(f"c{i} AS a{i}6" for i in FIVE) + ", "
+               + ", ".join(f"{1.0 if i == j else 0.0}::DOUBLE AS a{i}{6 + j}" for i in FIVE for j in FIVE) + " FROM m CROSS JOIN lams",
+         **_elimination("e0", "asset, k", 6),
+         "b": "SELECT asset, k, lam, n, my, vy, " + ", ".join(f"a{i}6 AS b{i}, m{i}, c{i}" for i in FIVE) + ", 1 + " + " + ".join(f"a{i}{6 + j} * g{j}{i}" for i in FIVE for j in FIVE)
+              + " AS df, " + " + ".join(f"a{i}6 * a{j}6 * g{i}{j}" for i in FIVE for j in FIVE) + " AS bgb FROM e5 JOIN m USING (asset) JOIN lams USING (k)",
+         "best": "SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY asset ORDER BY (vy - 2 * (" + " + ".join(f"b{i} * c{i}" for i in FIVE) + ") + bgb) / (1 - df / n) ** 2, k) = 1",
+         "long": _by_topic(f"my - ({DOT}) AS intercept, n AS n_train, lam AS penalty", "best")}
+
+
+def _descent(sweeps: int = 300) -> str:
+    """Coordinate descent, one recursion step for each sweep over the five coefficients."""
+    inner = "SELECT d.asset, d.step + 1 AS step, " + ", ".join(f"d.b{i}" for i in FIVE) + ", m.* EXCLUDE (asset), sqrt(2 * ln(5) / n) AS al FROM cd d JOIN m ON m.asset = d.asset WHERE d.step < " + str(sweeps)
+    for i in FIVE:
+        pull = f"c{i} - (" + " + ".join(f"g{i}{j} * b{j}" for j in FIVE if j != i) + ")"
+        inner = f"SELECT * REPLACE (sign({pull}) * greatest(abs({pull}) - 0.9 * al, 0) / (g{i}{i} + 0.1 * al) AS b{i}) FROM ({inner})"
+    cols = "asset, step, " + ", ".join(f"b{i}" for i in FIVE)
+    return f"SELECT asset, 0 AS step, " + ", ".join(f"0.0::DOUBLE AS b{i}" for i in FIVE) + f" FROM m UNION ALL SELECT {cols} FROM ({inner})"
+
+
+NET = {**WIDE, "cd": _descent(), "last": "SELECT cd.*, n, my, " + ", ".join(f"m{i}" for i in FIVE) + " FROM cd JOIN m USING (asset) WHERE step = 300",
+       "long": _by_topic(f"my - ({DOT}) AS intercept, n AS n_train, sqrt(2 * ln(5) / n) AS penalty", "last")}
+
+
+@query("elastic_net", with_ctes(PAIR_CTES, """
+    SELECT asset, topic, round(b, 6) AS b, round(intercept, 6) AS intercept, round(penalty, 6) AS penalty, n_train, b <> 0 AS selected FROM long""", **NET)
+    .replace("WITH ", "WITH RECURSIVE ", 1))
 def elastic_net(t: Tables):
-    return direct_all(t, direct.DirectConfig())
+    return tidy(direct_all(t, direct.DirectConfig()).select("asset", "topic", "b", "intercept", "penalty", "n_train", "selected"), 6)
 
 
 @query("elastic_net_cv")
@@ -272,14 +330,16 @@ def elastic_net_cv(t: Tables):
     return direct_all(t, direct.DirectConfig(penalty="cv"))
 
 
-@query("ridge_gcv")
+@query("ridge_gcv", with_ctes(PAIR_CTES, """
+    SELECT asset, topic, round(b, 6) AS b, round(intercept, 6) AS intercept, round(penalty, 6) AS penalty, n_train, abs(b) >= 0.05 AS selected FROM long""", **RIDGE))
 def ridge_gcv(t: Tables):
-    return direct_all(t, direct.DirectConfig(method="ridge"))
+    return tidy(direct_all(t, direct.DirectConfig(method="ridge")).select("asset", "topic", "b", "intercept", "penalty", "n_train", "selected"), 6)
 
 
-@query("direct_ols")
+@query("direct_ols", with_ctes(PAIR_CTES, """
+    SELECT asset, topic, round(b, 7) AS b, round(intercept, 7) AS intercept, n_train, abs(b) >= 0.05 AS selected FROM long""", **OLS))
 def direct_ols(t: Tables):
-    return direct_all(t, direct.DirectConfig(method="ols"))
+    return tidy(direct_all(t, direct.DirectConfig(method="ols")).select("asset", "topic", "b", "intercept", "n_train", "selected"), 7)
 
 
 WINDOW = f"date >= DATE '{FORECAST}' AND date < DATE '{FORECAST}' + 84"

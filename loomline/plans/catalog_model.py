@@ -142,7 +142,7 @@ def retrieval_topk(t: Tables):
     return tidy(interpret.top_scores(scores.select("date", F.round("value", 8).alias("value")), "value", 25, "date"))
 
 
-WORDS = """SELECT CASE WHEN lang = 'en' THEN 'en' ELSE 'other' END AS topic, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM documents"""
+WORDS = """SELECT CASE WHEN lang = 'en' THEN 'en' ELSE 'other' END AS topic, unnest(regexp_extract_all(lower(text), '\\p{L}+')) AS term FROM documents"""
 
 
 @query("term_impact", with_ctes("", """
@@ -156,7 +156,7 @@ WORDS = """SELECT CASE WHEN lang = 'en' THEN 'en' ELSE 'other' END AS topic, unn
 def term_impact(t: Tables):
     """Term weights from a topic x term matrix counted over whole texts."""
     topic = F.when(F.col("lang") == "en", "en").otherwise("other").alias("topic")
-    words = t.read("documents").select(topic, F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("term"))
+    words = t.read("documents").select(topic, F.explode(F.regexp_extract_all(F.lower("text"), F.lit("\\p{L}+"), F.lit(0))).alias("term"))
     counts = words.groupBy("topic", "term").agg(F.count("*").alias("c"))
     total = counts.groupBy("topic").agg(F.sum("c").alias("n"))
     phi = materialise(counts.join(total, "topic").select("topic", "term", (F.col("c") / F.col("n")).alias("p")), "phi")
