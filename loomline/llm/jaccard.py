@@ -31,6 +31,7 @@ from pyspark.sql import types as T
 from loomline.functions.session import materialise
 from loomline.llm import packed
 from loomline.llm.graph import components
+from loomline.llm.sieve import with_ids
 
 WIDTH, PERCENT = 5, 75
 SIGNATURES = 6  # min-hash groups a row is compared in before the product
@@ -111,8 +112,8 @@ def _verify(width: int, percent: int):
 
 def _linked(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) of documents that link, counted on their whole texts."""
-    ids = pairs.select(F.col("a").alias("i")).union(pairs.select("b")).distinct()
-    texts = materialise(docs.join(ids, F.col("doc_id") == F.col("i"), "left_semi").select("doc_id", "text"), "pair_texts")
+    ids = materialise(pairs.select(F.col("a").alias("i")).union(pairs.select("b")).distinct(), "pair_ids")
+    texts = materialise(with_ids(docs, ids).select("doc_id", "text"), "pair_texts")
     one = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     two = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     return materialise(pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(_verify(width, percent), "a long, b long").distinct(), "pair_links")
@@ -221,7 +222,8 @@ def _hot_links(cells: DataFrame, docs: DataFrame, width: int, percent: int) -> D
     pairs = materialise(pairs, "jaccard_tile_pairs")
     side = lambda t: pairs.select("family", "tile_a", "tile_b", F.col(t).alias("tile"))
     dealt = side("tile_a").unionByName(side("tile_b").where("tile_a <> tile_b")).join(rows, ["family", "tile"]).select("family", "tile_a", "tile_b", "node", "comp")
-    texts = docs.join(rows.select(F.col("node").alias("i")).distinct(), F.col("doc_id") == F.col("i"), "left_semi").select(F.col("doc_id").alias("node"), F.coalesce("text", F.lit("")).alias("text"))
+    ids = materialise(rows.select(F.col("node").alias("i")).distinct(), "jaccard_tile_ids")
+    texts = with_ids(docs, ids).select(F.col("doc_id").alias("node"), F.coalesce("text", F.lit("")).alias("text"))
     return dealt.join(texts, "node").groupBy("family", "tile_a", "tile_b").applyInArrow(_tile(width, percent), "a long, b long")
 
 
