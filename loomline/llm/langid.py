@@ -38,13 +38,15 @@ _LETTER[[*range(ord("a"), ord("z") + 1), *range(ord("A"), ord("Z") + 1), *range(
 
 
 def _buckets(data: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed trigrams around letters, and the text of each."""
-    if len(data) < 3:
+    """Hashed trigrams around letters, and the text of each; a space stands before and after a text."""
+    if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    f = _FOLD[data]
-    code = (f[:-2] << np.uint64(16)) | (f[1:-1] << np.uint64(8)) | f[2:]
-    keep = (owner[2:] == owner[:-2]) & _LETTER[data[1:-1]]
-    return ((code[keep] * packed.ODD) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), owner[1:-1][keep]
+    here, edge = _FOLD[data], np.flatnonzero(owner[1:] != owner[:-1])
+    before, after = np.roll(here, 1), np.roll(here, -1)
+    before[0] = after[-1] = before[edge + 1] = after[edge] = 32
+    keep = _LETTER[data]
+    code = (before[keep] << np.uint64(16)) | (here[keep] << np.uint64(8)) | after[keep]
+    return ((code * packed.ODD) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), owner[keep]
 
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -89,7 +91,7 @@ def _likelihoods(model):
         for part, bucket, owner in _parts(batches):
             m = len(part)
             n = np.bincount(owner, minlength=m)
-            fit = np.stack([np.bincount(owner, weights=row[bucket], minlength=m) for row in table], axis=1)
+            fit = np.stack([np.bincount(owner, weights=row[bucket], minlength=m) for row in table], axis=1).astype(float)
             fit *= (np.minimum(n, EVIDENCE) / np.maximum(n, 1))[:, None]
             keep = [i for i, c in enumerate(part.schema.names) if c != "text"]
             flat = pa.ListArray.from_arrays(pa.array(np.arange(m + 1, dtype=np.int32) * fit.shape[1]), pa.array(fit.ravel()))
