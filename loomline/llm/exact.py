@@ -116,13 +116,13 @@ def exact_groups(docs: DataFrame, owners: int | None = None) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised("text").alias("body"))
     moved = materialise(texts.join(suspects, texts.doc_id.eqNullSafe(suspects.s_id), "left_semi").withColumn("sha", F.unhex(F.sha2(F.col("body").cast("binary"), 256))), "suspects")
     # The text itself is a grouping key, so equality is of bytes; each task first merges its own copies.
-    verified = materialise(moved.groupBy("sha", "body").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1"), "verified")
+    verified = materialise(moved.groupBy("sha", "body").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "verified")
     one = verified.groupBy("sha").agg(F.count("*").alias("texts"), F.min("keep_id").alias("keep_id"), F.max("group_size").alias("group_size"))
-    rows = marks.where("suspect").join(one, "sha", "left")
-    clear = rows.where("coalesce(texts, 1) = 1").select("doc_id", "sha", "keep_id", F.coalesce("group_size", F.lit(1)).alias("group_size"), F.isnotnull("texts").alias("many"))
+    rows = marks.where("suspect").join(one, "sha")
+    clear = rows.where("texts = 1").select("doc_id", "sha", "keep_id", "group_size", (F.col("group_size") > 1).alias("many"))
     # Different texts with one digest: told apart by the text itself.
-    clash = moved.join(one.where("texts > 1").select("sha"), "sha", "left_semi").join(verified, ["sha", "body"], "left").select(
-        "doc_id", "sha", "keep_id", F.coalesce("group_size", F.lit(1)).alias("group_size"), F.isnotnull("keep_id").alias("many"))
+    clash = moved.join(one.where("texts > 1").select("sha"), "sha", "left_semi").join(verified, ["sha", "body"]).select(
+        "doc_id", "sha", "keep_id", "group_size", (F.col("group_size") > 1).alias("many"))
     alone = marks.where("not suspect").select("doc_id", "sha", F.lit(None).cast("long").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(False).alias("many"))
     grouped = clear.unionByName(clash)
     # Of the rows that could stay one does; there is more than one only where a row is repeated.
