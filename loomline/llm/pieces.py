@@ -9,6 +9,7 @@ another seed a different one; every segmentation decodes to the text.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from heapq import heapify, heappop, heappush
@@ -23,7 +24,7 @@ from pyspark.sql import types as T
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT = 0.1
 VARIANTS = 4  # segmentations of one word within a seed; a document's id chooses among them
-CACHE = 400_000  # words a task keeps with their pieces
+CACHE = 1_200_000  # words a task keeps with their pieces
 SPACE = "▁"  # fixed value: how a vocabulary writes a space
 SLICE_BYTES = 1 << 21
 
@@ -33,10 +34,10 @@ _PARTS = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """Pieces of a model by text, their costs, and the ids of its byte pieces."""
+    """Pieces of a model by text, what merges into them, and the ids of its byte pieces."""
 
     ids: dict[str, int]
-    costs: dict[str, float]  # by rising cost, that is falling score
+    merges: dict[str, tuple[float, int, str]]  # a cost that rises as the score falls, a hash of the piece, the piece
     bytes_: list[int]
     raw: list[bytes]  # what each id decodes to; a space mark is a space
 
@@ -46,7 +47,7 @@ class Vocabulary:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        ids, costs, fallback, raw = {}, {}, [0] * 256, []
+        ids, merges, fallback, raw = {}, {}, [0] * 256, []
         for i in range(model.get_piece_size()):
             piece = model.id_to_piece(i)
             if model.is_byte(i):
@@ -55,20 +56,19 @@ class Vocabulary:
             elif model.is_control(i) or model.is_unknown(i) or model.is_unused(i):
                 raw.append(b"")
             else:
-                ids[piece], costs[piece] = i, -model.get_score(i)
+                ids[piece], merges[piece] = i, (-model.get_score(i), crc32(piece.encode()), piece)
                 raw.append(piece.replace(SPACE, " ").encode())
-        return cls(ids, costs, fallback, raw)
+        return cls(ids, merges, fallback, raw)
 
 
 _MASK = (1 << 32) - 1
 
 
-def draw(key: int, merged: str, cut: int, place: int) -> int:
-    """A keyed 32-bit hash of a candidate merge: the merged piece, where its two sides meet, and its place in the word."""
-    h = crc32(f"{merged}|{cut}|{place}".encode("utf-8", "surrogatepass"), key)
-    h = ((h ^ (h >> 15)) * 0x2C1B3C6D) & _MASK
-    h = ((h ^ (h >> 12)) * 0x297A2D39) & _MASK
-    return h ^ (h >> 15)
+def draw(key: int, merged: int, cut: int, place: int) -> int:
+    """A keyed 32-bit hash of a candidate merge: the hash of the merged piece, where its two sides meet, and its place in the word."""
+    h = ((merged ^ key ^ (cut * 0x9E3779B1 + place * 0x85EBCA6B)) * 0x2C1B3C6D) & _MASK
+    h = ((h ^ (h >> 15)) * 0x297A2D39) & _MASK
+    return h ^ (h >> 16)
 
 
 def encode_part(part: str, vocabulary: Vocabulary, key: int, dropout: float) -> list[int]:
@@ -77,35 +77,38 @@ def encode_part(part: str, vocabulary: Vocabulary, key: int, dropout: float) ->
     The agenda holds candidate merges by falling score and place. A skipped
     candidate is gone; the same two places come up again only after one of them grew.
     """
-    ids, costs = vocabulary.ids, vocabulary.costs
+    ids, merge_of, limit = vocabulary.ids, vocabulary.merges.get, int(dropout * (_MASK + 1))
     text, n = list(part), len(part)
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    limit = int(dropout * (_MASK + 1))
     agenda = []
     for i in range(n - 1):
-        both = part[i:i + 2]
-        if both in costs:
-            agenda.append((costs[both], i, i + 1, both))
+        merge = merge_of(part[i:i + 2])
+        if merge:
+            agenda.append((merge[0], i, i + 1, merge))
     heapify(agenda)
     while agenda:
-        _, i, j, both = heappop(agenda)
-        left = text[i]
-        if after[i] != j or not left or len(left) + len(text[j]) != len(both):
+        _, i, j, (_, mark, both) = heappop(agenda)
+        cut = len(text[i])
+        if after[i] != j or not cut or cut + len(text[j]) != len(both):
             continue  # one side has merged with another neighbour since
-        if limit and draw(key, both, len(left), i) < limit:
-            continue
+        if limit:
+            # draw(key, mark, cut, i) < limit, written out: this is the innermost step
+            h = ((mark ^ key ^ (cut * 0x9E3779B1 + i * 0x85EBCA6B)) * 0x2C1B3C6D) & _MASK
+            h = ((h ^ (h >> 15)) * 0x297A2D39) & _MASK
+            if h ^ (h >> 16) < limit:
+                continue
         text[i], text[j] = both, ""
         after[i] = k = after[j]
         if k < n:
             before[k] = i
-            grown = both + text[k]
-            if grown in costs:
-                heappush(agenda, (costs[grown], i, k, grown))
+            merge = merge_of(both + text[k])
+            if merge:
+                heappush(agenda, (merge[0], i, k, merge))
         p = before[i]
         if p >= 0:
-            grown = text[p] + both
-            if grown in costs:
-                heappush(agenda, (costs[grown], p, i, grown))
+            merge = merge_of(text[p] + both)
+            if merge:
+                heappush(agenda, (merge[0], p, i, merge))
     out = []
     for t in text:
         if t in ids:
@@ -120,9 +123,10 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary, seed: int, dropout: float, variants: int):
         self.vocabulary, self.dropout, self.variants = vocabulary, dropout, max(1, variants)
-        self.keys = [draw(crc32(str(seed).encode()), "", v, 0) for v in range(self.variants)]
+        self.keys = [draw(crc32(str(seed).encode()), 0, v, 1) for v in range(self.variants)]
         self.met: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
-        self.room = CACHE // self.variants
+        self.old: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
+        self.room = max(1, CACHE // self.variants // 2)
         # A space mark in the text itself is spelled in bytes, so that it is not taken for a space.
         self.own_mark = np.array([vocabulary.bytes_[b] for b in SPACE.encode()], np.uint16).tobytes()
 
@@ -135,14 +139,18 @@ class Encoder:
         return np.frombuffer(self._plain(text, variant, True), np.uint16)
 
     def _plain(self, text: str, variant: int, first: bool) -> bytes:
-        met, out = self.met[variant], []
+        met, old, out = self.met[variant], self.old[variant], []
         for part in _PARTS.findall((SPACE if first else "") + text.replace(" ", SPACE)):
             ids = met.get(part)
             if ids is None:
-                ids = np.array(encode_part(part, self.vocabulary, self.keys[variant], self.dropout), np.uint16).tobytes()
+                ids = old.get(part)
+                if ids is None:
+                    ids = array("H", encode_part(part, self.vocabulary, self.keys[variant], self.dropout)).tobytes()
                 if len(part) <= 64:
                     if len(met) >= self.room:
-                        met.clear()
+                        # Words met since the last change stay at hand for one more round.
+                        old = self.old[variant] = met
+                        met = self.met[variant] = {}
                     met[part] = ids
             out.append(ids)
         return b"".join(out)
@@ -155,10 +163,22 @@ def decode(ids, vocabulary: Vocabulary) -> bytes:
     return joined[1:] if joined[:1] == b" " else joined
 
 
+_kept: dict[tuple, Encoder] = {}
+
+
+def _encoder(vocabulary: Vocabulary, seed: int, dropout: float, variants: int) -> Encoder:
+    """The encoder of this process, whose words later tasks find again; another setting replaces it."""
+    key = (seed, dropout, variants)
+    if key not in _kept or _kept[key].vocabulary.ids != vocabulary.ids:
+        _kept.clear()
+        _kept[key] = Encoder(vocabulary, seed, dropout, variants)
+    return _kept[key]
+
+
 def _encode(shared, seed: int, dropout: float, variants: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = shared.value
-        encoder = Encoder(vocabulary, seed, dropout, variants)
+        encoder = _encoder(vocabulary, seed, dropout, variants)
         for batch in batches:
             step = max(1, len(batch) * SLICE_BYTES // max(SLICE_BYTES, batch.nbytes))
             for at in range(0, len(batch), step):
