@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 
@@ -44,6 +44,13 @@ def serial_id(prefix: str, number: Column, width: int = 3) -> Column:
     return F.concat(F.lit(prefix), F.when(F.length(text) >= width, text).otherwise(F.lpad(text, width, "0")))
 
 
+def softmax(c: Column, *keys: str) -> Column:
+    """Share of each value's exponential in its group, by differences from the largest value."""
+    group = Window.partitionBy(*keys)
+    power = F.exp(c - F.max(c).over(group))
+    return power / F.sum(power).over(group)
+
+
 def slug(c: Column) -> Column:
     """Lower case, runs of other characters as one underscore, none at the ends."""
     return F.regexp_replace(F.regexp_replace(F.lower(F.trim(c)), "[^a-z0-9]+", "_"), "^_+|_+$", "")

@@ -56,6 +56,29 @@ def carry_forward(series: DataFrame, calendar: DataFrame, value: str, limit: int
     return on_days.withColumn(value, F.last(value, ignorenulls=True).over(past))
 
 
+def carry_backward(series: DataFrame, calendar: DataFrame, value: str, limit: int) -> DataFrame:
+    """Next known ``value`` of one daily series on every calendar day, at most ``limit`` calendar rows ahead."""
+    ahead = Window.orderBy("date").rowsBetween(Window.currentRow, limit)
+    on_days = calendar.select("date").join(series.select("date", value), "date", "left")
+    return on_days.withColumn(value, F.first(value, ignorenulls=True).over(ahead))
+
+
+def match_periods(series: DataFrame, calendar: DataFrame, period: str, *values: str) -> DataFrame:
+    """A series stamped on any day of its periods, put on the calendar's periods: (period_id, period_end, values).
+
+    Period labels are compared, not days, so a value stamped on the first or the
+    last day of a month, trading day or not, meets the same period. Of several
+    stamps in one period the last is taken; periods that the calendar does not
+    have are dropped.
+    """
+    from loomline.operators.calendar import period_start
+
+    label = period_start(F.col("date"), period).alias("label")
+    stamped = latest_per_key(series.select(label, "date", *values), ["label"], "date").drop("date")
+    periods = calendar.select(label, "period_id", "period_end").distinct()
+    return periods.join(stamped, "label").select("period_id", "period_end", *values)
+
+
 def fill_gaps(levels: DataFrame, calendar: DataFrame, key: str, value: str, limit: int) -> DataFrame:
     """Limited forward fill per key, with a flag for filled days.
 
