@@ -26,7 +26,7 @@ from loomline.functions.session import materialise
 from loomline.llm import packed
 
 ORDER = 2
-MASS = 200.0  # words' worth of belief that a state gives its shorter history
+MASS, SHARE = 20.0, 1.0  # belief that a state gives its shorter history: so many words, and so much of its own count
 BATCH_WORDS = 1 << 18
 OWNER_GRAMS = 1 << 21  # n-grams of all batches that one owner adds up
 END = np.uint64(0xC2B2AE3D27D4EB4F)  # the token that ends a text
@@ -142,7 +142,7 @@ def _answer(table: pa.Table) -> pa.Table:
                      "words": pa.array([*[None] * m, int((total[word] > 0).sum())], pa.int64()), "tokens": pa.array([*[None] * m, int(total[word].sum())], pa.int64())})
 
 
-def _score(order: int, mass: float, n_train: int, n_words: int):
+def _score(order: int, mass: float, share: float, n_train: int, n_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             for i in range(len(rows)):
@@ -157,7 +157,8 @@ def _score(order: int, mass: float, n_train: int, n_words: int):
                     at, past = batch.at[k - 1], np.concatenate(([-1], batch.at[k - 2][:-1]))
                     here = at >= 0
                     c, h = np.where(here, count[at], 0), np.where(here, count[past], 0)
-                    p = np.where(h > 0, (c + mass * p) / (h + mass), p)
+                    belief = mass + share * h
+                    p = np.where(h > 0, (c + belief * p) / (h + belief), p)
                     arcs.append((h, c, np.log10(p)))
                 # The traversal: from the longest history down, failing until an arc fits.
                 score, failures, moving = np.zeros(len(seen)), np.zeros(len(seen), np.int64), np.ones(len(seen), bool)
@@ -166,7 +167,7 @@ def _score(order: int, mass: float, n_train: int, n_words: int):
                     fits = moving & (c > 0)
                     fails = moving & (h > 0) & (c == 0)
                     score[fits] += weight[fits]
-                    score[fails] += np.log10(mass / (h[fails] + mass))
+                    score[fails] += np.log10((mass + share * h[fails]) / (h[fails] + mass + share * h[fails]))
                     failures += fails
                     moving &= ~fits
                 score[moving] += arcs[0][2][moving]
@@ -179,17 +180,17 @@ def _score(order: int, mass: float, n_train: int, n_words: int):
     return run
 
 
-def score_texts(docs: DataFrame, order: int = ORDER, mass: float = MASS, batch_words: int = BATCH_WORDS) -> DataFrame:
+def score_texts(docs: DataFrame, order: int = ORDER, mass: float = MASS, share: float = SHARE, batch_words: int = BATCH_WORDS) -> DataFrame:
     """One row per row of ``docs`` (doc_id and text are read): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_failures.
 
     Tokens are words (maximal runs without white space, A-Z lower-cased) and one
     end. Rows whose crc32(doc_id as text) mod 5 is 1 are held out; the model
     learns from the others. base_score is the sum of log10((c + 0.5) / (N + 0.5 (V + 1))).
-    A history h of k words gives p(w|h) = (c(hw) + mass p(w|h')) / (c(h) + mass)
-    with h' one word shorter, which sums to 1 over the words and one unknown word;
+    A history h of k words gives p(w|h) = (c(hw) + m p(w|h')) / (c(h) + m) with
+    m = mass + share c(h) and h' one word shorter, which sums to 1 over the words and one unknown word;
     score is the sum of log10 p; n_failures counts failure arcs.
 
-    mass: belief in the shorter history. batch_words: words of one batch, which bounds a task's memory.
+    mass, share: belief in the shorter history. batch_words: words of one batch, which bounds a task's memory.
 
     A null or empty text is its end token alone. A null doc_id counts as an
     empty one (training). Repeated rows are scored, and counted, each. Other
@@ -206,7 +207,7 @@ def score_texts(docs: DataFrame, order: int = ORDER, mass: float = MASS, batch_w
     totals = answers.where("batch is null").agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n"), F.coalesce(F.sum("words"), F.lit(0)).alias("v")).first()
     told = answers.where("batch is not null").groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("owner", "told"))).alias("answers"))
     scored = sequences.join(told, "batch").select("ids", "held", "lengths", "words", "tokens", "answers")
-    return scored.mapInArrow(_score(order, mass, totals["n"], totals["v"]), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_failures long")
+    return scored.mapInArrow(_score(order, mass, share, totals["n"], totals["v"]), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_failures long")
 
 
 CRC_SQL = """
@@ -227,6 +228,6 @@ n AS (SELECT CAST(sum(c) AS BIGINT) AS n_train, count(*) AS n_words FROM u),
 p AS (SELECT t.doc_id, t.held_out, coalesce(u.c, 0) AS c, coalesce(h.c, 0) AS ch, coalesce(b.c2, 0) AS c2, n_train, (coalesce(u.c, 0) + 0.5::DOUBLE) / (n_train + 0.5::DOUBLE * (n_words + 1)) AS p1
     FROM t CROSS JOIN n LEFT JOIN u USING (word) LEFT JOIN u AS h ON h.word = t.past LEFT JOIN b ON b.past = t.past AND b.word = t.word)
 SELECT doc_id, held_out, count(*) AS n_tokens, CAST(sum(CASE WHEN c > 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_known, n_train AS train_tokens, round(sum(log10(p1)), 6) AS base_score,
-    round(sum(log10(CASE WHEN ch > 0 THEN (c2 + {MASS}::DOUBLE * p1) / (ch + {MASS}::DOUBLE) ELSE p1 END)), 6) AS score, CAST(sum(CASE WHEN ch > 0 AND c2 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_failures
+    round(sum(log10(CASE WHEN ch > 0 THEN (c2 + ({MASS}::DOUBLE + {SHARE}::DOUBLE * ch) * p1) / (ch + {MASS}::DOUBLE + {SHARE}::DOUBLE * ch) ELSE p1 END)), 6) AS score, CAST(sum(CASE WHEN ch > 0 AND c2 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_failures
 FROM p GROUP BY doc_id, held_out, n_train
 """

@@ -9,7 +9,7 @@ from loomline.llm import lm
 from tests.llm.support import DOC_SCHEMA, EDGES, edge_docs, empty_docs
 
 
-def brute(rows, order, mass):
+def brute(rows, order, mass, share=lm.SHARE):
     """Counts in dictionaries and one recursive probability per token."""
     texts = []
     for i, t, *_ in rows:
@@ -30,7 +30,8 @@ def brute(rows, order, mass):
             return (grams[(w,)] + 0.5) / (n + 0.5 * (v + 1))
         h = grams[history]
         lower = p(history[1:], w)
-        return (grams[(*history, w)] + mass * lower) / (h + mass) if h else lower
+        m = mass + share * h
+        return (grams[(*history, w)] + m * lower) / (h + m) if h else lower
 
     out = []
     for i, held, toks in texts:
