@@ -92,6 +92,6 @@ def test_model_beats_base_on_held_out_text(spark):
             out.append(f"w{w}")
             w = int(rng.choice(step[w]))
         rows.append((i, " ".join(out), "", "", 0))
-    held = lm.score_texts(spark.createDataFrame(rows, DOC_SCHEMA), mass=5.0).where("held_out")
+    held = lm.score_texts(spark.createDataFrame(rows, DOC_SCHEMA), mass=5.0, share=0.0).where("held_out")
     r = held.selectExpr("sum(score) s", "sum(base_score) b").first()
     assert r["s"] > 0.5 * r["b"]
