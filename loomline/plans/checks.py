@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from loomline.functions import group_lasso
 from loomline.operators import align, inference, panel, scoring, tuning
-from loomline.operators.factor_model import ArrayPeriods, canonical, factor_table, fit_sparse, largest_lambda, penalties
+from loomline.operators.factor_model import ArrayPeriods, TablePeriods, canonical, factor_table, fit_sparse, largest_lambda, penalties
 from loomline.operators.moments import collect_moments
 from loomline.plans.study import Study, StudyConfig
 
@@ -25,11 +25,9 @@ def _row(step: str, name: str, value: float, reference: float, tolerance: float
 def model_checks(study: Study, cfg: StudyConfig) -> list[tuple]:
     """Checks that need the model: refit, stationarity, closed forms, grid and tie band."""
     held = collect_moments(study.moments)
-    if held is None:
-        return []
-    periods, fit = ArrayPeriods(held), study.fit
+    periods, fit = (TablePeriods(study.moments) if held is None else ArrayPeriods(held)), study.fit
     gamma = fit.gamma * periods.sigma[:, None]
-    now = periods.run(gamma)
+    now = periods.run(gamma) if held is not None else periods.run(gamma, factors=True)
     path = [r.asDict() for r in study.path.select("K", "lam", "criterion", "objective", "n_selected").collect()]
     out = [
         _row("fit", "factors follow from the loadings", float(np.abs(now.factors - fit.factors).max()), 0.0, 1e-8 * max(1.0, np.abs(fit.factors).max()), False),

@@ -66,8 +66,8 @@ def run_harness(returns: DataFrame, weights: DataFrame, calendar: DataFrame, top
                 attention = materialise(designed_world(returns, weights, calendar, topics, scenario, seed), "attention")
                 result = study.run_study(attention.select("date", "topic", "level"), returns, fit)
                 rows += [(scenario, seed, SCENARIOS[scenario][2], k, v) for k, v in score_run(result, weights, fit).items()]
-            except ValueError as problem:
-                errors.append((scenario, seed, str(problem)))
+            except Exception as problem:  # noqa: BLE001  a failed run, its Spark jobs included, is a row
+                errors.append((scenario, seed, f"{type(problem).__name__}: {problem}"[:2000]))
     metrics = spark.createDataFrame(rows, RUN_SCHEMA)
     # Only checks whose truth a designed world has; a run that misses one of them still fails it.
     known = metrics.select(F.col("name").alias("check")).distinct()

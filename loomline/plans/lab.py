@@ -38,7 +38,7 @@ class LabSession:
     """Stages of one lab run over given returns and design weights."""
 
     def __init__(self, spark: SparkSession, root: str, returns: DataFrame, weights: DataFrame, calendar: DataFrame, topics: list[str], cfg: LabConfig):
-        self.store = StageStore(spark, root)
+        self.store = StageStore(spark, root, {"returns": returns, "weights": weights, "calendar": calendar}, sorted(topics))
         self.returns, self.weights, self.calendar, self.topics, self.cfg = returns, weights, calendar, topics, cfg
 
     def _key(self, *names: str) -> dict:

@@ -62,7 +62,8 @@ def registry_problems(assets: DataFrame, topics: DataFrame, links: DataFrame) ->
 
 
 def require_valid(problems: DataFrame, show: int = 50) -> None:
-    """Raises one error that names the problems."""
+    """Raises one error that counts the problems and names the first ``show``."""
     rows = problems.limit(show).collect()
     if rows:
-        raise ValueError("registry problems: " + "; ".join(f"{r['problem']} ({r['key']})" for r in rows))
+        total = problems.count()
+        raise ValueError(f"{total} registry problems" + (f", the first {show}: " if total > show else ": ") + "; ".join(f"{r['problem']} ({r['key']})" for r in rows))

@@ -52,6 +52,17 @@ def test_run_directory_and_stages(spark, tmp_path):
     assert len(calls) == 2
     with pytest.raises(LookupError):
         store.need("s", {"a": 3})
+    for rows, calls_after in ((spark.range(3), 3), (spark.range(4), 4), (spark.range(3).repartition(3), 4)):
+        runs.StageStore(spark, str(tmp_path), {"rows": rows}).get("s", {"a": 1}, build)
+        assert len(calls) == calls_after
+
+
+def test_unfinished_run_is_refused(spark, tmp_path):
+    runs.write_run(spark, str(tmp_path), "r", {"n": spark.range(2)}, {})
+    with pytest.raises(Exception, match="broken"):
+        runs.write_run(spark, str(tmp_path), "r", {"n": spark.range(3), "m": spark.range(1).selectExpr("raise_error('broken') AS x")}, {})
+    with pytest.raises(LookupError):
+        runs.read_run(spark, str(tmp_path), "r")
 
 
 def test_registry_reports_every_problem(spark, tmp_path):
