@@ -11,11 +11,10 @@ from loomline.llm import exact, jaccard, langid, mixing, pieces
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language; what is no language at all goes."""
-    key = F.xxhash64("text", "lang", "source")
-    judged = langid.identify(langid.of_documents(docs).withColumn("_key", key), keep=["_key"])
+    key = F.xxhash64(docs["text"], docs["lang"], docs["source"])
+    judged = langid.identify(langid.of_documents(docs, _key=key), keep=["_key"])
     gone = judged.where("not accepted").select(F.col("doc_id").alias("_gone"), "_key").distinct()
-    marked = docs.withColumn("_own", key)
-    return marked.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")) & (F.col("_own") == F.col("_key")), "left_anti").drop("_own")
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]) & (key == gone["_key"]), "left_anti")
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -146,15 +146,16 @@ def drop_copies(docs: DataFrame, owners: int | None = None) -> DataFrame:
     through one join whose other side is as small as the number of copies.
     """
     groups = materialise(exact_groups(docs, owners), "exact_groups")
-    mark = docs.withColumn("_sha", F.sha2(normalised("text").cast("binary"), 256))
+    sha = "_sha" + "_" * max(map(len, docs.columns))  # a name that docs can not have
+    mark = docs.withColumn(sha, F.sha2(normalised("text").cast("binary"), 256))
     # An id and text of which some row goes: either all its rows, or all but one.
     partly = groups.groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("stays"), F.min("kept").alias("all_stay")).where("not all_stay")
-    on = lambda d, p: d["doc_id"].cast("long").eqNullSafe(p["p_id"]) & (d["_sha"] == p["p_sha"])
+    on = lambda d, p: d["doc_id"].cast("long").eqNullSafe(p["p_id"]) & (d[sha] == p["p_sha"])
     named = partly.select(F.col("doc_id").alias("p_id"), F.col("text_sha256").alias("p_sha"), "stays")
     whole = mark.join(named, on(mark, named), "left_anti")
     some = named.where("stays")
-    repeated = mark.join(some, on(mark, some), "left_semi").dropDuplicates(["doc_id", "_sha"])
-    return whole.unionByName(repeated).drop("_sha")
+    repeated = mark.join(some, on(mark, some), "left_semi").dropDuplicates(["doc_id", sha])
+    return whole.unionByName(repeated).drop(sha)
 
 
 EXACT_SQL = r"""

@@ -175,9 +175,9 @@ def identify(texts: DataFrame, languages: tuple[str, ...] = LANGUAGES, keep: lis
     return met.select("doc_id", "language", "posterior", "text_language", "declared", "host", "n_grams", "accepted", *keep)
 
 
-def of_documents(docs: DataFrame) -> DataFrame:
-    """The evidence that the table documents has: its lang is what was declared, its source the host."""
-    return docs.select("doc_id", "text", F.col("lang").alias("markup"), F.col("source").alias("address"))
+def of_documents(docs: DataFrame, **more: Column) -> DataFrame:
+    """The evidence that the table documents has: its lang is what was declared, its source the host. ``more``: further columns by name."""
+    return docs.select("doc_id", "text", F.col("lang").alias("markup"), F.col("source").alias("address"), *[c.alias(k) for k, c in more.items()])
 
 
 def of_pages(pages: DataFrame) -> DataFrame:
