@@ -4,7 +4,8 @@ Vectors are cut into two halves and each half is quantised by its own k-means,
 so k centroids a half make k * k cells. A query walks the pairs of centroids
 from the nearest on, by the sum of the two half distances taken from a heap, until
 the cells it has met hold enough entries; those entries are ranked again by
-their exact inner product.
+their exact inner product. How many are enough is measured: a few queries are
+answered by brute force, and it is seen how far they had to walk.
 """
 
 from __future__ import annotations
@@ -23,7 +24,8 @@ TOP = 20
 SAMPLE = 16_384  # vectors that the centroids are fitted on
 ROUNDS = 12
 BLOCK = 2048  # entries, and queries, of one product in a task
-VISIT = 32  # a query meets cells until they hold VISIT * sqrt(entries) entries
+RECALL = 0.95  # share of true neighbours that the walk of the measured queries must have met
+MEASURED = 128  # queries answered by brute force to set the walk
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -127,7 +129,7 @@ def _rank(top: int):
         ids = entries.column("vec_id").to_numpy()
         order = np.argsort(ids, kind="stable")
         e, ids, reps = _matrix(entries.column("v"))[order], ids[order], queries.column("rep").to_numpy()
-        q, step, out = _matrix(queries.column("v")), max(1, (1 << 22) // len(ids)), []
+        q, step, out = _matrix(queries.column("v")), max(1, (1 << 16) // len(ids)), []
         for at in range(0, len(q), step):
             score = exact_products(q[at:at + step], e)
             best = np.argsort(-score, axis=1, kind="stable")[:, :top]
@@ -138,6 +140,46 @@ def _rank(top: int):
     return run
 
 
+def _best_of_batches(queries, top: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reps, q = queries.value
+        for batch in batches:
+            if not len(batch):
+                continue
+            score = q @ _matrix(batch.column(1)).T
+            best = np.argsort(-score, axis=1, kind="stable")[:, :top]
+            rows = np.repeat(np.arange(len(q)), best.shape[1])
+            yield pa.RecordBatch.from_arrays([pa.array(reps[rows]), batch.column(0).take(pa.array(best.ravel())), batch.column(2).take(pa.array(best.ravel())), pa.array(score[rows, best.ravel()])],
+                                             names=["rep", "vec_id", "cell", "score"])
+
+    return run
+
+
+def walk_length(indexed: DataFrame, reps: DataFrame, centres, counts: np.ndarray, top: int, recall: float) -> float:
+    """Entries that the cells of a walk must hold for the measured queries to meet ``recall`` of their true neighbours.
+
+    At most MEASURED queries (those with the smallest hash of their id) meet every
+    entry, in blocks; each task keeps the best of a batch, so what is collected is MEASURED * top rows.
+    """
+    if recall >= 1:
+        return float("inf")
+    table = reps.orderBy(F.xxhash64("rep"), "rep").limit(MEASURED).select("rep", "v").toArrow()
+    if not table.num_rows:
+        return 0.0
+    ids, q = table.column("rep").to_numpy(), _matrix(table.column("v"))
+    shared = reps.sparkSession.sparkContext.broadcast((ids, q))
+    every = indexed.select("vec_id", "v", "cell").mapInArrow(_best_of_batches(shared, top + 1), "rep long, vec_id long, cell int, score double").where("rep <> vec_id")
+    place = F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("score"), "vec_id"))
+    true = every.withColumn("place", place).where(F.col("place") <= top).select("rep", "cell").collect()
+    half, needed = centres[0].shape[1], []
+    met = {}
+    for rep, vector in zip(ids, q):
+        order = cells_by_distance(-centres[0] @ vector[:half], -centres[1] @ vector[half:], counts, np.inf)
+        met[int(rep)] = dict(zip(order, np.cumsum(counts[order]) - counts[order] + 1))
+    needed = np.sort([met[r["rep"]][r["cell"]] for r in true])
+    return float(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))))]) if len(needed) else 0.0
+
+
 def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(vec_id, v): distinct rows whose vector has no null or non-finite component, is not zero and has the usual length."""
     v = F.col("v")
@@ -148,14 +190,14 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     return rows.where(F.size("v") == (usual["d"] if usual else 0))
 
 
-def nearest(vectors: DataFrame, every: int = 20, top: int = TOP, visit: float = VISIT, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, every: int = 20, top: int = TOP, recall: float = RECALL, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score) for the rows whose id is divisible by ``every``: their ``top`` nearest other rows.
 
     Nearness is the largest inner product in double precision; ties go to the smaller id.
 
-    visit: a query meets cells until they hold visit * sqrt(entries) entries. Recall against
-    brute force is measured in tests/llm. The centroids are fitted on
-    the SAMPLE vectors with the smallest hash of their id; every vector is indexed.
+    recall: share of true neighbours that the walk is set for (``walk_length``);
+    1 walks all cells. The centroids are fitted on the SAMPLE vectors with the
+    smallest hash of their id; every vector is indexed.
 
     A vector that is null, zero, of another length than most, or holds a null or
     non-finite component takes no part, nor does a row without id; a query
@@ -173,12 +215,12 @@ def nearest(vectors: DataFrame, every: int = 20, top: int = TOP, visit: float =
     if n == 0:
         return spark.createDataFrame([], schema)
     sample = _matrix(entries.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").toArrow().column("v"))
-    half, k = max(1, sample.shape[1] // 2), 1 << max(1, round(np.log2(n) / 3))
+    half, k = max(1, sample.shape[1] // 2), 1 << max(1, round(np.log2(n) / 4))
     centres = (kmeans(sample[:, :half], k), kmeans(sample[:, half:], k)) if sample.shape[1] > 1 else (kmeans(sample, k), np.zeros((1, 0)))
     model = spark.sparkContext.broadcast(centres)
     kind = dict(entries.dtypes)["v"]
     indexed = materialise(entries.mapInArrow(_assign(model), f"vec_id long, v {kind}, cell int"), "ann_index")
-    cells = len(centres[0]) * len(centres[1])  # about the two-thirds power of the entries
+    cells = len(centres[0]) * len(centres[1])  # about the square root of the entries
     counts = np.zeros(cells, np.int64)
     for cell, size in indexed.groupBy("cell").count().collect():
         counts[cell] = size
@@ -186,7 +228,8 @@ def nearest(vectors: DataFrame, every: int = 20, top: int = TOP, visit: float =
 
     asked = rows.where(F.col("vec_id") % every == 0)
     reps = materialise(asked.groupBy("v").agg(F.min("vec_id").alias("rep")), "ann_queries")
-    visits = materialise(reps.select("rep", "v").mapInArrow(_visit(model, sizes, visit * np.sqrt(n)), f"rep long, v {kind}, cell int"), "ann_visits")
+    wanted = max(walk_length(indexed, reps, centres, counts, top, recall), float(top + 1))
+    visits = materialise(reps.select("rep", "v").mapInArrow(_visit(model, sizes, wanted), f"rep long, v {kind}, cell int"), "ann_visits")
     # A cell with many entries or many queries is met in several tasks.
     load = visits.groupBy("cell").agg(F.count("*").alias("asks")).join(indexed.groupBy("cell").agg(F.count("*").alias("holds")), "cell")
     load = materialise(load.select("cell", F.ceil(F.col("asks") / BLOCK).cast("int").alias("q_parts"), F.ceil(F.col("holds") / BLOCK).cast("int").alias("e_parts")), "ann_load")

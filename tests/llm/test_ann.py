@@ -37,11 +37,11 @@ def test_all_cells_give_the_exact_answer(spark):
     rng = np.random.default_rng(2)
     rows = [(i, rng.standard_normal(7).round(1).tolist(), 0) for i in range(400)]
     rows += [(1000 + i, [1.0] * 7, 0) for i in range(90)]  # a vector with very many copies, queries among them
-    got = got_of(ann.nearest(spark.createDataFrame(rows, SCHEMA).repartition(6), visit=1e9))
+    got = got_of(ann.nearest(spark.createDataFrame(rows, SCHEMA).repartition(6), recall=1.0))
     assert got == brute(rows)
 
 
-@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1", "check_s"])
 def test_recall(spark, sf):
     table = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet")
     want = brute([(r["vec_id"], r["embedding"]) for r in table.collect()])
