@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT = 0.1
 VARIANTS = 4  # segmentations of one word within a seed; a document's id chooses among them
-CACHE = 1_200_000  # words a task keeps with their pieces
+CACHE = 600_000  # words a task keeps with their pieces
 SPACE = "▁"  # fixed value: how a vocabulary writes a space
 SLICE_BYTES = 1 << 21
 
@@ -40,6 +40,18 @@ class Vocabulary:
     merges: dict[str, tuple[float, int, str]]  # a cost that rises as the score falls, a hash of the piece, the piece
     bytes_: list[int]
     raw: list[bytes]  # what each id decodes to; a space mark is a space
+    joins: set[str]  # neighbouring characters inside pieces
+
+    def cut(self, part: str) -> list[str]:
+        """``part`` cut between characters that stand side by side in no piece, so no merge can cross."""
+        joins, at = self.joins, 0
+        out = []
+        for i in range(1, len(part)):
+            if part[i - 1:i + 1] not in joins:
+                out.append(part[at:i])
+                at = i
+        out.append(part[at:])
+        return out
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:
@@ -58,7 +70,7 @@ class Vocabulary:
             else:
                 ids[piece], merges[piece] = i, (-model.get_score(i), crc32(piece.encode()), piece)
                 raw.append(piece.replace(SPACE, " ").encode())
-        return cls(ids, merges, fallback, raw)
+        return cls(ids, merges, fallback, raw, {p[i:i + 2] for p in ids for i in range(len(p) - 1)})
 
 
 _MASK = (1 << 32) - 1
@@ -145,16 +157,27 @@ class Encoder:
             if ids is None:
                 ids = old.get(part)
                 if ids is None:
-                    ids = array("H", encode_part(part, self.vocabulary, self.keys[variant], self.dropout)).tobytes()
-                if len(part) <= 64:
-                    if len(met) >= self.room:
-                        # Words met since the last change stay at hand for one more round.
-                        old = self.old[variant] = met
-                        met = self.met[variant] = {}
-                    met[part] = ids
+                    # Words before punctuation are met again without it.
+                    cut = [part] if part[-1].isalnum() else self.vocabulary.cut(part)
+                    ids = self._part(part, variant) if len(cut) == 1 else b"".join([met.get(x) or old.get(x) or self._keep(x, variant, self._part(x, variant)) for x in cut])
+                self._keep(part, variant, ids)
+                met, old = self.met[variant], self.old[variant]
             out.append(ids)
         return b"".join(out)
 
+    def _part(self, part: str, variant: int) -> bytes:
+        return array("H", encode_part(part, self.vocabulary, self.keys[variant], self.dropout)).tobytes()
+
+    def _keep(self, part: str, variant: int, ids: bytes) -> bytes:
+        if len(part) <= 64:
+            met = self.met[variant]
+            if len(met) >= self.room:
+                # Words met since the last change stay at hand for one more round.
+                self.old[variant] = met
+                met = self.met[variant] = {}
+            met[part] = ids
+        return ids
+
 
 def decode(ids, vocabulary: Vocabulary) -> bytes:
     """UTF-8 of a text from its piece ids: the one space put before the text is taken off."""
@@ -183,13 +206,13 @@ def _encode(shared, seed: int, dropout: float, variants: int):
             step = max(1, len(batch) * SLICE_BYTES // max(SLICE_BYTES, batch.nbytes))
             for at in range(0, len(batch), step):
                 part = batch.slice(at, step)
-                names, texts = part.schema.names, part.column("_text").to_pylist()
-                which = part.column("_variant").to_pylist()
+                names, texts = part.schema.names, part.column(part.num_columns - 2).to_pylist()
+                which = part.column(part.num_columns - 1).to_pylist()
                 coded = [encoder(t, v) for t, v in zip(texts, which)]
                 lossless = [decode(c.tolist(), vocabulary) == t.encode("utf-8", "surrogatepass") for c, t in zip(coded, texts)]
                 bounds = np.concatenate(([0], np.cumsum([len(c) for c in coded]))).astype(np.int32)
                 flat = pa.array((np.concatenate(coded) if coded else np.zeros(0)).astype(np.int32))
-                keep = [i for i, n in enumerate(names) if n not in ("_text", "_variant")]
+                keep = range(len(names) - 2)
                 yield pa.RecordBatch.from_arrays([*[part.column(i) for i in keep], pa.ListArray.from_arrays(pa.array(bounds), flat), pa.array(np.diff(bounds), pa.int32()), pa.array(lossless)],
                                                  names=[*[names[i] for i in keep], "pieces", "n_pieces", "lossless"])
 
