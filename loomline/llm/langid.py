@@ -28,7 +28,7 @@ EVIDENCE = 50  # n-grams that a text counts for at most: neighbouring n-grams ar
 UND_PRIOR = 0.01
 LEAN_HOST, LEAN_DOMAIN, LEAN_SUFFIX = 20.0, 50.0, 50.0  # pages' worth of trust in the level above
 ACCEPT = 0.5  # posterior below which no language is named
-SLICE_BYTES = 1 << 22
+SLICE_BYTES = 1 << 20  # an array of a slice takes eight times that
 
 _FOLD = np.arange(256, dtype=np.uint64)
 _FOLD[ord("A"):ord("Z") + 1] += 32
