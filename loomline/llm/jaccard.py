@@ -61,7 +61,7 @@ def prefix_size(n: int, percent: int) -> int:
 def _scan(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, np.uint32)
-        for batch in batches:
+        for batch in packed.parts(batches):
             data, offsets = packed.text_bytes(batch.column(1))
             n, h1, h2, sigs = [], [], [], []
             for grams in packed.shingle_sets(data, offsets, width):
@@ -97,7 +97,7 @@ def _rarity(scan: DataFrame) -> np.ndarray:
 
 def _verify(width: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in packed.parts(batches):
             sides = [list(packed.shingle_sets(*packed.text_bytes(batch.column(c)), width)) for c in ("text_a", "text_b")]
             ok = []
             for x, y in zip(*sides):
@@ -124,7 +124,7 @@ def _blocks(width: int, percent: int, blocks: int, shared):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rarity = shared.value
-        for batch in batches:
+        for batch in packed.parts(batches):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             data, offsets = packed.text_bytes(batch.column(1))
             grams, rows, sizes, places = [], [], [], []

@@ -48,6 +48,14 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
+def parts(batches: Iterator[pa.RecordBatch], size: int = 2 * SLICE) -> Iterator[pa.RecordBatch]:
+    """The batches cut by rows into parts of about ``size`` bytes."""
+    for batch in batches:
+        step = max(1, len(batch) * size // max(size, batch.nbytes))
+        for at in range(0, len(batch), step):
+            yield batch.slice(at, step)
+
+
 def slices(data: np.ndarray, offsets: np.ndarray, step: int = SLICE) -> Iterator[tuple[int, int]]:
     """Ranges of about ``step`` bytes that cut between texts or at white space."""
     start, n = 0, len(data)
