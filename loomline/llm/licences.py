@@ -1,10 +1,12 @@
-"""Licence scans: an exact containment join of text lines with licence templates.
+"""Licence scans: an exact containment join of text blocks with licence templates.
 
-Tokens are ordered by how many documents hold them, rarest first. A line that
+Tokens are ordered by how many documents hold them, rarest first. A block that
 shares enough tokens with a template must hold one of the template's rarest
 (prefix filter), have enough tokens at all (length filter) and have enough of
 them left after the first shared one (positional filter); what passes is
-counted exactly. DataFrame operations only.
+counted exactly. Blocks are lines, or paragraphs and runs of words where texts
+are wrapped. A run is only looked at in a text that holds enough of a
+template's tokens as a whole. DataFrame operations only.
 """
 
 from __future__ import annotations
@@ -14,7 +16,9 @@ from pyspark.sql import functions as F
 
 from loomline.functions.session import materialise
 
-CONTAINMENT = 90  # per cent of a template's distinct tokens that a line must hold
+CONTAINMENT = 90  # per cent of a template's distinct tokens that a block must hold
+SPAN = 2  # a run has this many times the words of a template, so words put in between do not hide it
+BLANK = "\n[ \t\r]*\n"  # what stands between paragraphs
 
 # Phrases with their labels, and templates as their wording.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -51,33 +55,54 @@ def _all(conditions: list[Column]) -> Column:
     return out
 
 
-def _scan(docs: DataFrame, vocabulary: list[str], least: int) -> DataFrame:
-    """What one reading of the texts gives: counts, places of phrases, and the template words of each line that has enough of them."""
+def _scan(docs: DataFrame, vocabulary: list[str], least: int, between: str) -> DataFrame:
+    """What one reading of the texts gives: counts, places of phrases, the template words of each block that has enough of them, and all words by block."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("body")).withColumn(
-        "lines", F.transform(F.split("body", "\n"), lambda x: F.regexp_extract_all(F.translate(x, UPPER, LOWER), F.lit(WORD), F.lit(0))))
-    # Words never hold a line end, so the words of the lines are the words of the text.
+        "lines", F.transform(F.split("body", between), lambda x: F.regexp_extract_all(F.translate(x, UPPER, LOWER), F.lit(WORD), F.lit(0))))
+    # Words never hold a line end, so the words of the blocks are the words of the text.
     told = F.contains(F.lower("body"), F.lit("license"))
     lines = lines.withColumn("words", F.when(told, F.flatten("lines")).otherwise(F.array().cast("array<string>")))
     lines = lines.withColumn("n_words", F.aggregate("lines", F.lit(0).cast("long"), lambda n, x: n + F.size(x)))
     lines = lines.withColumn("blocks", F.transform("lines", lambda x: F.array_intersect(x, _strings(vocabulary))))
-    places = lines.select("doc_id", "n_words", "blocks", *[_places(F.col("words"), p).alias(f"at{k}") for k, p in enumerate(PHRASES)])
+    places = lines.select("doc_id", "n_words", "lines", "blocks", *[_places(F.col("words"), p).alias(f"at{k}") for k, p in enumerate(PHRASES)])
     found = [F.col(f"at{k}") for k in range(len(PHRASES))]
     every = F.concat(*found)
     return places.select(
-        "doc_id", "n_words", F.size(every).cast("long").alias("n_base"), F.array_min(every).cast("long").alias("first_word"), F.array_max(every).cast("long").alias("last_word"),
+        "doc_id", "n_words", "lines", F.size(every).cast("long").alias("n_base"), F.array_min(every).cast("long").alias("first_word"), F.array_max(every).cast("long").alias("last_word"),
         F.array_compact(F.array(*[F.when(F.size(at) > 0, F.lit(label)) for at, label in zip(found, PHRASES.values())])).alias("base"),
         F.array_distinct(F.flatten("blocks")).alias("held"), F.filter("blocks", lambda b: F.size(b) >= least).alias("blocks"))
 
 
-def scan_licences(docs: DataFrame, templates: dict[str, tuple[str, str]] | None = None, containment: int = CONTAINMENT) -> DataFrame:
+def _with_runs(scanned: DataFrame, wording: dict[str, list[str]], need: dict[str, int], vocabulary: list[str]) -> DataFrame:
+    """The templates that a text as a whole has enough words of (near), and for texts with any the places of all template words (at)."""
+    sides = F.array(*[F.struct(F.lit(name).alias("template"), _strings(words).alias("tokens"), F.lit(need[name]).alias("need")) for name, words in wording.items()])
+    near = F.transform(F.filter(sides, lambda t: F.size(F.array_intersect(F.col("held"), t["tokens"])) >= t["need"]), lambda t: t["template"])
+    placed = F.filter(F.transform(F.flatten("lines"), lambda w, i: F.struct(i.alias("i"), w.alias("word"))), lambda x: F.array_contains(_strings(vocabulary), x["word"]))
+    return scanned.withColumn("near", near).withColumn("at", F.when(F.size("near") > 0, placed))
+
+
+def _run_hits(scanned: DataFrame, plain: DataFrame) -> DataFrame:
+    """Row, label, overlap and size for each text and template with a run of ``span`` consecutive words that holds enough of the template."""
+    pairs = scanned.where(F.size("near") > 0).select("row", "at", F.explode("near").alias("template")).join(F.broadcast(plain), "template")
+    own = pairs.withColumn("own", F.filter("at", lambda x: F.array_contains("tokens", x["word"]))).drop("at")
+    # A best run may be taken to begin at a word of the template; no more such words than its length stand in it.
+    held = lambda x, k: F.size(F.array_distinct(F.transform(F.filter(F.slice("own", k + 1, F.col("span")), lambda y: y["i"] < x["i"] + F.col("span")), lambda y: y["word"])))
+    best = materialise(own.select("row", "label", "need", F.size("tokens").alias("size"), F.array_max(F.transform("own", held)).alias("overlap")), "licence_runs")
+    return best.where("overlap >= need").select("row", "label", "overlap", "size")
+
+
+def scan_licences(docs: DataFrame, templates: dict[str, tuple[str, str]] | None = None, containment: int = CONTAINMENT, wrapped: bool = False) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     docs: columns doc_id and text are read, others ignored.
     templates: name to (label, wording); a parameter, so its words are few by construction.
-    containment: per cent of a template's distinct words that one line of a text must hold.
+    containment: per cent of a template's distinct words that one block of a text must hold.
+    wrapped: blocks are the paragraphs between blank lines and every run of
+    ``SPAN`` times as many consecutive words as the template has, across line
+    ends; else they are single lines. Whatever a line holds its paragraph holds.
 
-    score is the largest share of a template found on a line that meets the
+    score is the largest share of a template found in a block that meets the
     threshold, 1 where a phrase stands, else 0. A null or empty text has no words,
     no places (null first and last), empty labels and score 0. Repeated rows give
     repeated rows. An empty table gives no rows.
@@ -87,7 +112,10 @@ def scan_licences(docs: DataFrame, templates: dict[str, tuple[str, str]] | None
     need = {name: -(-len(words) * containment // 100) for name, words in wording.items()}
     vocabulary = sorted({w for words in wording.values() for w in words})
     spark = docs.sparkSession
-    scanned = _scan(docs, vocabulary, min(need.values(), default=0))
+    scanned = _scan(docs, vocabulary, min(need.values(), default=0), BLANK if wrapped else "\n")
+    if wrapped and templates:
+        scanned = _with_runs(scanned, wording, need, vocabulary)
+    scanned = scanned.drop("lines")
     scanned = materialise(scanned.withColumn("row", F.monotonically_increasing_id()), "licence_scan")
     if not templates:
         return _result(scanned.withColumn("found", F.array().cast("array<string>")).withColumn("best", F.lit(None).cast("double")))
@@ -95,7 +123,7 @@ def scan_licences(docs: DataFrame, templates: dict[str, tuple[str, str]] | None
     held = scanned.select(F.explode("held").alias("word")).groupBy("word").agg(F.count("*").alias("docs"))
     words = spark.createDataFrame([(w,) for w in vocabulary], "word string").join(held, "word", "left")
     ranked = words.groupBy().agg(F.array_sort(F.collect_list(F.struct(F.coalesce("docs", F.lit(0)).alias("docs"), "word"))).alias("all")).select(F.col("all.word").alias("order"))
-    plain = spark.createDataFrame([(name, templates[name][0], w, need[name]) for name, w in wording.items()], "template string, label string, tokens array<string>, need int")
+    plain = spark.createDataFrame([(name, templates[name][0], w, need[name], SPAN * len(templates[name][1].split())) for name, w in wording.items()], "template string, label string, tokens array<string>, need int, span int")
     # One row of a few hundred words beside a few templates.
     own = plain.withColumn("one", F.lit(1)).join(ranked.withColumn("one", F.lit(1)), "one").drop("one")
     own = own.withColumn("tokens", F.array_intersect("order", "tokens")).withColumn("size", F.size("tokens"))
@@ -106,6 +134,9 @@ def scan_licences(docs: DataFrame, templates: dict[str, tuple[str, str]] | None
     rest = F.size(F.array_intersect("block", F.slice("order", F.col("rank") + 1, F.size("order"))))
     met = met.where(1 + F.least(F.col("size") - F.col("place") - 1, rest) >= F.col("need"))
     exact = met.withColumn("overlap", F.size(F.array_intersect("block", "tokens"))).where("overlap >= need")
+    exact = exact.select("row", "label", "overlap", "size")
+    if wrapped:
+        exact = exact.unionByName(_run_hits(scanned, plain))
     hits = exact.groupBy("row").agg(F.collect_set("label").alias("found"), F.max(F.col("overlap") / F.col("size")).alias("best"))
     return _result(scanned.join(hits, "row", "left"))
 

@@ -44,7 +44,7 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence phrases and templates found in every text."""
-    return licences.scan_licences(_table(spark, sf_dir, "documents"))
+    return licences.scan_licences(_table(spark, sf_dir, "documents"), wrapped=True)
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import re
+import textwrap
 
 from loomline.llm import licences
 from tests.llm.support import DOC_SCHEMA, EDGES, edge_docs, empty_docs
@@ -61,3 +62,55 @@ def test_edges(spark):
 def test_no_python_in_the_plan(spark):
     plan = licences.scan_licences(edge_docs(spark))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def brute_wrapped(rows, templates=licences.TEMPLATES, percent=licences.CONTAINMENT):
+    out = []
+    for line, row in zip((brute([r], templates, percent)[0] for r in rows), rows):
+        text = (row[1] or "").translate(FOLD)
+        words = WORD.findall(text)
+        found, best = set(filter(None, line[5].split(","))), 0.0
+        for label, wording in templates.values():
+            w, span = set(wording.split()), licences.SPAN * len(wording.split())
+            blocks = [WORD.findall(x) for x in re.split("\n[ \t\r]*\n", text)] + [words[k:k + span] for k in range(len(words))]
+            most = max(len(w & set(x)) for x in blocks) if blocks else 0
+            if 100 * most >= percent * len(w):
+                found.add(label)
+                best = max(best, most / len(w))
+        out.append((*line[:6], ",".join(sorted(found)), 1.0 if line[2] else best))
+    return sorted(out, key=str)
+
+
+def wrapped(label, mark, blank_after=()):
+    """A template at 60 columns behind a comment mark, with a comment line left empty here and there."""
+    lines = textwrap.wrap(next(w for n, (_, w) in licences.TEMPLATES.items() if n == label), 60)
+    return "\n".join(x for k, line in enumerate(lines) for x in [mark + line, *([mark.rstrip()] if k in blank_after else [])])
+
+
+WRAPPED = [
+    (20, "#!/bin/sh\n" + wrapped("mit-grant", "# ") + "\n\necho done", "", "", 0), (21, "/*\n" + wrapped("gpl-terms", " * ", (0,)) + "\n */\nint x;", "", "", 0),
+    (22, wrapped("apache-terms", "// "), "", "", 0), (23, wrapped("bsd-terms", "", (0, 1)), "", "", 0), (24, " ".join(licences.TEMPLATES["bsd-terms"][1].split()[:12]) + "\n\nother words", "", "", 0),
+    (25, "\n".join(w + " filler" * 40 for w in licences.TEMPLATES["bsd-terms"][1].split()), "", "", 0), (26, "\n\n".join(w + " filler" * 40 for w in licences.TEMPLATES["bsd-terms"][1].split()), "", "", 0),
+]
+
+
+def test_wrapped_headers_against_brute_force(spark):
+    rows = [*ROWS, *EDGES[:5], *EDGES[7:], *WRAPPED]
+    got = got_of(licences.scan_licences(spark.createDataFrame(rows, DOC_SCHEMA), wrapped=True))
+    assert got == brute_wrapped(rows)
+    labels = {r[0]: r[6] for r in got}
+    assert [labels[i] for i in range(20, 27)] == ["mit", "gpl", "apache", "bsd", "", "bsd", ""]
+    assert {r[6] for r in brute(WRAPPED) if r[0] in (20, 22, 23)} == {""}
+
+
+def test_wrapped_own_templates(spark):
+    own = {"x": ("x", "a b c d e"), "y": ("y", "c d e f g h"), "z": ("x", "h")}
+    rows = [(i, t, "", "", 0) for i, t in enumerate(["a b c", "c d e f", "f g h c\na b", "h", "", "a a a a b b b c", "d e f\n\ng z z z", "b c d e\nh q", "a q q q q q q\n\nq q q b\n\nc d e"])]
+    for percent in (40, 60, 80, 100):
+        assert got_of(licences.scan_licences(spark.createDataFrame(rows, DOC_SCHEMA), own, percent, wrapped=True)) == brute_wrapped(rows, own, percent)
+    assert got_of(licences.scan_licences(spark.createDataFrame(rows, DOC_SCHEMA), {}, wrapped=True)) == brute_wrapped(rows, {})
+
+
+def test_wrapped_edges(spark):
+    assert licences.scan_licences(edge_docs(spark), wrapped=True).count() == len(EDGES)
+    assert licences.scan_licences(empty_docs(spark), wrapped=True).count() == 0
