@@ -2,8 +2,14 @@
 
 Text is encoded by merging neighbouring pieces, best score first, from an
 agenda of candidate merges. A candidate that comes up is skipped when a keyed
-hash of it falls under the dropout rate, so one seed gives one segmentation and
-another seed a different one; every segmentation decodes to the text.
+hash of it falls under the dropout rate. The key holds the seed, the document
+and the place of the word in the text, so every occurrence of a word has its own
+draws; every segmentation decodes to the text.
+
+What a word's agenda does depends only on which of its candidates are skipped.
+Courses without a skip, and those after one or two skips, are kept by word;
+draws for all words of a slice are made at once against them, and what is
+skipped more often is run from its own agenda.
 """
 
 from __future__ import annotations
@@ -23,8 +29,10 @@ from pyspark.sql import types as T
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT = 0.1
-VARIANTS = 4  # segmentations of one word within a seed; a document's id chooses among them
-CACHE = 600_000  # words a task keeps with their pieces
+CACHE = 400_000  # courses of words a task keeps with their pieces
+DEPTH = 2  # skips up to which courses are kept
+LENGTH = 24  # characters up to which courses of a word are kept
+KEPT_CHARS = 1 << 24
 SPACE = "▁"  # fixed value: how a vocabulary writes a space
 SLICE_BYTES = 1 << 21
 
@@ -74,25 +82,46 @@ class Vocabulary:
 
 
 _MASK = (1 << 32) - 1
+_MASK64 = (1 << 64) - 1
+
+
+def _mark(merged: int, cut: int, place: int) -> int:
+    """What a candidate merge brings to its draw: the hash of the merged piece, where its two sides meet, and its place in the word."""
+    return (merged ^ (cut * 0x9E3779B1 + place * 0x85EBCA6B)) & _MASK
 
 
 def draw(key: int, merged: int, cut: int, place: int) -> int:
-    """A keyed 32-bit hash of a candidate merge: the hash of the merged piece, where its two sides meet, and its place in the word."""
-    h = ((merged ^ key ^ (cut * 0x9E3779B1 + place * 0x85EBCA6B)) * 0x2C1B3C6D) & _MASK
+    """A keyed 32-bit hash of a candidate merge."""
+    h = ((_mark(merged, cut, place) ^ key) * 0x2C1B3C6D) & _MASK
     h = ((h ^ (h >> 15)) * 0x297A2D39) & _MASK
     return h ^ (h >> 16)
 
 
-def encode_part(part: str, vocabulary: Vocabulary, key: int, dropout: float) -> list[int]:
-    """Piece ids of one part of a text (a word with the spaces before it).
+def _draws(marked: np.ndarray) -> np.ndarray:
+    """``draw`` of many, from their marks xor their keys."""
+    h = marked * np.uint32(0x2C1B3C6D)
+    h = (h ^ (h >> np.uint32(15))) * np.uint32(0x297A2D39)
+    return h ^ (h >> np.uint32(16))
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each number."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
 
-    The agenda holds candidate merges by falling score and place. A skipped
+def _agenda(part: str, vocabulary: Vocabulary, skips: tuple[int, ...], key: int = 0, limit: int = 0) -> tuple[list[int], list[int]]:
+    """Marks of the candidates that came up, and piece ids, of one part of a text (a word with the spaces before it).
+
+    Skipped are the candidates ``skips``, by their order of coming up, and those
+    whose draw under ``key`` falls below ``limit``. The agenda holds candidate merges by falling score and place. A skipped
     candidate is gone; the same two places come up again only after one of them grew.
     """
-    ids, merge_of, limit = vocabulary.ids, vocabulary.merges.get, int(dropout * (_MASK + 1))
+    ids, merge_of = vocabulary.ids, vocabulary.merges.get
     text, n = list(part), len(part)
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    agenda = []
+    agenda, marks = [], []
     for i in range(n - 1):
         merge = merge_of(part[i:i + 2])
         if merge:
@@ -103,9 +132,13 @@ def encode_part(part: str, vocabulary: Vocabulary, key: int, dropout: float) ->
         cut = len(text[i])
         if after[i] != j or not cut or cut + len(text[j]) != len(both):
             continue  # one side has merged with another neighbour since
+        # _mark and draw, written out: this is the innermost step
+        mark = (mark ^ (cut * 0x9E3779B1 + i * 0x85EBCA6B)) & _MASK
+        marks.append(mark)
+        if skips and len(marks) - 1 in skips:
+            continue
         if limit:
-            # draw(key, mark, cut, i) < limit, written out: this is the innermost step
-            h = ((mark ^ key ^ (cut * 0x9E3779B1 + i * 0x85EBCA6B)) * 0x2C1B3C6D) & _MASK
+            h = ((mark ^ key) * 0x2C1B3C6D) & _MASK
             h = ((h ^ (h >> 15)) * 0x297A2D39) & _MASK
             if h ^ (h >> 16) < limit:
                 continue
@@ -127,56 +160,183 @@ def encode_part(part: str, vocabulary: Vocabulary, key: int, dropout: float) ->
             out.append(ids[t])
         elif t:
             out += [vocabulary.bytes_[b] for b in t.encode("utf-8", "surrogatepass")]
-    return out
+    return marks, out
+
+
+def encode_part(part: str, vocabulary: Vocabulary, key: int, dropout: float) -> list[int]:
+    """Piece ids of one part of a text, each candidate skipped when its draw under ``key`` falls below ``dropout``."""
+    return _agenda(part, vocabulary, (), key, int(dropout * (_MASK + 1)))[1]
+
+
+def _spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Places start, start + 1, ... of each run, one run after another."""
+    lengths = lengths.astype(np.int64)
+    return np.repeat(starts - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+
+
+def _take(values: array, at: np.ndarray) -> np.ndarray:
+    return np.frombuffer(values, dtype=values.typecode)[at]
 
 
 class Encoder:
-    """Encodes texts with one vocabulary, seed and dropout; keeps the pieces of words it has met."""
-
-    def __init__(self, vocabulary: Vocabulary, seed: int, dropout: float, variants: int):
-        self.vocabulary, self.dropout, self.variants = vocabulary, dropout, max(1, variants)
-        self.keys = [draw(crc32(str(seed).encode()), 0, v, 1) for v in range(self.variants)]
-        self.met: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
-        self.old: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
-        self.room = max(1, CACHE // self.variants // 2)
+    """Encodes texts with one vocabulary, seed and dropout; keeps the courses of words it has met.
+
+    variants: documents' keys are taken modulo this, if given.
+    """
+
+    def __init__(self, vocabulary: Vocabulary, seed: int, dropout: float, variants: int | None = None):
+        self.vocabulary, self.dropout, self.variants = vocabulary, dropout, variants
+        self.seed = (crc32(str(seed).encode()) * 0x9E3779B97F4A7C15 + 1) & _MASK64
+        self._forget()
+
+    def _forget(self) -> None:
+        self.met: dict[str, int] = {}  # part: entry
+        self.units: dict[str, int] = {}  # unit of a part: its first course
+        self.first, self.many = array("i"), array("i")  # entry: where its courses stand in roots, and how many
+        self.roots = array("i", [0])
+        self.words: dict[int, str] = {}  # first course of a unit: the unit
+        self.chars = 0
+        # Course: its candidates, its pieces, the course and skips that it came from.
+        self.at, self.size, self.out_at, self.out_size = array("i"), array("i"), array("i"), array("i")
+        self.root, self.skips, self.base, self.direct = [], [], [], array("b")
+        # Candidate: its mark, and the course when it is skipped (-1: not run yet).
+        self.mark, self.child = array("I", [0]), array("i", [-1])
+        self.out = array("H", [0])
         # A space mark in the text itself is spelled in bytes, so that it is not taken for a space.
-        self.own_mark = np.array([vocabulary.bytes_[b] for b in SPACE.encode()], np.uint16).tobytes()
+        self._entry("", [self._add(-1, (), 0, [], [self.vocabulary.bytes_[b] for b in SPACE.encode()])])
+
+    def _add(self, root: int, skips: tuple[int, ...], base: int, marks: list[int], ids: list[int], direct: bool = False) -> int:
+        """A new course, ``root`` its unit's first (-1: itself), ``skips`` the ordinals of what is skipped, ``base`` that of its first candidate."""
+        course = len(self.at)
+        self.at.append(len(self.mark))
+        self.size.append(len(marks))
+        self.out_at.append(len(self.out))
+        self.out_size.append(len(ids))
+        self.mark.extend(marks)
+        self.child.extend([-1] * len(marks))
+        self.out.extend(ids)
+        self.root.append(course if root < 0 else root)
+        self.skips.append(skips)
+        self.base.append(base)
+        self.direct.append(direct)
+        return course
+
+    def _run(self, unit: str, root: int, skips: tuple[int, ...]) -> int:
+        """The course of a unit in which just the candidates ``skips`` are skipped, by their order of coming up."""
+        marks, ids = _agenda(unit, self.vocabulary, skips)
+        base = skips[-1] + 1 if skips else 0
+        return self._add(root, skips, base, marks[base:], ids)
+
+    def _entry(self, part: str, courses: list[int]) -> int:
+        entry = len(self.first)
+        self.first.append(len(self.roots))
+        self.many.append(len(courses))
+        self.roots.extend(courses)
+        if len(part) <= 64:
+            self.met[part] = entry
+        self.chars += len(part)
+        return entry
+
+    def _enter(self, part: str) -> int:
+        """The entry of a part that may not have been met. Words before punctuation are met again without it."""
+        entry = self.met.get(part)
+        if entry is not None:
+            return entry
+        courses = []
+        for unit in [part] if part[-1].isalnum() and len(part) <= LENGTH else self.vocabulary.cut(part):
+            course = self.units.get(unit)
+            if course is None:
+                far = len(unit) > LENGTH and self.dropout > 0
+                course = self.units[unit] = self._add(-1, (), 0, [], [], True) if far else self._run(unit, -1, ())
+                self.words[course] = unit
+                self.chars += len(unit)
+            courses.append(course)
+        return self._entry(part, courses)
 
     def __call__(self, text: str, variant: int) -> np.ndarray:
+        return self.many_texts([text], [variant])[0]
+
+    def keys(self, variant: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """32-bit keys of words from the keys of their documents and their places in the text."""
+        own = _mix(np.uint64(self.seed) ^ _mix(variant.astype(np.int64).astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)))
+        return (_mix(own + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
+
+    def parts(self, text: str) -> list[str]:
+        """The parts of a text; an empty one is a space mark that stands in the text."""
         if not text:
-            return np.zeros(0, np.uint16)
-        if SPACE in text:
-            pieces = [self._plain(part, variant, first=k == 0) for k, part in enumerate(text.split(SPACE))]
-            return np.frombuffer(self.own_mark.join(pieces), np.uint16)
-        return np.frombuffer(self._plain(text, variant, True), np.uint16)
-
-    def _plain(self, text: str, variant: int, first: bool) -> bytes:
-        met, old, out = self.met[variant], self.old[variant], []
-        for part in _PARTS.findall((SPACE if first else "") + text.replace(" ", SPACE)):
-            ids = met.get(part)
-            if ids is None:
-                ids = old.get(part)
-                if ids is None:
-                    # Words before punctuation are met again without it.
-                    cut = [part] if part[-1].isalnum() else self.vocabulary.cut(part)
-                    ids = self._part(part, variant) if len(cut) == 1 else b"".join([met.get(x) or old.get(x) or self._keep(x, variant, self._part(x, variant)) for x in cut])
-                self._keep(part, variant, ids)
-                met, old = self.met[variant], self.old[variant]
-            out.append(ids)
-        return b"".join(out)
-
-    def _part(self, part: str, variant: int) -> bytes:
-        return array("H", encode_part(part, self.vocabulary, self.keys[variant], self.dropout)).tobytes()
-
-    def _keep(self, part: str, variant: int, ids: bytes) -> bytes:
-        if len(part) <= 64:
-            met = self.met[variant]
-            if len(met) >= self.room:
-                # Words met since the last change stay at hand for one more round.
-                self.old[variant] = met
-                met = self.met[variant] = {}
-            met[part] = ids
-        return ids
+            return []
+        if SPACE not in text:
+            return _PARTS.findall(SPACE + text.replace(" ", SPACE))
+        out = []
+        for k, part in enumerate(text.split(SPACE)):
+            out += ([""] if k else []) + _PARTS.findall(("" if k else SPACE) + part.replace(" ", SPACE))
+        return out
+
+    def many_texts(self, texts: list[str], variants: list[int]) -> list[np.ndarray]:
+        if len(self.at) > CACHE or self.chars > KEPT_CHARS:
+            self._forget()
+        entries, ends = array("i"), [0]
+        for text in texts:
+            parts = self.parts(text)
+            found = list(map(self.met.get, parts))
+            if None in found:
+                found = [self._enter(p) if e is None else e for p, e in zip(parts, found)]
+            entries.extend(found)
+            ends.append(len(entries))
+        if not entries:
+            return [np.zeros(0, np.uint16) for _ in texts]
+        entry = np.frombuffer(entries, np.int32)
+        many = _take(self.many, entry)
+        course = _take(self.roots, _spread(_take(self.first, entry), many))
+        ends = np.concatenate(([0], np.cumsum(many)))[ends]
+        own: dict[int, list[int]] = {}
+        if self.dropout > 0:
+            variant = np.array(variants, np.int64) % self.variants if self.variants else np.array(variants, np.int64)
+            each = np.diff(ends)
+            key = self.keys(np.repeat(variant, each), np.arange(len(course)) - np.repeat(ends[:-1], each))
+            own = self._drop(course, key)
+        start, length = _take(self.out_at, course).astype(np.int64), _take(self.out_size, course)
+        out = np.frombuffer(self.out, np.uint16)
+        if own:
+            which = np.fromiter(own, np.int64, len(own))
+            sizes = np.array([len(x) for x in own.values()])
+            start[which], length[which] = len(out) + np.cumsum(sizes) - sizes, sizes
+            out = np.concatenate((out, np.array([i for x in own.values() for i in x], np.uint16)))
+        flat = out[_spread(start, length)]
+        bounds = np.concatenate(([0], np.cumsum(length, dtype=np.int64)))[ends]
+        return [flat[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
+
+    def _drop(self, course: np.ndarray, key: np.ndarray) -> dict[int, list[int]]:
+        """Moves each word (in place) to the course that its draws choose; pieces of those with no course kept are returned by place."""
+        limit, own = int(self.dropout * (_MASK + 1)), {}
+
+        def alone(places: np.ndarray) -> None:
+            for i, c, k in zip(places.tolist(), course[places].tolist(), key[places].tolist()):
+                own[i] = encode_part(self.words[self.root[c]], self.vocabulary, k, self.dropout)
+
+        direct = _take(self.direct, course) > 0
+        alone(np.flatnonzero(direct))
+        active = np.flatnonzero(~direct)
+        for depth in range(DEPTH + 1):
+            now = course[active]
+            size = _take(self.size, now)
+            slots, whose = _spread(_take(self.at, now), size), np.repeat(active, size)
+            hits = np.flatnonzero(_draws(_take(self.mark, slots) ^ key[whose]).astype(np.int64) < limit)
+            active, which = np.unique(whose[hits], return_index=True)
+            if depth == DEPTH:
+                alone(active)
+                return own
+            slots = slots[hits[which]]
+            new = np.unique(slots[_take(self.child, slots) < 0])
+            # Candidates stand in the order of their courses.
+            homes = np.searchsorted(np.array(self.at), new, side="right") - 1
+            for slot, home in zip(new.tolist(), homes.tolist()):
+                root, ordinal = self.root[home], self.base[home] + slot - self.at[home]
+                # Set after the run, which makes the array of children longer.
+                child = self._run(self.words[root], root, (*self.skips[home], ordinal))
+                self.child[slot] = child
+            course[active] = _take(self.child, slots)
+        return own
 
 
 def decode(ids, vocabulary: Vocabulary) -> bytes:
@@ -189,7 +349,7 @@ def decode(ids, vocabulary: Vocabulary) -> bytes:
 _kept: dict[tuple, Encoder] = {}
 
 
-def _encoder(vocabulary: Vocabulary, seed: int, dropout: float, variants: int) -> Encoder:
+def _encoder(vocabulary: Vocabulary, seed: int, dropout: float, variants: int | None) -> Encoder:
     """The encoder of this process, whose words later tasks find again; another setting replaces it."""
     key = (seed, dropout, variants)
     if key not in _kept or _kept[key].vocabulary.ids != vocabulary.ids:
@@ -198,7 +358,7 @@ def _encoder(vocabulary: Vocabulary, seed: int, dropout: float, variants: int) -
     return _kept[key]
 
 
-def _encode(shared, seed: int, dropout: float, variants: int):
+def _encode(shared, seed: int, dropout: float, variants: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = shared.value
         encoder = _encoder(vocabulary, seed, dropout, variants)
@@ -208,7 +368,7 @@ def _encode(shared, seed: int, dropout: float, variants: int):
                 part = batch.slice(at, step)
                 names, texts = part.schema.names, part.column(part.num_columns - 2).to_pylist()
                 which = part.column(part.num_columns - 1).to_pylist()
-                coded = [encoder(t, v) for t, v in zip(texts, which)]
+                coded = encoder.many_texts(texts, which)
                 lossless = [decode(c.tolist(), vocabulary) == t.encode("utf-8", "surrogatepass") for c, t in zip(coded, texts)]
                 bounds = np.concatenate(([0], np.cumsum([len(c) for c in coded]))).astype(np.int32)
                 flat = pa.array((np.concatenate(coded) if coded else np.zeros(0)).astype(np.int32))
@@ -219,24 +379,25 @@ def _encode(shared, seed: int, dropout: float, variants: int):
     return run
 
 
-def encode(docs: DataFrame, path: str = MODEL, seed: int = 0, dropout: float = DROPOUT, variants: int = VARIANTS, keep: list[str] | None = None) -> DataFrame:
+def encode(docs: DataFrame, path: str = MODEL, seed: int = 0, dropout: float = DROPOUT, variants: int | None = None, keep: list[str] | None = None) -> DataFrame:
     """Columns ``keep`` (doc_id by default) of every row of ``docs`` with pieces array<int>, n_pieces int, lossless boolean.
 
     The column text is encoded whole. Each candidate merge is skipped with
-    probability ``dropout`` by a hash of seed, variant, the two pieces and their place in the word;
-    the variant of a document is a hash of its doc_id over ``variants`` values.
+    probability ``dropout`` by a hash of seed, doc_id, the place of the word in the text,
+    the two pieces and their place in the word.
+    variants: if given, documents share this many keys, chosen by their doc_id.
     With dropout 0 the pieces are those of the plain merge encoding.
     lossless: decoding the pieces gave the text back, byte for byte.
 
     A null or empty text has no pieces and is lossless. Characters outside the
     vocabulary, line ends, and space marks that stand in the text itself are spelled in byte
-    pieces. Repeated rows get equal pieces; a null doc_id has a variant like any other.
+    pieces. Repeated rows get equal pieces; a null doc_id has a key like any other.
     Columns of ``keep`` may have any names but pieces, n_pieces and lossless, which
     replace columns of ``docs`` so named. An empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(path))
     keep = [c for c in (["doc_id"] if keep is None else keep) if c not in ("pieces", "n_pieces", "lossless")]
-    variant = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(max(1, variants))).cast("int")
+    variant = F.xxhash64(F.col("doc_id").cast("string"))
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce("text", F.lit("")).alias("_text"), variant.alias("_variant"))
     out = T.StructType([*[rows.schema[c] for c in keep], T.StructField("pieces", T.ArrayType(T.IntegerType())), T.StructField("n_pieces", T.IntegerType()), T.StructField("lossless", T.BooleanType())])
     return rows.mapInArrow(_encode(shared, seed, dropout, variants), out)

@@ -1,9 +1,12 @@
+import random
+
+import numpy as np
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from loomline.llm import pieces
-from tests.llm.support import edge_docs, empty_docs
+from tests.llm.support import DOC_SCHEMA, edge_docs, empty_docs
 
 VOCABULARY = pieces.Vocabulary.load(pieces.MODEL)
 LIBRARY = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
@@ -59,3 +62,33 @@ def test_edges(spark):
     back = sorted((str(r["doc_id"]), r["text"]) for r in pieces.decode_texts(pieces.encode(docs)).collect())
     assert back == sorted((str(r["doc_id"]), r["text"] or "") for r in docs.collect())
     assert pieces.encode(empty_docs(spark)).count() == 0
+
+
+@given(TEXT, st.integers(0, 5), st.sampled_from([0.0, 0.1, 0.5, 1.0]))
+@settings(max_examples=200, deadline=None)
+def test_as_each_word_alone(text, seed, dropout):
+    """The courses kept by word give what the agenda gives under each word's key."""
+    encoder = pieces.Encoder(VOCABULARY, seed, dropout)
+    units = []
+    for part in encoder.parts(text):
+        units += [part] if not part or (part[-1].isalnum() and len(part) <= pieces.LENGTH) else VOCABULARY.cut(part)
+    keys = encoder.keys(np.full(len(units), 77), np.arange(len(units))).tolist()
+    mark = [VOCABULARY.bytes_[b] for b in pieces.SPACE.encode()]
+    want = [i for u, k in zip(units, keys) for i in (pieces.encode_part(u, VOCABULARY, k, dropout) if u else mark)]
+    assert encoder(text, 77).tolist() == want
+
+
+def test_every_occurrence_has_its_own_draws(spark):
+    """One word many times over: cut in many ways in one text, at the expected rate, and differently in each document."""
+    rows = [(i, "yesterday " * 2000, "", "", 0) for i in range(12)]
+    coded = [tuple(r["pieces"]) for r in pieces.encode(spark.createDataFrame(rows, DOC_SCHEMA)).collect()]
+    assert len(set(coded)) == 12
+    encoder = pieces.Encoder(VOCABULARY, 0, pieces.DROPOUT)
+    n, word, rng = 20_000, "▁yesterday", random.Random(1)
+    plain = tuple(pieces.encode_part(word, VOCABULARY, 0, 0.0))
+    seen = [tuple(x.tolist()) for x in encoder.many_texts(["yesterday"] * n, list(range(n)))]
+    want = [tuple(pieces.encode_part(word, VOCABULARY, rng.getrandbits(32), pieces.DROPOUT)) for _ in range(n)]
+    assert len(set(seen)) > 12 and abs(sum(x == plain for x in seen) - sum(x == plain for x in want)) / n < 0.02
+    one = pieces.Encoder(VOCABULARY, 0, pieces.DROPOUT)
+    cuts = {tuple(pieces.encode_part(word, VOCABULARY, k, pieces.DROPOUT)) for k in one.keys(np.full(2000, 5), np.arange(2000)).tolist()}
+    assert len(cuts) > 12 and one("yesterday " * 2000, 5).tolist().count(plain[0]) < 2000
