@@ -126,27 +126,31 @@ def first_canonical_correlation(left: DataFrame, right: DataFrame, keys: list[st
     return solved.join(rows.select("t_idx", "g").distinct(), "t_idx").select("g", "first", "n")
 
 
-def canonical_correlations(rows: DataFrame, width: int) -> DataFrame:
-    """All canonical correlations of two sets of columns, largest first: (k, corr, n).
+def canonical_correlations(rows: DataFrame, width: int, by: str | None = None) -> DataFrame:
+    """All canonical correlations of two sets of columns, largest first: (k, corr, n), with the group's label g before them if ``by`` is given.
 
     ``rows`` holds both sides as the arrays ``a`` (of length ``width``) and ``b``.
     One reading sums their joint covariance, a square of the columns' number.
     """
     both = F.concat(F.array(F.lit(1.0)), F.transform("a", lambda v: v.cast("double")), F.transform("b", lambda v: v.cast("double")))
-    table = period_moments(rows.select(F.lit(0).alias("t_idx"), F.lit(0.0).alias("y"), both.alias("x")))
+    rows = _numbered(rows, by)
+    table = period_moments(rows.select("t_idx", F.lit(0.0).alias("y"), both.alias("x")))
 
     def solve(batches):
         for batch in batches:
-            for _, n, c in _moment_matrices(batch):
+            for t, n, c in _moment_matrices(batch):
                 sides = []
                 for own in (c[:width, :width], c[width:, width:]):
                     power, axes = np.linalg.eigh(own)
                     live = power > 1e-10 * max(power.max(), 1e-300)
                     sides.append(axes[:, live] / np.sqrt(power[live]))
                 found = np.minimum(np.linalg.svd(sides[0].T @ c[:width, width:] @ sides[1], compute_uv=False), 1.0)
-                yield pd.DataFrame({"k": np.arange(1, len(found) + 1, dtype=np.int32), "corr": found, "n": n})
+                yield pd.DataFrame({"t_idx": t, "k": np.arange(1, len(found) + 1, dtype=np.int32), "corr": found, "n": n})
 
-    return table.select("t_idx", "n", "s").mapInPandas(solve, "k int, corr double, n long")
+    solved = table.select("t_idx", "n", "s").mapInPandas(solve, "t_idx int, k int, corr double, n long")
+    if by is None:
+        return solved.drop("t_idx")
+    return solved.join(rows.select("t_idx", "g").distinct(), "t_idx").select("g", "k", "corr", "n")
 
 
 def instrument_beta_r2(instruments: DataFrame, betas: DataFrame, keys: list[str], K: int, by: str) -> DataFrame:

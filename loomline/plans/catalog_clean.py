@@ -276,10 +276,9 @@ def selection_scores(t: Tables):
 
 @query("canonical_corr")
 def canonical_corr(t: Tables):
-    """First canonical correlation of two groups of embedding columns, per label."""
-    rows = t.read("embeddings").withColumn("e", F.col("embedding").cast("array<double>"))
-    left = rows.select("vec_id", "label", F.slice("e", 1, 4).alias("v"))
-    return scoring.first_canonical_correlation(left, rows.select("vec_id", "label", F.slice("e", 33, 4).alias("v")), ["vec_id", "label"], 4, "label")
+    """First canonical correlation of the two halves of the vectors, per label."""
+    rows = t.read("embeddings").select("label", F.slice("embedding", 1, 32).alias("a"), F.slice("embedding", 33, 32).alias("b"))
+    return scoring.canonical_correlations(rows, 32, "label").where("k = 1").select("g", F.col("corr").alias("first"), "n")
 
 
 @query("canonical_corr_one_column", """

@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+import __spark_entry__ as entry
 from loomline.functions.ranking import average_rank, spearman
 from loomline.operators import cleaning, designed, direct, inference, links, scoring, weekly
 from loomline.operators.calendar import trading_calendar
@@ -147,3 +148,16 @@ def test_checks_fail_on_missing_metrics(spark):
     metrics = spark.createDataFrame([("s", 0, "null", "null_selection_lift", 1.0), ("s", 0, "null", "null_oos_sharpe_abs", float("nan"))], "scenario string, seed int, kind string, name string, value double")
     flags = {r["check"]: r["passed"] for r in scoring.pass_flags(metrics, scoring.check_table(spark), ["scenario", "seed"]).collect()}
     assert flags == {"null_selection_lift": True, "null_oos_sharpe_abs": False}
+
+
+def test_canonical_corr_of_whole_halves_per_label(spark):
+    """All 64 columns, against QR of the centred halves of each label."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select("label", "embedding").toPandas()
+    got = {r["g"]: r for r in entry.QUERIES["canonical_corr"](spark, "/root/testdata/sf0.01").collect()}
+    assert set(got) == {str(x) for x in rows["label"].unique()}
+    for label, own in rows.groupby("label"):
+        x = np.stack(own["embedding"].to_list()).astype(float)
+        assert x.shape[1] == 64
+        qa, qb = (np.linalg.qr(side - side.mean(0))[0] for side in (x[:, :32], x[:, 32:]))
+        want = np.linalg.svd(qa.T @ qb, compute_uv=False)[0]
+        assert got[str(label)]["n"] == len(x) and abs(got[str(label)]["first"] - want) < 1e-6
