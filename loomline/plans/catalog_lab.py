@@ -495,7 +495,7 @@ def weekly_world(t: Tables):
     rows = materialise(panel.build_panel(kernel.pack_topics(cov, t.topics), align.period_returns(rets, cal), cfg.burn_in, 12), "weekly_panel")
     train = moments.period_moments(weekly.training_rows(rows, TRAIN_START, TRAIN_END))
     tune = tuning.TuneConfig(tolerance=0.02, annualization=weekly.WEEKS_PER_YEAR)
-    _, fit = tuning.tune_model(train, factor_model.FitConfig(K=2, n_lambdas=8, ratio=1e-2), tune)
+    _, fit = tuning.tune_model(train, factor_model.FitConfig(ratio=1e-2), tune)
     return rows, fit, divisor, shock_rows, cal, cfg
 
 
@@ -556,16 +556,16 @@ def implied_sensitivities(t: Tables):
 
 @query("harness_run")
 def harness_run(t: Tables):
-    """One seed of a signal and a null scenario on designed attention, with pass flags."""
-    from loomline.operators import factor_model, tuning
+    """All seeds of a signal and a null scenario on designed attention, with pass flags."""
+    from loomline.operators import tuning
     from loomline.plans import harness, study
 
     nations = t.read("nation").select(F.col("n_name").alias("topic"))
     drawn = links.share_with_signal(links.random_links(nations, t.assets), 0.5)
     used = materialise(links.design_weights(drawn), "linked_weights")
     topics = bounded_list(nations, "topic")
-    cfg = study.StudyConfig(fit=factor_model.FitConfig(K=1, n_lambdas=5), oos=tuning.OosConfig(min_train=30, refit_every=24))
-    return harness.run_harness(t.returns, used, t.calendar, topics, harness.HarnessConfig(seeds=(0,), study=cfg))["passed"]
+    cfg = study.StudyConfig(oos=tuning.OosConfig(min_train=30))
+    return harness.run_harness(t.returns, used, t.calendar, topics, harness.HarnessConfig(study=cfg))["passed"]
 
 
 @query("designed_kernel_pairs")

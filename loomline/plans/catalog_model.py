@@ -14,7 +14,7 @@ from loomline.plans.oracle import with_ctes
 from loomline.plans.registry import query
 from loomline.plans.tables import Tables, tidy
 
-FIT = factor_model.FitConfig(K=2, n_lambdas=8)
+FIT = factor_model.FitConfig()
 OOS = tuning.OosConfig(min_train=30)
 
 
@@ -295,9 +295,9 @@ def lambda_max_by_instrument(t: Tables):
 
 @query("lambda_path")
 def lambda_path(t: Tables):
-    """The whole penalty path for one and two factors."""
+    """The whole penalty path for one to three factors."""
     _, m = moments_of(t)
-    path = tuning.penalty_path(m, FIT, tuning.TuneConfig(K_grid=(1, 2)))
+    path = tuning.penalty_path(m, FIT, tuning.TuneConfig(K_grid=(1, 2, 3)))
     return path.select("K", "lam", "total_r2", "pred_r2", "mve_sharpe", "objective", "n_selected", "converged", "n_iter")
 
 
@@ -321,7 +321,7 @@ def plain_fit(t: Tables):
 def loocv(t: Tables):
     """Leave-one-period-out Sharpe of every point; one task per left-out period."""
     _, m = moments_of(t)
-    path = tuning.penalty_path(m, factor_model.FitConfig(K=1, n_lambdas=3), tuning.TuneConfig(criterion="loocv"))
+    path = tuning.penalty_path(m, FIT, tuning.TuneConfig(criterion="loocv"))
     return path.select("K", "lam", "criterion", "n_selected")
 
 

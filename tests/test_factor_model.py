@@ -133,3 +133,14 @@ def test_f_tail_identities():
     assert dense.f_survival(2.71089, 5, 20) == pytest.approx(0.05, abs=1e-5)
     assert dense.f_quantile(0.95, 3, 30) == pytest.approx(2.92228, abs=1e-4)
     assert dense.beta_tail(2, 3, 0.4) + dense.beta_tail(3, 2, 0.6) == pytest.approx(1.0)
+
+
+def test_queries_run_the_default_grid(spark):
+    """All factor counts and all penalties of the operator's defaults."""
+    import __spark_entry__ as entry
+
+    sf = "/root/testdata/sf0.01"
+    path = entry.QUERIES["lambda_path"](spark, sf).toPandas()
+    assert path.groupby("K")["lam"].nunique().to_dict() == {k: fm.FitConfig().n_lambdas for k in (1, 2, fm.FitConfig().K)}
+    left_out = entry.QUERIES["loocv"](spark, sf).toPandas()
+    assert set(left_out["K"]) == {fm.FitConfig().K} and left_out["lam"].nunique() == fm.FitConfig().n_lambdas
