@@ -130,6 +130,19 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> Iterator[
         yield np.unique(mixed(value))
 
 
+_ZSTD = pa.Codec("zstd", compression_level=3)
+
+
+def squeezed(values: np.ndarray) -> bytes:
+    """The bytes of an array, compressed, behind their number."""
+    return np.int64(values.nbytes).tobytes() + _ZSTD.compress(values.tobytes(), asbytes=True)
+
+
+def unsqueezed(raw: bytes, kind) -> np.ndarray:
+    """The array that ``squeezed`` packed."""
+    return np.frombuffer(_ZSTD.decompress(raw[8:], decompressed_size=int(np.frombuffer(raw, np.int64, 1)[0]), asbytes=True), kind)
+
+
 def golomb(values: np.ndarray) -> bytes:
     """Golomb-Rice code of a sorted list of 64-bit values.
 
