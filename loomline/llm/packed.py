@@ -105,6 +105,23 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return np.concatenate(hashes), np.concatenate(owners)
 
 
+class Rolling:
+    """Hashes of any substrings of ``data`` from one running sum; ``codes`` holds an odd number per byte value."""
+
+    def __init__(self, data: np.ndarray, codes: np.ndarray):
+        self.total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(codes[data] * _power("up", _STEP, len(data) + 1)[:len(data)], out=self.total[1:])
+        self.down = _power("down", _UNSTEP, len(data) + 1)
+
+    def hashes(self, starts: np.ndarray, lengths: np.ndarray | int) -> np.ndarray:
+        """Of the substrings at ``starts``; equal substrings have equal hashes wherever they stand."""
+        return mixed((self.total[starts + lengths] - self.total[starts]) * self.down[starts] + np.atleast_1d(lengths).astype(np.uint64) * ODD)
+
+    def every(self, length: int) -> np.ndarray:
+        """Of the substrings of one length at every place."""
+        return mixed((self.total[length:] - self.total[:-length]) * self.down[:len(self.total) - length] + np.full(1, length, np.uint64) * ODD)
+
+
 def bounds_of(owners: np.ndarray, n: int) -> np.ndarray:
     """Where the words of each of ``n`` texts begin and end."""
     return np.searchsorted(owners, np.arange(n + 1))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm import ann, exact, jaccard, langid, licences, lm, mixing, periods, phrases, pieces, quality, warc
+from loomline.llm import ann, exact, jaccard, langid, licences, lm, mixing, periods, phrases, pieces, quality, repeats, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,11 +72,16 @@ def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(_table(spark, sf_dir, "documents"))
 
 
+def op12_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without later copies of 100-byte substrings."""
+    return repeats.repeat_digests(repeats.drop_repeats(_table(spark, sf_dir, "documents")))
+
+
 def op13_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of repeating words of every document, some with a planted tail, and the text without them."""
     return periods.run_digests(periods.periodic_runs(_table(spark, sf_dir, "documents"), periods.wrapped_tail))
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_language_id, op2_multi_index, op3_mix_sources, op4_lm_scores, op5_exact_dedup, op6_licences, op7_quality, op8_pieces, op9_jaccard, op10_warc, op11_phrases, op13_periods, language_of_pages)}
-ORACLES = {"op3_mix_sources": mixing.MIX_SQL, "op4_lm_scores": lm.LM_SQL, "op9_jaccard": jaccard.JACCARD_SQL, "op6_licences": licences.LICENCE_SQL, "op5_exact_dedup": exact.EXACT_SQL, "op10_warc": warc.WARC_SQL, "op11_phrases": phrases.PHRASES_SQL, "op13_periods": periods.PERIODS_SQL}
+    op1_language_id, op2_multi_index, op3_mix_sources, op4_lm_scores, op5_exact_dedup, op6_licences, op7_quality, op8_pieces, op9_jaccard, op10_warc, op11_phrases, op12_repeats, op13_periods, language_of_pages)}
+ORACLES = {"op3_mix_sources": mixing.MIX_SQL, "op4_lm_scores": lm.LM_SQL, "op9_jaccard": jaccard.JACCARD_SQL, "op6_licences": licences.LICENCE_SQL, "op5_exact_dedup": exact.EXACT_SQL, "op10_warc": warc.WARC_SQL, "op11_phrases": phrases.PHRASES_SQL, "op12_repeats": repeats.REPEATS_SQL, "op13_periods": periods.PERIODS_SQL}
