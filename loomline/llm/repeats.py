@@ -437,11 +437,12 @@ def repeat_digests(cut: DataFrame) -> DataFrame:
 
 REPEATS_SQL = f"""
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
-w AS (SELECT doc_id, i, substr(h, 2 * i + 1, {2 * WIDTH}) AS s FROM (SELECT doc_id, h, unnest(range(n - {WIDTH} + 1)) AS i FROM d)),
+k AS (SELECT doc_id, n, spot, substr(h, 2 * spot + 1, {2 * (256 + WIDTH)}) AS h FROM (SELECT doc_id, n, h, unnest(range(0, n, 256)) AS spot FROM d)),
+w AS (SELECT doc_id, spot + i AS i, substr(h, 2 * i + 1, {2 * WIDTH}) AS s FROM (SELECT *, unnest(range(least(256, n - spot - {WIDTH} + 1))) AS i FROM k)),
 f AS (SELECT s, min(doc_id::HUGEINT * 4294967296 + i) AS first FROM w GROUP BY s HAVING count(*) > 1),
 m AS (SELECT doc_id, i FROM w JOIN f USING (s) WHERE doc_id::HUGEINT * 4294967296 + i > first),
-b AS (SELECT d.doc_id, h, unnest(range(n)) AS i FROM d),
-c AS (SELECT b.doc_id, b.i, substr(h, 2 * b.i + 1, 2) AS byte, coalesce(b.i - max(m.i) OVER (PARTITION BY b.doc_id ORDER BY b.i) < {WIDTH}, false) AS gone FROM b LEFT JOIN m ON m.doc_id = b.doc_id AND m.i = b.i),
+b AS (SELECT doc_id, spot + i AS i, substr(h, 2 * i + 1, 2) AS byte FROM (SELECT *, unnest(range(least(256, n - spot))) AS i FROM k)),
+c AS (SELECT b.doc_id, b.i, byte, coalesce(b.i - max(m.i) OVER (PARTITION BY b.doc_id ORDER BY b.i) < {WIDTH}, false) AS gone FROM b LEFT JOIN m ON m.doc_id = b.doc_id AND m.i = b.i),
 e AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS begins FROM c),
 g AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (begins) AS n_spans, string_agg(byte, '' ORDER BY i) FILTER (NOT gone) AS kept FROM e GROUP BY doc_id)
 SELECT d.doc_id, CAST(n AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN g USING (doc_id)
