@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -37,10 +38,10 @@ def panel_moments(t: Tables):
 
 @query("sigma_from_moments", with_ctes("panel", """
     SELECT l, CASE WHEN l = 0 THEN 1.0 ELSE round(stddev_pop(v), 9) END AS sigma
-    FROM (SELECT unnest(x) AS v, unnest(range(len(x))) AS l FROM panel WHERE t_idx < 40) GROUP BY l"""))
+    FROM (SELECT unnest(x) AS v, unnest(range(len(x))) AS l FROM panel) GROUP BY l"""))
 def sigma_from_moments(t: Tables):
-    """Deviation of each instrument over the first forty periods, merged from period statistics."""
-    m = moments.period_moments(t.panel).where("t_idx < 40")
+    """Deviation of each instrument over all periods, merged from period statistics."""
+    m = moments.period_moments(t.panel)
     rows = m.select("n", F.posexplode(F.arrays_zip("mean", "m2")).alias("l", "z")).select("n", "l", "z.mean", "z.m2")
     n = F.col("n")
     grand = F.sum(n * F.col("mean")).over(Window.partitionBy("l")) / F.sum(n).over(Window.partitionBy("l"))
@@ -60,12 +61,8 @@ def one_loading():
     SELECT t_idx, round(sum(b * y) / (sum(b * b) + 2), 9) AS f FROM one GROUP BY t_idx""", one=ONE))
 def oos_factor_k1(t: Tables):
     """Cross-sectional ridge factor of frozen loadings, from the moments of each period."""
-    import numpy as np
-
-    gamma = np.array([[g[0]] for g in GAMMA])
-    held = moments.collect_moments(moments.period_moments(t.panel))
-    f = tuning.out_of_sample_factor(held.s, held.v, gamma)[:, 0]
-    return tidy(t.spark.createDataFrame([(int(i), float(v)) for i, v in zip(held.t_idx, f)], "t_idx int, f double"), 9)
+    loadings = np.array([[g[0]] for g in GAMMA])
+    return tidy(tuning.period_factors(moments.period_moments(t.panel), loadings).select("t_idx", F.col("f")[0].alias("f")), 9)
 
 
 @query("refit_schedule", with_ctes("panel", """

@@ -32,11 +32,12 @@ def rf_backward_fill(t: Tables):
 
 @query("idle_weekdays", with_ctes("cal", """
     SELECT CAST(d.date AS VARCHAR) AS date, c.date IS NOT NULL AS traded
-    FROM (SELECT CAST(unnest(generate_series(DATE '1995-01-01', DATE '1996-12-31', INTERVAL 1 DAY)) AS DATE) AS date) d LEFT JOIN cal c ON c.date = d.date
+    FROM (SELECT CAST(unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS DATE) AS date FROM cal) d LEFT JOIN cal c ON c.date = d.date
     WHERE isodow(d.date) <= 5"""))
 def idle_weekdays(t: Tables):
-    """Every weekday of two years and whether anything was shipped on it."""
-    days = calendar.weekday_calendar(t.spark, "1995-01-01", "1996-12-31")
+    """Every weekday from the first to the last trading day and whether it was one."""
+    ends = t.calendar.agg(F.min("date").cast("string"), F.max("date").cast("string")).first()
+    days = calendar.weekday_calendar(t.spark, *ends)
     return tidy(days.join(t.calendar.select("date", F.lit(True).alias("seen")), "date", "left").select("date", F.coalesce("seen", F.lit(False)).alias("traded")))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 # Each entry: name -> (entries it reads, SQL body).
 CTES: dict[str, tuple[list[str], str]] = {
-    "lines": ([], "SELECT *, CAST(l_shipdate AS DATE) AS date FROM lineitem WHERE isodow(CAST(l_shipdate AS DATE)) <= 5"),
+    "lines": ([], "SELECT *, CAST(CAST(l_shipdate AS DATE) + CAST(CASE isodow(CAST(l_shipdate AS DATE)) WHEN 6 THEN 2 WHEN 7 THEN 1 ELSE 0 END AS INTEGER) AS DATE) AS date FROM lineitem"),
     "days": (["lines"], "SELECT DISTINCT date FROM lines"),
     "cal": (["days"], """
         SELECT date, CAST(date_trunc('month', date) AS DATE) AS period_start,
@@ -23,7 +23,7 @@ CTES: dict[str, tuple[list[str], str]] = {
         SELECT date, p_brand AS asset, avg(l_discount - l_tax) AS ret
         FROM lines JOIN part ON p_partkey = l_partkey GROUP BY 1, 2"""),
     "tops": ([], "SELECT DISTINCT o_orderpriority AS topic FROM orders"),
-    "oday": ([], "SELECT DISTINCT CAST(o_orderdate AS DATE) AS date FROM orders"),
+    "oday": ([], "SELECT CAST(unnest(generate_series(min(CAST(o_orderdate AS DATE)), max(CAST(o_orderdate AS DATE)), INTERVAL 1 DAY)) AS DATE) AS date FROM orders"),
     "att_all": (["tops", "oday"], """
         SELECT d.date, t.topic, CAST(count(o.o_orderkey) AS DOUBLE) AS level
         FROM oday d CROSS JOIN tops t

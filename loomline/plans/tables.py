@@ -2,7 +2,8 @@
 
 Topics are order priorities and their level the number of orders a day. Assets
 are part brands and their return the mean of discount minus tax over the lines
-shipped that day. Trading days are the weekdays on which anything shipped.
+shipped that day; lines shipped on a weekend belong to the Monday after it.
+Trading days are the days that lines belong to.
 """
 
 from __future__ import annotations
@@ -46,8 +47,10 @@ class Tables:
 
     @cached_property
     def lineitem(self) -> DataFrame:
-        """Lines shipped on weekdays, with the ship day."""
-        return self.read("lineitem").withColumn("date", F.to_date("l_shipdate")).where(F.dayofweek("date").between(2, 6))
+        """Lines with the day they count for: the ship day, or the Monday after a weekend."""
+        day = F.to_date("l_shipdate")
+        late = F.when(F.dayofweek(day) == 7, 2).when(F.dayofweek(day) == 1, 1).otherwise(0)
+        return self.read("lineitem").withColumn("date", F.date_add(day, late))
 
     @cached_property
     def orders(self) -> DataFrame:
@@ -89,11 +92,21 @@ class Tables:
     def assets(self) -> list[str]:
         return bounded_list(self.returns, "asset")
 
+    @cached_property
+    def order_days(self) -> DataFrame:
+        """(date) every day from the first to the last order; a day without orders has level zero, it is not missing."""
+        ends = self.order_counts.agg(F.min("date").alias("first"), F.max("date").alias("last")).where("first is not null")
+        return ends.select(F.explode(F.sequence("first", "last")).alias("date"))
+
+    def on_every_day(self, counts: DataFrame, topics: list[str]) -> DataFrame:
+        """(date, topic, level) of counted cells on every order day, zero where a topic has none."""
+        grid = self.order_days.select("date", F.explode(F.array(*[F.lit(t) for t in topics])).alias("topic"))
+        return grid.join(counts, ["date", "topic"], "left").select("date", "topic", F.coalesce("level", F.lit(0.0)).alias("level"))
+
     @cached_property
     def attention_all_days(self) -> DataFrame:
-        """(date, topic, level) on every order day, zero where a topic has no order."""
-        wide = self.order_counts.groupBy("date").pivot("topic", self.topics).sum("level").fillna(0.0)
-        return wide.unpivot("date", self.topics, "topic", "level")
+        """(date, topic, level) on every day from the first to the last order."""
+        return self.on_every_day(self.order_counts, self.topics)
 
     @cached_property
     def attention(self) -> DataFrame:
@@ -131,9 +144,7 @@ class Tables:
         topic = F.concat(F.lpad(F.col("c_nationkey").cast("string"), 2, "0"), F.lit(" "), "o_orderpriority")
         counts = per_customer.join(nation, "o_custkey").groupBy("date", topic.alias("topic")).agg(F.sum("n").cast("double").alias("level"))
         counts = materialise(counts, "wide_counts")
-        topics = bounded_list(counts, "topic", 10_000)
-        grid = counts.select("date").distinct().select("date", F.explode(F.array(*[F.lit(t) for t in topics])).alias("topic"))
-        return grid.join(counts, ["date", "topic"], "left").select("date", "topic", F.coalesce("level", F.lit(0.0)).alias("level"))
+        return self.on_every_day(counts, bounded_list(counts, "topic", 10_000))
 
     @cached_property
     def risk_free(self) -> DataFrame:
