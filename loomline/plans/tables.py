@@ -25,6 +25,8 @@ TABLE_NAMES = [
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 ]
 
+SOURCES = ("customer", "lineitem", "orders", "part")  # what the kept projections are built on
+
 
 class Tables:
     """Readers for one data directory and the projections built on them."""
@@ -32,15 +34,21 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
-    _kept: tuple[str, str, Tables] | None = None
+    _kept: tuple[tuple, Tables] | None = None
 
     @classmethod
     def of(cls, spark: SparkSession, sf_dir: str) -> Tables:
-        """The tables of a folder; the last one used in a session is kept, so its intermediate tables are shared."""
-        key = (spark.sparkContext.applicationId, sf_dir)
-        if cls._kept is None or cls._kept[:2] != key:
-            cls._kept = (*key, cls(spark, sf_dir))
-        return cls._kept[2]
+        """The tables of a folder; the last one used in a session is kept while its files stay as they are, so its intermediate tables are shared."""
+        files = spark.read.format("binaryFile").load([f"{sf_dir}/{name}.parquet" for name in SOURCES]).select("path", "length", "modificationTime")
+        key = (spark.sparkContext.applicationId, sf_dir, *sorted(map(tuple, files.collect())))
+        if cls._kept is None or cls._kept[0] != key:
+            cls._kept = (key, cls(spark, sf_dir))
+        return cls._kept[1]
+
+    @classmethod
+    def forget(cls) -> None:
+        """The next query builds its own intermediate tables."""
+        cls._kept = None
 
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
