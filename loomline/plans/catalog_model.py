@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from loomline.functions.columns import dot
 from loomline.functions.session import materialise
-from loomline.operators import align, factor_model, inference, interpret, moments, tuning
+from loomline.operators import align, factor_model, inference, interpret, moments, tiles, tuning
 from loomline.plans import study
 from loomline.plans.catalog_align import FIXED_FIT, GAMMA, fixed_factors
 from loomline.plans.oracle import with_ctes
@@ -65,6 +65,37 @@ def oos_factor_k1(t: Tables):
     return tidy(tuning.period_factors(moments.period_moments(t.panel), loadings).select("t_idx", F.col("f")[0].alias("f")), 9)
 
 
+GRADIENT = {"bet": FIXED_FIT["bet"], "two": """
+    SELECT t_idx, sum(b1 * b1) + 2 AS a, sum(b1 * b2) AS b, sum(b2 * b2) + 2 AS d, sum(b1 * y) AS p, sum(b2 * y) AS q FROM bet GROUP BY t_idx""",
+    "own_f": "SELECT t_idx, (d * p - b * q) / (a * d - b * b) AS f1, (a * q - b * p) / (a * d - b * b) AS f2 FROM two",
+    "err": "SELECT x, y, f1, f2, b1 * f1 + b2 * f2 - y AS e FROM bet JOIN own_f USING (t_idx)"}
+
+
+@query("loading_gradient", with_ctes("panel", """
+    SELECT l, round(sum(e * v * f1), 7) AS g1, round(sum(e * v * f2), 7) AS g2 FROM (SELECT e, f1, f2, unnest(x) AS v, unnest(range(len(x))) AS l FROM err) GROUP BY l""", **GRADIENT))
+def loading_gradient(t: Tables):
+    """Gradient of half the squared error in the loadings, at their own factors, from moment tiles."""
+    window, (_, grads) = fixed_pass(t)
+    g = grads[0] * window.sigma[:, None]
+    return tidy(t.spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(g)], "l int, g1 double, g2 double"), 7)
+
+
+@query("sweep_objective", with_ctes("panel", """
+    SELECT round(sum(e * e), 8) AS ssr, round((SELECT sum(f1 * f1 + f2 * f2) FROM own_f), 8) AS ridge, round(1 - sum(e * e) / sum(y * y), 8) AS total_r2,
+      (SELECT count(*) FROM own_f) AS periods FROM err""", **GRADIENT))
+def sweep_objective(t: Tables):
+    """The parts of the criterion at fixed loadings, from one sweep over moment tiles."""
+    window, (states, _) = fixed_pass(t)
+    now, total = states[0], float(window.yy.sum())
+    return tidy(t.spark.createDataFrame([(now.ssr, float(np.trace(now.f_outer)), 1 - now.ssr / total, len(now.factors))], "ssr double, ridge double, total_r2 double, periods long"))
+
+
+def fixed_pass(t: Tables):
+    table, head = tiles.moment_tiles(t.panel, 2)
+    window = tiles.Window(head)
+    return window, tiles.TileSweeps(table, head, 2).gradients({0: (window, np.array(GAMMA) * window.sigma[:, None])})
+
+
 @query("refit_schedule", with_ctes("panel", """
     SELECT p.t_idx, CAST(period AS VARCHAR) AS period, CAST(floor((p.t_idx - first) / 12) AS BIGINT) AS refit,
       CAST(first + floor((p.t_idx - first) / 12) * 12 AS BIGINT) AS n_train, first > start AS moved
