@@ -105,20 +105,29 @@ def joint_alpha_test(returns: DataFrame, factors: DataFrame, n_assets: int, K: i
     rows = full.select(F.lit(0).alias("t_idx"), F.lit(0.0).alias("y"), x.alias("x"))
     s = collect_moments(period_moments(rows), None).s[0]
     t, n = n_periods, n_assets
-    head = s[: K + 1, : K + 1]
-    coef = np.linalg.pinv(head) @ s[: K + 1, K + 1 :]
-    resid = (s[K + 1 :, K + 1 :] - s[K + 1 :, : K + 1] @ coef) / (t - K - 1)
-    mu = s[0, 1 : K + 1] / t
-    omega = s[1 : K + 1, 1 : K + 1] / t - np.outer(mu, mu)
-    for m in (resid, omega):
-        w = np.linalg.eigvalsh((m + m.T) / 2)
-        if not w[-1] > 0 or w[0] <= SINGULAR * w[-1]:
-            return none
-    alpha = coef[0]
-    stat = t / (t - K - 1) * (t - n - K) / n * float(alpha @ np.linalg.solve(resid, alpha)) / (1 + float(mu @ np.linalg.solve(omega, mu)))
+    # Regressors and returns about their means: the factors' block, the returns' block and what they share.
+    mean = s[0, 1:] / t
+    spread = s[1:, 1:] - t * np.outer(mean, mean)
+    slopes = np.linalg.pinv(spread[:K, :K], hermitian=True) @ spread[:K, K:]
+    roots = [_root(spread[:K, :K] / t), _root((spread[K:, K:] - spread[K:, :K] @ slopes) / (t - K - 1))]
+    if any(r is None for r in roots):
+        return none
+    alpha = mean[K:] - mean[:K] @ slopes
+    ahead, left = (float(np.square(np.linalg.solve(r, x)).sum()) for r, x in zip(roots, (mean[:K], alpha)))
+    stat = t * (t - n - K) / (n * (t - K - 1)) * left / (1 + ahead)
     return spark.createDataFrame([(stat, f_survival(stat, n, t - n - K), n_periods, n_assets)], schema)
 
 
+def _root(m: np.ndarray) -> np.ndarray | None:
+    """Cholesky factor of a covariance, or None where it has none or is singular to working precision."""
+    try:
+        root = np.linalg.cholesky(0.5 * (m + m.T))
+    except np.linalg.LinAlgError:
+        return None
+    power = np.linalg.svd(root, compute_uv=False)
+    return root if power[-1] ** 2 > SINGULAR * power[0] ** 2 else None
+
+
 def pricing_summary(tests: DataFrame, t_crit: float = 1.96) -> DataFrame:
     """Mean absolute alpha and t, and the share of significant alphas, over fitted assets."""
     return tests.agg(

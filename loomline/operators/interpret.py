@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -75,6 +77,52 @@ def term_impact(phi: DataFrame, impact: dict[str, float], rcond: float = 1e-6) -
     return phi.join(small, "topic").groupBy("term").agg(F.sum(F.col("p") * F.col("w")).alias("impact"))
 
 
+@dataclass
+class WrapUp:
+    """What a fit says about topics, days, observables and terms; tables are long."""
+
+    loadings: DataFrame  # (topic, factor, w): topics on the latent states
+    states: DataFrame  # (date, factor, value)
+    mve: DataFrame  # (date, value): the efficient portfolio's state
+    impacts: DataFrame  # (topic, target, w): of a unit shock on every state, the efficient portfolio and each observable
+    projections: DataFrame | None = None  # (name, b, r2, n)
+    terms: DataFrame | None = None  # (term, target, impact)
+    rank_deficient: bool = False
+    targets: list[str] = field(default_factory=list)
+
+
+def wrap_up(fit: Fit, shocks: DataFrame, topics: list[str], factors: DataFrame, observables: dict[str, DataFrame] | None = None, phi: DataFrame | None = None, rcond: float = 1e-6) -> WrapUp:
+    """Loadings of topics on states, daily states, and impact vectors carried through to observables and terms.
+
+    factors: (t_idx, f); observables: by name (t_idx, y), each projected on the factors where it has a value; phi: (topic, term, p), which must
+    hold every topic. An observable with fewer than K + 1 periods has null projections and no impact. Impacts of terms are given for the
+    efficient portfolio and every observable.
+    """
+    spark, width = shocks.sparkSession, fit.K
+    loadings, short = loading_map(fit, rcond)
+    to_state, b = least_squares_map(loadings, rcond)[0], fit.mve(rcond)
+    states = weighted_shocks(shocks, topic_weights(spark, topics, to_state), len(topics))
+    mve = weighted_shocks(shocks, topic_weights(spark, topics, (to_state @ b)[:, None]), len(topics)).select("date", "value")
+    vectors, projected = {**{f"f{k + 1}": to_state[:, k] for k in range(width)}, "mve": to_state @ b}, []
+    for name, series in (observables or {}).items():
+        row = project_observable(factors, series, width).first()
+        projected.append((name, row["b"], row["r2"], row["n"]))
+        if row["b"] is not None:
+            vectors[name] = to_state @ np.array(row["b"])
+    impacts = spark.createDataFrame([(topic, target, float(w)) for target, vec in vectors.items() for topic, w in zip(topics, vec)], "topic string, target string, w double")
+    out = WrapUp(topic_weights(spark, topics, loadings), states, mve, impacts, rank_deficient=short, targets=list(vectors))
+    if observables:
+        out.projections = spark.createDataFrame(projected, "name string, b array<double>, r2 double, n int")
+    if phi is not None:
+        missing = set(topics) - {r[0] for r in phi.select("topic").where(F.col("topic").isin(topics)).distinct().collect()}
+        if missing:
+            raise ValueError(f"phi has no row for {len(missing)} topics, {sorted(missing)[0]} among them")
+        for target in ["mve", *(n for n in (observables or {}) if n in vectors)]:
+            one = term_impact(phi, dict(zip(topics, vectors[target].tolist())), rcond).select("term", F.lit(target).alias("target"), "impact")
+            out.terms = one if out.terms is None else out.terms.unionByName(one)
+    return out
+
+
 def top_scores(scores: DataFrame, value: str, k: int, *ties: str) -> DataFrame:
     """The ``k`` largest rows; planned as a per-task top-k, never a full sort."""
     return scores.where(F.col(value).isNotNull()).orderBy(F.col(value).desc(), *ties).limit(k)
