@@ -30,7 +30,7 @@ from loomline.llm import packed
 
 MOST_WORDS, LEAST_COUNT, TOP = 3, 10, 2000
 HELD_PERCENT = 50  # a phrase goes when a longer candidate around it has this share of its count
-SHARD_BYTES = 6 << 20
+SHARD_BYTES = 4 << 20
 OWNER_GRAMS = 1 << 22  # entries of all shards that one owner adds up
 SPARE_BITS = 8  # bits of a hash beyond those that number the corpus' bytes
 
