@@ -13,7 +13,7 @@ from loomline.operators.factor_model import RIDGE, Fit
 from loomline.operators.kernel import KernelConfig, kernel_weight
 from loomline.operators.moments import _matrix, collect_moments, period_moments
 from loomline.operators.shocks import shock_vectors
-from loomline.operators.tuning import out_of_sample_factor
+from loomline.operators.tuning import period_factors
 
 # Trading weeks per year and shuffled references per week.
 WEEKS_PER_YEAR = 52
@@ -68,45 +68,74 @@ def _times(x: Column, matrix: np.ndarray) -> Column:
     return multiply(x)
 
 
+def panel_inputs(attention: DataFrame, returns: DataFrame, calendar: DataFrame, history: str, train_start: str, window: int) -> tuple[DataFrame, DataFrame]:
+    """Attention and returns that the panel may read: all of them (``full``), or from the training start on (``training``).
+
+    Under ``training`` attention starts ``window`` trading days earlier, so that the first training day has a shock; returns after the training end stay, for the forecast.
+    """
+    if history == "full":
+        return attention, returns
+    if history != "training":
+        raise ValueError(f"history is full or training, not {history!r}")
+    start = F.lit(train_start).cast("date")
+    first = calendar.where(F.col("date") >= start).agg(F.min("pos").alias("first"))
+    days = calendar.join(first, calendar["pos"] >= F.col("first") - window).select("date")
+    return attention.join(days, "date", "left_semi"), returns.where(F.col("date") >= start)
+
+
 def forecast(panel: DataFrame, fit: Fit, start: str, end: str) -> DataFrame:
     """Fitted and realised return of every panel row in the forecast weeks, with the term of each instrument.
 
-    Factors come from each week's own cross-section with frozen loadings, through
-    the week's moments; the rows never meet in one place. The ridge is 2, or 0 for
+    Factors come from each week's own cross-section with frozen loadings, computed where the
+    week's moments lie; neither rows nor weeks meet in one place. The ridge is 2, or 0 for
     the plain model. The terms of a row add up to its fitted return.
     """
     rows = panel.where(F.col("period").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
-    held = collect_moments(period_moments(rows))
-    if held is None:
-        raise ValueError("forecast windows hold a few weeks; this one is too large")
-    f = out_of_sample_factor(held.s, held.v, fit.gamma, 0.0 if fit.lam == 0 else RIDGE)
-    g = f @ fit.gamma.T
-    weeks = panel.sparkSession.createDataFrame([(int(t), [float(v) for v in w]) for t, w in zip(held.t_idx, g)], "t_idx int, g array<double>")
-    terms = F.zip_with("x", "g", lambda a, b: a * b)
-    out = rows.join(F.broadcast(weeks), "t_idx").withColumn("terms", terms)
+    factors = period_factors(period_moments(rows), fit.gamma, 0.0 if fit.lam == 0 else RIDGE)
+    weeks = factors.select("t_idx", _times(F.col("f"), fit.gamma.T).alias("g"))
+    out = rows.join(weeks, "t_idx").withColumn("terms", F.zip_with("x", "g", lambda a, b: a * b))
     total = F.aggregate("terms", F.lit(0.0), lambda acc, v: acc + v)
     return out.select("t_idx", "period", "asset", "y", total.alias("fitted"), "terms")
 
 
+def forecast_terms(rows: DataFrame, topics: list[str]) -> DataFrame:
+    """(topic, explained, var_share): what each instrument's terms explain over all forecast rows, the constant first; shares add up to the share of the whole fit."""
+    order = F.array(F.lit("const"), *[F.lit(t) for t in topics])
+    long = rows.select("y", F.posexplode("terms").alias("k", "term")).groupBy("k").agg(F.sum("term").alias("explained"), F.sum(F.col("term") * F.col("y")).alias("ty"))
+    total = rows.agg(F.sum(F.col("y") * F.col("y")).alias("yy"))
+    return long.crossJoin(total).select(F.element_at(order, F.col("k") + 1).alias("topic"), "explained", ratio(F.col("ty"), F.when(F.col("yy") > 0, F.col("yy"))).alias("var_share"))
+
+
 def forecast_scores(rows: DataFrame) -> DataFrame:
     """Uncentred R2 per asset over the forecast weeks."""
     err, tot = F.sum(F.pow(F.col("y") - F.col("fitted"), 2)), F.sum(F.col("y") * F.col("y"))
     return rows.groupBy("asset").agg((1 - ratio(err, F.when(tot > 0, tot))).alias("r2"), err.alias("sse"), tot.alias("sst"), F.count("*").alias("n_weeks"))
 
 
+def hash_ranks(rows: DataFrame, keys: list[str], digest: Column, name: str) -> DataFrame:
+    """The rows with their rank ``name`` in the order of a hex digest inside each group of ``keys``.
+
+    A group is dealt to 256 ranges by the digest's first byte; ranges are counted, and a row's rank is what stands in the ranges
+    before its own plus its place inside it. No window holds a whole group.
+    """
+    dealt = rows.withColumn("_digest", digest).withColumn("_range", F.conv(F.substring("_digest", 1, 2), 16, 10).cast("int"))
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy(*keys, "_range").agg(F.count("*").alias("_n")).select(*keys, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy("_digest", "asset"))
+    return dealt.join(starts, [*keys, "_range"]).withColumn(name, F.col("_start") + inside).drop("_digest", "_range", "_start")
+
+
 def shuffled_panel(panel: DataFrame, seed: int, copies: int = N_SHUFFLES) -> DataFrame:
     """Copies of the panel with topic instruments permuted across the assets of each week.
 
-    A permutation pairs two hash orders of the same week, so it is the same on
-    every run and on any cluster.
+    A permutation pairs two digest orders of the same week (assets by md5 of their name, donors by md5 of
+    ``seed|copy|name``), so it is the same on every run and on any cluster, and needs no sort of a week in one task.
     """
     many = panel.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(copies))))
-    slot = Window.partitionBy("t_idx", "copy")
-    by_asset = F.row_number().over(slot.orderBy("asset"))
-    by_hash = F.row_number().over(slot.orderBy(F.xxhash64(F.lit(seed), "copy", "asset"), "asset"))
-    receivers = many.select("t_idx", "period", "asset", "y", "copy", by_asset.alias("k"))
-    donors = many.select("t_idx", "copy", "x", by_hash.alias("k"))
-    return receivers.join(donors, ["t_idx", "copy", "k"]).drop("k")
+    keys, name = ["t_idx", "copy"], F.col("asset").cast("string")
+    receivers = hash_ranks(many.select("t_idx", "period", "asset", "y", "copy"), keys, F.md5(name.cast("binary")), "k")
+    donors = hash_ranks(many.select("t_idx", "copy", "asset", "x"), keys, F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("copy").cast("string"), name).cast("binary")), "k")
+    return receivers.join(donors.drop("asset"), [*keys, "k"]).drop("k")
 
 
 def shuffle_reference(panel: DataFrame, fit: Fit, start: str, end: str, seed: int = 0, copies: int = N_SHUFFLES) -> DataFrame:
@@ -134,7 +163,7 @@ def implied_sensitivities(panel: DataFrame, fit: Fit, shocks: DataFrame, returns
     """
     inside = F.col("date").between(F.lit(train_start).cast("date"), F.lit(train_end).cast("date"))
     vec = shock_vectors(shocks.where(inside), topics).select(F.lit(0).alias("t_idx"), F.lit(0.0).alias("y"), F.concat(F.array(F.lit(1.0)), "z").alias("x"))
-    held = collect_moments(period_moments(vec))
+    held = collect_moments(period_moments(vec), None)  # one period: a square of the topics
     n, s = int(held.n[0]), held.s[0]
     cov = s[1:, 1:] / n - np.outer(s[0, 1:], s[0, 1:]) / n**2
     sd = np.sqrt(np.diag(cov))

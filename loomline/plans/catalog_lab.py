@@ -550,8 +550,14 @@ def implied_sensitivities(t: Tables):
     from loomline.operators import weekly
 
     rows, fit, divisor, shock_rows, *_ = weekly_world(t)
-    scale = divisor.select("asset", F.col("scale").alias("divisor"), F.col("scale").alias("ret_scale"))
-    return weekly.implied_sensitivities(rows, fit, shock_rows, scale, t.topics, TRAIN_START, TRAIN_END)
+    return weekly.implied_sensitivities(rows, fit, shock_rows, return_units(t, divisor), t.topics, TRAIN_START, TRAIN_END)
+
+
+def return_units(t: Tables, divisor):
+    """The panel's divisor of every asset next to the training deviation that the direct regressions divide by."""
+    by_day, usable = lab_pairs(t)
+    _, scale = direct.training_rows(by_day, usable, t.topics, TRAIN_START, TRAIN_END)
+    return divisor.select("asset", F.col("scale").alias("divisor")).join(scale.select("asset", F.col("scale").alias("ret_scale")), "asset")
 
 
 @query("harness_run")

@@ -118,6 +118,91 @@ def trace_ladder(t: Tables):
     return tidy(scored(t)[0], 6)
 
 
+YEAR = ("1999-01-01", "1999-12-31")
+FORECAST_ROWS = {
+    "fo": f"SELECT t_idx, period, asset, y, x, {' + '.join(f'{g} * x[{i + 1}]' for i, g in enumerate(ONE))} AS b FROM panel WHERE period BETWEEN DATE '{YEAR[0]}' AND DATE '{YEAR[1]}'",
+    "ff": "SELECT t_idx, sum(b * y) / (sum(b * b) + 2) AS f FROM fo GROUP BY t_idx",
+    "cp": "SELECT * FROM fo CROSS JOIN (SELECT unnest(range(1, 21)) AS copy)",
+    "rc": "SELECT t_idx, copy, asset, y, row_number() OVER (PARTITION BY t_idx, copy ORDER BY md5(asset)) AS k FROM cp",
+    "dn": "SELECT t_idx, copy, b, row_number() OVER (PARTITION BY t_idx, copy ORDER BY md5('0|' || copy || '|' || asset)) AS k FROM cp",
+    "sh": "SELECT t_idx, copy, y, b FROM rc JOIN dn USING (t_idx, copy, k)",
+    "sf": "SELECT t_idx, copy, sum(b * y) / (sum(b * b) + 2) AS f FROM sh GROUP BY 1, 2",
+}
+
+
+def fixed_forecast(t: Tables):
+    """The fixed one-factor loadings as a fit, for forecasts."""
+    from loomline.operators.factor_model import Fit
+
+    return Fit(np.array(ONE)[:, None], np.zeros((0, 1)), np.zeros(1), np.eye(1), 1.0, 0.0)
+
+
+@query("forecast_fixed", with_ctes("panel", """
+    SELECT asset, round(1 - sum((y - b * f) ** 2) / sum(y * y), 7) AS r2, count(*) AS n_weeks,
+      (SELECT round(1 - sum((y - b * f) ** 2) / sum(y * y), 7) FROM sh JOIN sf USING (t_idx, copy)) AS r2_shuffled
+    FROM fo JOIN ff USING (t_idx) GROUP BY asset""", **FORECAST_ROWS))
+def forecast_fixed(t: Tables):
+    """Forecast year of frozen loadings per brand, with the reference of shuffled instruments."""
+    from loomline.operators import weekly
+
+    fit = fixed_forecast(t)
+    scores = weekly.forecast_scores(weekly.forecast(t.panel, fit, *YEAR)).select("asset", "r2", "n_weeks")
+    return tidy(scores.crossJoin(weekly.shuffle_reference(t.panel, fit, *YEAR)), 7)
+
+
+@query("forecast_terms", with_ctes("panel", """
+    SELECT topic, round(sum(g * x[k + 1] * f), 7) AS explained, round(sum(g * x[k + 1] * f * y) / (SELECT sum(y * y) FROM fo), 7) AS var_share
+    FROM fo JOIN ff USING (t_idx) CROSS JOIN (VALUES """ + ", ".join(f"('{n}', {i}, {g})" for i, (n, g) in enumerate(zip(["const", *TOPICS], ONE))) + """) v(topic, k, g) GROUP BY topic""", **FORECAST_ROWS))
+def forecast_terms(t: Tables):
+    """What every topic explains in the forecast year; the terms add up to the fitted return."""
+    from loomline.operators import weekly
+
+    return tidy(weekly.forecast_terms(weekly.forecast(t.panel, fixed_forecast(t), *YEAR), t.topics), 7)
+
+
+UNITS = {**ROWS, "dv": f"SELECT r.asset, stddev_pop(r.ret) AS d FROM rets r JOIN okday o ON o.date = r.date WHERE r.date <= DATE '{TRAIN_END}' GROUP BY r.asset",
+         "iw": "SELECT asset, " + _cells(lambda i: "(" + " + ".join(f"({ONE[0]} + ({DOT}) / d) * {ONE[j] / NORM} * tv.v{j}{i}" for j in FIVE) + f") * sqrt(trn.g{i}{i}) * d / rsc.scale AS b{i}")
+         + " FROM cc JOIN dv USING (asset) JOIN rsc USING (asset) CROSS JOIN tv CROSS JOIN trn"}
+
+
+@query("implied_fixed", _with(PAIR_CTES + " panel", "SELECT asset, topic, round(b, 5) AS b FROM (" + " UNION ALL ".join(f"SELECT asset, '{v}' AS topic, b{i} AS b FROM iw" for i, v in zip(FIVE, TOPICS)) + ")", UNITS))
+def implied_fixed(t: Tables):
+    """Implied sensitivities of a panel on scaled returns, brought to the units of the direct regressions."""
+    from loomline.operators import align, kernel, panel, weekly
+    from loomline.operators.shocks import complete_days
+    from loomline.plans.catalog_lab import return_units
+
+    divisor = materialise(weekly.training_divisor(t.returns, complete_days(t.shocks, len(t.topics)), TRAIN_END), "divisor")
+    scaled = materialise(weekly.scale_returns(t.returns, divisor), "scaled_returns")
+    cfg = KernelConfig()
+    cov = kernel.kernel_covariance(scaled, t.shocks, t.calendar, len(t.topics), cfg)
+    rows = panel.build_panel(kernel.pack_topics(cov, t.topics), align.period_returns(scaled, t.calendar), cfg.burn_in, 20)
+    out = weekly.implied_sensitivities(rows, fixed_forecast(t), t.shocks, return_units(t, divisor), t.topics, TRAIN_START, TRAIN_END, 1e-12)
+    return tidy(out.select("asset", "topic", "b"), 5)
+
+
+LATER = "1996-07-01"
+
+
+@query("kernel_training_history", with_ctes("prods periods", f"""
+    SELECT CAST(period_end AS VARCHAR) AS period_end, asset, topic, n AS n_days, round(cov, 7) AS cov FROM (
+      SELECT period_end, asset, topic, count(*) AS n, sum(w * r * z) / sum(w) - sum(w * r) / sum(w) * (sum(w * z) / sum(w)) AS cov
+      FROM (SELECT p.t, p.period_end, d.asset, d.topic, d.r, d.z, pow(0.99, p.t - d.period_id) AS w
+            FROM periods p JOIN prods d ON d.period_id < p.t OR (d.period_id = p.t AND d.back > 1) WHERE d.date >= DATE '{LATER}')
+      GROUP BY 1, 2, 3) WHERE n >= 60"""))
+def kernel_training_history(t: Tables):
+    """Covariances of a panel that reads nothing before its training window."""
+    from loomline.operators import kernel, weekly
+    from loomline.operators.shocks import attention_shocks
+
+    att, rets = weekly.panel_inputs(t.attention, t.returns, t.calendar, "training", LATER, 5)
+    days = t.calendar.where(F.col("date").isNotNull())
+    z = materialise(attention_shocks(att, days, 5).where(F.col("date") >= F.lit(LATER).cast("date")), "history_shocks")
+    cov = kernel.kernel_covariance(rets, z, t.calendar, len(t.topics))
+    ends = t.calendar.select("period_id", "period_end").distinct()
+    return tidy(cov.join(ends, "period_id").select("period_end", "asset", "topic", "n_days", "cov"), 7)
+
+
 EDGE = {"pth": PATHLIKE, "pq": """SELECT min(lam) AS lo, max(lam) AS hi, arg_max(lam, criterion) AS best, min(criterion) AS cmin, max(criterion) AS cmax, stddev_samp(criterion) / sqrt(count(*)) AS se FROM pth"""}
 SHARE = "SELECT sum(CASE WHEN date < DATE '1997-01-06' THEN k ELSE 0 END) / sum(k) AS s FROM kw"
 
