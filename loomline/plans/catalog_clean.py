@@ -135,9 +135,10 @@ def detect_spikes(t: Tables):
 
 @query("compare_sources", with_ctes("lines", """
     SELECT series, n_common, round(corr_lag_m1, 7) AS corr_lag_m1, round(corr_lag_0, 7) AS corr_lag_0, round(corr_lag_p1, 7) AS corr_lag_p1,
-      round(level_gap, 7) AS level_gap, round(corr_weekly, 7) AS corr_weekly
-    FROM (SELECT series, count(*) AS n_common, corr(dap, db) AS corr_lag_m1, corr(da, db) AS corr_lag_0, corr(dan, db) AS corr_lag_p1, median(abs(a - b)) AS level_gap
-          FROM (SELECT *, lag(da) OVER w AS dap, lead(da) OVER w AS dan FROM mv WINDOW w AS (PARTITION BY series ORDER BY date)) GROUP BY series)
+      round(level_gap, 7) AS level_gap, n_disagree, round(corr_weekly, 7) AS corr_weekly
+    FROM (SELECT series, count(*) AS n_common, count(*) FILTER (WHERE abs(a - b - CASE WHEN c >= 5 THEN md END) > 0.03) AS n_disagree, corr(dap, db) AS corr_lag_m1, corr(da, db) AS corr_lag_0, corr(dan, db) AS corr_lag_p1, median(abs(a - b)) AS level_gap
+          FROM (SELECT *, lag(da) OVER w AS dap, lead(da) OVER w AS dan, median(a - b) OVER (w ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING) AS md, count(a) OVER (w ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING) AS c
+                FROM mv WINDOW w AS (PARTITION BY series ORDER BY date)) GROUP BY series)
     JOIN (SELECT series, corr(da, db) AS corr_weekly FROM (
             SELECT series, a - lag(a) OVER w AS da, b - lag(b) OVER w AS db FROM (
               SELECT series, date_trunc('week', date + 2) AS wk, max_by(a, date) AS a, max_by(b, date) AS b FROM mv GROUP BY 1, 2) WINDOW w AS (PARTITION BY series ORDER BY wk))
@@ -148,6 +149,74 @@ def compare_sources(t: Tables):
     return tidy(cleaning.compare_sources(px.select("series", "date", "level"), px.select("series", "date", F.col("other").alias("level"))), 7)
 
 
+# A daily conversion rate per region: mean order value of the day over that of all orders that day.
+FX = """SELECT CAST(o_orderdate AS DATE) AS date, r_name AS ccy, avg(o_totalprice) / 100000 AS usd_per FROM orders JOIN customer ON c_custkey = o_custkey
+    JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY 1, 2"""
+
+
+# Quotes of every brand on the days as shipped, weekends too: the mean line price, its taxed form as adjusted close, and a snapshot of another measure.
+RAW = """SELECT p_brand AS b, CAST(l_shipdate AS DATE) AS d, avg(l_extendedprice) AS c, avg(l_extendedprice * (1 + l_tax)) AS a, avg(p_retailprice * l_quantity) AS o
+    FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1, 2"""
+CHAIN = {
+    "raw": RAW, "num": "SELECT *, CAST(regexp_extract(b, '[0-9]+') AS INTEGER) AS k FROM raw",
+    "q1": "SELECT b AS leg, d, o AS level, log10(o) - lag(log10(o)) OVER (PARTITION BY b ORDER BY d) AS mv FROM num WHERE k % 2 = 1 AND o > 0",
+    "q2": """SELECT *, sum(CASE WHEN round(mv / 2) <> 0 AND abs(mv - 2 * round(mv / 2)) < 0.35 THEN round(mv / 2) ELSE 0 END) OVER (PARTITION BY leg ORDER BY d ROWS UNBOUNDED PRECEDING) AS unit FROM q1""",
+    "q3": "SELECT leg, unit AS usual FROM (SELECT leg, unit, row_number() OVER (PARTITION BY leg ORDER BY count(*) DESC, unit) AS r FROM q2 GROUP BY 1, 2) WHERE r = 1",
+    "q4": "SELECT leg, d, level / pow(100.0, unit - usual) AS level, unit <> usual AS fixed FROM q2 JOIN q3 USING (leg)",
+    "cnd": """SELECT leg, 0 AS seq, CAST(CASE WHEN isodow(d) = 1 THEN d - 3 WHEN isodow(d) = 7 THEN d - 2 ELSE d - 1 END AS DATE) AS day, d, level / 100 AS level, fixed FROM q4
+      UNION ALL SELECT b, 1, d, d, CASE WHEN k % 3 = 0 THEN a ELSE c END, false FROM num
+      UNION ALL SELECT b, 2, d, d, 1 / c, false FROM num""",
+    "day1": "SELECT leg, seq, day AS date, max_by(level, d) AS level FROM cnd WHERE isodow(day) <= 5 GROUP BY 1, 2, 3",
+    "cst": "SELECT leg, seq, count(*) AS n_quotes, count(*) AS n_positive, count(*) FILTER (WHERE fixed) AS n_repaired, count(*) FILTER (WHERE isodow(day) > 5) AS n_weekend FROM cnd GROUP BY 1, 2",
+    "cob": "SELECT d.leg, d.seq, d.date, CASE WHEN d.seq = 1 THEN level * f.usd_per / g.usd_per ELSE level END AS level FROM day1 d LEFT JOIN fx f ON f.date = d.date AND f.ccy = 'ASIA' LEFT JOIN fx g ON g.date = d.date AND g.ccy = 'EUROPE' WHERE d.seq <> 1 OR (f.usd_per IS NOT NULL AND g.usd_per IS NOT NULL)",
+}
+
+
+def chain(t: Tables):
+    """(candidates, quotes, rates): odd brands have a snapshot in pence first; then a foreign quote to be converted, and an inverse."""
+    per_part = t.read("lineitem").groupBy(F.to_date("l_shipdate").alias("date"), "l_partkey").agg(
+        F.sum("l_extendedprice").alias("c"), F.sum(F.col("l_extendedprice") * (1 + F.col("l_tax"))).alias("a"), F.sum("l_quantity").alias("q"), F.count("*").alias("n"))
+    part = t.read("part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("leg"), "p_retailprice")
+    daily = materialise(per_part.join(part, "l_partkey").groupBy("leg", "date").agg(
+        (F.sum("c") / F.sum("n")).alias("c"), (F.sum("a") / F.sum("n")).alias("a"), (F.sum(F.col("p_retailprice") * F.col("q")) / F.sum("n")).alias("o")), "raw_quotes")
+    number = F.regexp_extract("leg", "[0-9]+", 0).cast("int")
+    quotes = daily.where(number % 2 == 1).select(F.concat("leg", F.lit("=X")).alias("ticker"), "date", F.col("o").alias("close"), F.lit(None).cast("double").alias("adj_close"))
+    quotes = quotes.unionByName(daily.select(F.col("leg").alias("ticker"), "date", F.col("c").alias("close"), F.when(number % 3 == 0, F.col("a")).alias("adj_close")))
+    legs = daily.select("leg").distinct()
+    make = lambda df, seq, source, ticker, ccy, invert: df.select("leg", F.lit(seq).alias("seq"), F.lit(source).alias("source"), ticker.alias("ticker"), F.lit(ccy).alias("ccy"), F.lit(invert).alias("invert"), F.lit("equity").alias("kind"), F.lit("EUROPE" if seq == 1 else ccy.upper()).alias("return_ccy"), F.lit(seq == 1).alias("total_return"))
+    cand = make(legs.where(number % 2 == 1), 0, "yahoo", F.concat("leg", F.lit("=X")), "GBp", False).unionByName(make(legs, 1, "fred", F.col("leg"), "ASIA", False)).unionByName(make(legs, 2, "fred", F.col("leg"), "USD", True))
+    place = t.read("nation").join(t.read("region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.col("r_name").alias("ccy"))
+    who = t.read("customer").join(place, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("o_custkey"), "ccy")
+    sums = t.orders.groupBy("date", "o_custkey").agg(F.sum("o_totalprice").alias("s"), F.count("*").alias("n"))
+    fx = sums.join(who, "o_custkey").groupBy("date", "ccy").agg((F.sum("s") / F.sum("n") / 100000).alias("usd_per"))
+    return materialise(cand, "candidates"), quotes, materialise(fx, "rates")
+
+
+@query("candidate_steps", with_ctes("", """
+    SELECT s.*, n.n_days, CAST(0 AS BIGINT) AS n_repeats, CAST(0 AS BIGINT) AS n_bad_ticks, CAST(coalesce(o.n_obs, 0) AS BIGINT) AS n_obs FROM cst s
+    JOIN (SELECT leg, seq, count(*) AS n_days FROM day1 GROUP BY 1, 2) n USING (leg, seq) LEFT JOIN (SELECT leg, seq, count(*) AS n_obs FROM cob GROUP BY 1, 2) o USING (leg, seq)""", fx=FX, **CHAIN)
+    .replace("SELECT s.*", "SELECT s.leg, CAST(s.seq AS BIGINT) AS seq, s.n_quotes, s.n_positive, s.n_repaired, s.n_weekend"))
+def candidate_steps(t: Tables):
+    """What every step of the candidate chain took from the quotes of every brand."""
+    cand, quotes, fx = chain(t)
+    return tidy(cleaning.candidate_observations(cand, quotes, fx)[1])
+
+
+@query("candidate_prices", with_ctes("cal", """
+    SELECT leg, CAST(date AS VARCHAR) AS date, round(ln(level), 9) AS log_level, stale FROM (
+      SELECT *, first_value(seq) OVER (PARTITION BY leg ORDER BY CASE WHEN n = t THEN 0 ELSE 1 END, CASE WHEN n = t THEN 0 ELSE -n END, seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS pick
+      FROM (SELECT *, count(*) OVER (PARTITION BY leg, seq) AS n, (SELECT count(*) FROM cal) AS t FROM (
+        SELECT g.leg, g.seq, g.date, last_value(o.level IGNORE NULLS) OVER (PARTITION BY g.leg, g.seq ORDER BY g.date ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS level, o.level IS NULL AS stale
+        FROM (SELECT DISTINCT c.date, d.leg, d.seq FROM cal c CROSS JOIN (SELECT DISTINCT leg, seq FROM cnd) d) g LEFT JOIN cob o USING (leg, seq, date)) WHERE level IS NOT NULL))
+    WHERE seq = pick""", fx=FX, **CHAIN))
+def candidate_prices(t: Tables):
+    """Levels of every brand from the first of its candidates that covers the calendar, else from the fullest."""
+    cand, quotes, fx = chain(t)
+    obs, _ = cleaning.candidate_observations(cand, quotes, fx)
+    levels = cleaning.candidate_prices(obs, cand, t.calendar)[0]
+    return tidy(levels.select("leg", "date", F.log("level").alias("log_level"), "stale"), 9)
+
+
 @query("leg_spread", with_ctes("rets", """
     SELECT CAST(l.date AS VARCHAR) AS date, l.asset || ' v Brand#1' AS asset, round(l.ret - s.ret, 8) AS ret
     FROM rets l JOIN rets s ON s.date = l.date AND s.asset = 'Brand#1' WHERE l.asset <> 'Brand#1'"""))
@@ -158,11 +227,6 @@ def leg_spread(t: Tables):
     return tidy(cleaning.leg_spread(pairs, t.returns.withColumnRenamed("asset", "leg")))
 
 
-# A daily conversion rate per region: mean order value of the day over that of all orders that day.
-FX = """SELECT CAST(o_orderdate AS DATE) AS date, r_name AS ccy, avg(o_totalprice) / 100000 AS usd_per FROM orders JOIN customer ON c_custkey = o_custkey
-    JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY 1, 2"""
-
-
 @query("convert_currency", with_ctes("lines", """
     SELECT series, CAST(date AS VARCHAR) AS date, round(level * f.usd_per / g.usd_per, 4) AS level
     FROM px JOIN fx f USING (date) JOIN fx g USING (date) WHERE f.ccy = 'ASIA' AND g.ccy = 'EUROPE'""", px=PRICES, fx=FX))
