@@ -1,7 +1,7 @@
 """Mixing sources to target weights through a tree of domains, languages and sources.
 
 A node's budget is dealt to its children in proportion to their weights, none
-getting more than its subtree can supply; what one child cannot use goes to its
+getting more than the leaves of positive weight below it can spend; what one child cannot use goes to its
 siblings, and only a family that is short as a whole leaves its shortage to the
 level above. A leaf spends its budget on whole seeded epochs and then on the
 prefix of one more epoch in seeded order. DataFrame operations only.
@@ -32,6 +32,11 @@ class MixConfig:
     max_epochs: int = 2
     seed: int = 7
 
+    def __post_init__(self):
+        for weights in (self.domain_weights, self.lang_weights, self.source_weights):
+            if not all(0 <= w < float("inf") for w in weights.values()):
+                raise ValueError("weights are finite and not negative; a weight of 0 leaves a node out")
+
 
 def default_domain(source: Column) -> Column:
     """Domain of a source: its last digit modulo 4, d0 where there is none."""
@@ -74,7 +79,9 @@ def leaf_budgets(rows: DataFrame, cfg: MixConfig) -> DataFrame:
     """
     leaves = rows.groupBy(*LEAF).agg(F.count("*").alias("docs"), F.sum("n_tokens").alias("supply"))
     leaves = materialise(leaves, "mix_leaves")
-    most = (F.sum("supply") * F.lit(cfg.max_epochs)).cast("double")
+    # What a node may be dealt is what its leaves of positive weight can spend.
+    spendable = F.when((_weight("lang", cfg.lang_weights) > 0) & (_weight("source", cfg.source_weights) > 0), F.col("supply")).otherwise(F.lit(0))
+    most = (F.sum(spendable) * F.lit(cfg.max_epochs)).cast("double")
     domains = leaves.groupBy("domain").agg(most.alias("cap"), F.sum("supply").alias("supply")).withColumn("weight", _weight("domain", cfg.domain_weights))
     domains = domains.withColumn("target", F.floor(F.sum("supply").over(Window.partitionBy(F.lit(0))) * F.lit(float(cfg.budget_share))).cast("double"))
     domains = _dealt(domains, [], ["domain"]).select("domain", F.col("given").alias("target"))
@@ -140,7 +147,8 @@ def select_mixture(docs: DataFrame, cfg: MixConfig | None = None, domain=default
     doc_id, have one place in the order and are taken together or not at all.
     A document is taken whole, so a leaf's last epoch may end up to one
     document short of its quota. A leaf without any token is taken in every
-    epoch. An empty table gives no rows.
+    epoch. A node of weight 0 gets nothing and its share goes to its siblings; negative weights are refused.
+    An empty table gives no rows.
     """
     cfg = cfg or MixConfig()
     rows = materialise(_leafed(docs, domain), "mix_rows")

@@ -25,7 +25,8 @@ def test_budgets_against_bisection(spark):
     for _, d, la, s, n in rows:
         caps[d, la, s] += 2 * n
     total = sum(caps.values()) / 2
-    under = lambda *k: sum(v for q, v in caps.items() if q[:len(k)] == k)
+    spends = lambda q: cfg.lang_weights.get(q[1], 1) > 0 and cfg.source_weights.get(q[2], 1) > 0
+    under = lambda *k: sum(v for q, v in caps.items() if q[:len(k)] == k and spends(q))
     want = {}
     for d, t in shares(int(0.8 * total), {d: (cfg.domain_weights.get(d, 1), under(d)) for d in {k[0] for k in caps}}).items():
         for la, u in shares(t, {q: (cfg.lang_weights.get(q, 1), under(d, q)) for q in {k[1] for k in caps if k[0] == d}}).items():
@@ -42,6 +43,19 @@ def test_shortage_goes_to_siblings_first(spark):
     assert got == {"a": 10, "b": 90, "c": 100}
 
 
+def test_nothing_is_dealt_to_what_weighs_nothing(spark):
+    """A language of weight 0 takes no budget with it: the other domain spends what this one cannot."""
+    rows = [(i, d, la, f"{d}{la}", 500) for i, (d, la) in enumerate([("d0", "en"), ("d0", "de"), ("d1", "en"), ("d1", "de")])]
+    table = spark.createDataFrame(rows, "doc_id long, domain string, lang string, source string, n_tokens long")
+    cfg = mixing.MixConfig(domain_weights={"d0": 3, "d1": 1}, lang_weights={"de": 0}, budget_share=0.5, max_epochs=1)
+    assert {r["source"]: r["quota"] for r in mixing.leaf_budgets(table, cfg).collect()} == {"d0en": 500, "d0de": 0, "d1en": 500, "d1de": 0}
+    cfg = mixing.MixConfig(domain_weights={}, lang_weights={}, source_weights={"d0en": 0, "d0de": 0, "d1de": 0}, budget_share=0.25, max_epochs=1)
+    assert {r["source"]: r["quota"] for r in mixing.leaf_budgets(table, cfg).collect()} == {"d0en": 0, "d0de": 0, "d1en": 500, "d1de": 0}
+    for bad in (-1.0, float("nan"), float("inf")):
+        with pytest.raises(ValueError):
+            mixing.MixConfig(lang_weights={"en": bad})
+
+
 def test_prefix_of_seeded_order(spark, monkeypatch):
     """Small ranges give the same choice as one range, whole epochs come first, and a seed changes the choice."""
     rows = [(i, " ".join(["w"] * (1 + i % 9)), "en", "src1" if i % 3 else "src2", 0) for i in range(300)]
