@@ -6,6 +6,9 @@ weighted by their rarity over all texts and projected on the leading singular
 vectors of a labelled sample. The sample's vectors are broadcast (their number is a
 parameter); every text is multiplied with all of them, in blocks, and its
 nearest ones vote for their labels with a weight that follows the cosine.
+
+Texts are read once: their rows of terms are written, coded in blocks, and rarities and
+scores are both computed from them.
 """
 
 from __future__ import annotations
@@ -42,13 +45,13 @@ _CAPITAL, _DIGIT = _SHAPE == ord("A"), _SHAPE == ord("0")
 def _grams(data: np.ndarray, owner: np.ndarray, offset: np.ndarray, n: int, width: int, terms: int) -> np.ndarray:
     """Counts of hashed byte n-grams, one row per text."""
     if len(data) < width:
-        return np.zeros((n, terms))
+        return np.zeros((n, terms), np.float32)
     code = np.zeros(len(data) - width + 1, np.uint64)
     for j in range(width):
         code = code * np.uint64(257) + data[j:len(data) - width + 1 + j]
     inside = owner[width - 1:] == owner[:len(code)]
     term = ((code * packed.ODD) >> np.uint64(64 - int(np.log2(terms)))).astype(np.int64)
-    return np.bincount(owner[:len(code)][inside] * terms + term[inside], minlength=n * terms).reshape(n, terms).astype(float)
+    return np.bincount(owner[:len(code)][inside] * terms + term[inside], minlength=n * terms).reshape(n, terms).astype(np.float32)
 
 
 def _level(share: np.ndarray) -> np.ndarray:
@@ -59,15 +62,16 @@ def term_rows(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Damped term counts of each text, with its style terms."""
     n, size = len(offsets) - 1, np.diff(offsets)
     owner = np.repeat(np.arange(n), size)
-    out = np.zeros((n, TERMS))
+    out = np.zeros((n, TERMS), np.float32)
     out[:, :TRIGRAMS] = np.log1p(_grams(data.astype(np.uint64), owner, offsets, n, 3, TRIGRAMS))
     out[:, TRIGRAMS:TRIGRAMS + SHAPES] = np.log1p(_grams(_SHAPE[data], owner, offsets, n, 4, SHAPES))
     count = lambda mask: np.bincount(owner, weights=mask[data], minlength=n)
     solid, some = count(~packed.SPACE), np.maximum(size, 1)
     hashes, of = packed.word_hashes(data, offsets)
     words = np.bincount(of, minlength=n)
-    pairs = np.unique(np.stack((of.astype(np.uint64), hashes)), axis=1) if len(hashes) else np.zeros((2, 0), np.uint64)
-    kinds = np.bincount(pairs[0].astype(np.int64), minlength=n)
+    # Different words of each text: its number above the hash (48 bits of it, more than a block's words can make collide).
+    packs = np.unique((of.astype(np.uint64) << np.uint64(48)) | (hashes >> np.uint64(16)))
+    kinds = np.bincount((packs >> np.uint64(48)).astype(np.int64), minlength=n)
     repeat = np.zeros(n)
     if len(hashes) > 1:
         repeat = np.bincount(of[1:][(hashes[1:] == hashes[:-1]) & (of[1:] == of[:-1])], minlength=n)
@@ -97,25 +101,43 @@ def _parts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.
             yield part, term_rows(*packed.text_bytes(part.column(column)))
 
 
+CODED = "ids array<long>, held array<boolean>, terms binary, texts binary"
+
+
+def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of terms in blocks of half-precision numbers, and in how many texts of the block each term is."""
+    for part, rows in _parts(batches, 0):
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([part.column(1).to_pylist()], pa.list_(pa.int64())), pa.array([part.column(2).to_pylist()], pa.list_(pa.bool_())), pa.array([packed.squeezed(rows.astype(np.float16))], pa.binary()),
+             pa.array([packed.squeezed((rows > 0).sum(0).astype(np.int32))], pa.binary())], names=[c.split()[0] for c in CODED.split(", ")])
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list, np.ndarray]]:
+    for batch in batches:
+        for ids, held, terms in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            yield ids, held, packed.unsqueezed(terms.as_py(), np.float16).reshape(len(ids), TERMS).astype(np.float32)
+
+
 def _holding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     texts, total = np.zeros(TERMS, np.int64), 0
-    for part, rows in _parts(batches, 0):
-        texts += (rows > 0).sum(0)
-        total += len(part)
+    for batch in batches:
+        for count, n in zip(batch.column(0), batch.column(1).to_pylist()):
+            texts += packed.unsqueezed(count.as_py(), np.int32)
+            total += n
     yield pa.RecordBatch.from_arrays([pa.array([np.append(texts, total)], pa.list_(pa.int64()))], names=["texts"])
 
 
-def rarities(docs: DataFrame) -> np.ndarray:
+def rarities(coded: DataFrame) -> np.ndarray:
     """log((1 + N) / (1 + texts with the term)) over all texts, for the fixed number of terms."""
-    tasks = docs.select("text").mapInArrow(_holding, "texts array<long>")
+    tasks = coded.select("texts", F.size("ids").cast("long")).mapInArrow(_holding, "texts array<long>")
     sums = dict(tasks.select(F.posexplode("texts").alias("term", "n")).groupBy("term").agg(F.sum("n")).collect())
     texts = np.array([sums.get(k, 0) for k in range(TERMS + 1)], float)
-    return np.log((1 + texts[-1]) / (1 + texts[:-1])) + 0.1
+    return (np.log((1 + texts[-1]) / (1 + texts[:-1])) + 0.1).astype(np.float32)
 
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part, rows in _parts(batches, 0):
-        coded = [pa.compress(r.astype(np.float16).tobytes(), codec="zstd", asbytes=True) for r in rows]
+        coded = [packed.squeezed(r.astype(np.float16)) for r in rows]
         yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), pa.array(coded, pa.binary())], names=["doc_id", "label", "terms"])
 
 
@@ -134,24 +156,36 @@ def unit(rows: np.ndarray) -> np.ndarray:
     return np.divide(rows, length, out=np.zeros_like(rows), where=length > 0)
 
 
-def votes(rows: np.ndarray, voters: np.ndarray, labels: np.ndarray, neighbours: int, prior: float) -> np.ndarray:
-    """Share of label 1 among the nearest voters of each row, weighted by a power of the cosine."""
+def votes(rows: np.ndarray, voters: np.ndarray, labels: np.ndarray, neighbours: int, prior: float, own: np.ndarray | None = None) -> np.ndarray:
+    """Share of label 1 among the nearest voters of each row, weighted by a power of the cosine.
+
+    Voters that tie for the last places share them equally. own: for each row the voter that it is itself, which has no vote there (-1: none).
+    """
     if not len(voters):
         return np.full(len(rows), prior)
     cosine = rows @ voters.T
+    if own is not None:
+        mine = np.flatnonzero(own >= 0)
+        cosine[mine, own[mine]] = -np.inf
     k = min(neighbours, len(voters))
-    near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-    weight = np.maximum(np.take_along_axis(cosine, near, 1), 0.0) ** SHARPNESS
-    total = weight.sum(1)
-    return np.where(total > 0, (weight * labels[near]).sum(1) / np.where(total > 0, total, 1), prior).clip(0.0, 1.0)
+    last = -np.partition(-cosine, k - 1, axis=1)[:, k - 1:k]
+    above = cosine > last
+    places, tied = k - above.sum(1), cosine == last
+    weight = np.maximum(cosine, 0.0) ** SHARPNESS
+    share = np.where(above, weight, 0.0) + np.where(tied, weight * (places / np.maximum(tied.sum(1), 1))[:, None], 0.0)
+    total = share.sum(1)
+    return np.where(total > 0, (share @ labels) / np.where(total > 0, total, 1), prior).clip(0.0, 1.0)
 
 
 def _predict(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rarity, space, voters, labels, neighbours, prior = model.value
-        for part, rows in _parts(batches, 0):
-            score = votes(unit(weighted(rows, rarity) @ space), voters, labels, neighbours, prior)
-            yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), pa.array(score), pa.array((score >= CUT).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
+        rarity, space, voters, labels, names, neighbours, prior = model.value
+        place = {int(v): i for i, v in enumerate(names)}
+        for ids, held, rows in _blocks(batches):
+            own = np.array([-1 if i is None else place.get(i, -1) for i in ids])
+            # Sums depend on a row's place in its block in their last digits; those are rounded off.
+            score = np.round(votes(unit(weighted(rows, rarity).astype(float) @ space), voters, labels, neighbours, prior, own), 9)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), pa.array(score), pa.array((score >= CUT).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     return run
 
@@ -164,6 +198,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rank
     these the ``sample`` with the smallest hash of their id; term
     rarities come from all texts.
 
+    A row's own label has no vote in its score; voters that tie for the last of the nearest places share them.
     A null or empty text has style terms only and is scored by them. Rows that
     repeat are scored each. A label that is null, or on a document that is not
     there, does not vote; a document with several labels votes with their mean.
@@ -174,20 +209,19 @@ def score_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rank
     crc = lambda c: F.crc32(F.coalesce(F.col(c).cast("string"), F.lit("")).cast("binary"))
     known = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("l_id")).agg(F.avg("quality").alias("label"))
     known = materialise(known.where(crc("l_id") % 4 != 2).orderBy(F.xxhash64("l_id"), "l_id").limit(sample), "quality_labels")
-    rarity = rarities(docs)
     texts = docs.select("text", F.col("doc_id").cast("long").alias("doc_id"))
+    coded = materialise(texts.withColumn("held", crc("doc_id") % 4 == 2).mapInArrow(_coded, CODED), "quality_terms")
+    rarity = rarities(coded)
     # At most ``sample`` ids, so their side is broadcast.
     picked = texts.join(F.broadcast(known), F.col("doc_id") == F.col("l_id")).select("text", "doc_id", "label")
     rows = picked.mapInArrow(_sampled, "doc_id long, label double, terms binary").dropDuplicates(["doc_id"]).collect()
     rows.sort(key=lambda r: r["doc_id"])
     if rows:
-        matrix = np.stack([np.frombuffer(pa.decompress(r["terms"], TERMS * 2, codec="zstd", asbytes=True), np.float16) for r in rows]).astype(np.float32)
-        matrix = weighted(matrix, rarity.astype(np.float32))
+        matrix = weighted(np.stack([packed.unsqueezed(r["terms"], np.float16) for r in rows]).astype(np.float32), rarity)
         target = np.array([r["label"] for r in rows])
-        space = singular_space(matrix, rank)
+        space = singular_space(matrix.astype(float), rank)
         voters, prior = unit(matrix @ space), float(target.mean())
     else:
         space, voters, target, prior = np.zeros((TERMS, 1)), np.zeros((0, 1)), np.zeros(0), 0.5
-    model = spark.sparkContext.broadcast((rarity, space, voters, target, neighbours, prior))
-    scored = docs.select("text", F.col("doc_id").cast("long").alias("doc_id"), (crc("doc_id") % 4 == 2).alias("held_out"))
-    return scored.mapInArrow(_predict(model), "doc_id long, held_out boolean, score double, predicted int")
+    model = spark.sparkContext.broadcast((rarity, space, voters, target, [r["doc_id"] for r in rows], neighbours, prior))
+    return coded.select("ids", "held", "terms").mapInArrow(_predict(model), "doc_id long, held_out boolean, score double, predicted int")
