@@ -39,6 +39,7 @@ SKETCH_BITS = 18  # counters of the rarity count: 2 MB, whatever the input
 PIECES = 16
 WIDE = 48  # rows from which a column is multiplied by tiles rather than as pairs
 TILE, TILE_COLUMNS = 512, 4096
+PART_BYTES = 1 << 21  # text that a task takes apart at once
 BLOCK_CELLS = 1 << 22  # cells of the matrix in one block of columns
 _SALTS = np.random.default_rng(11).integers(1, 2**64, SIGNATURES, dtype=np.uint64)
 
@@ -61,7 +62,7 @@ def prefix_size(n: int, percent: int) -> int:
 def _scan(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, np.uint32)
-        for batch in packed.parts(batches):
+        for batch in packed.parts(batches, PART_BYTES):
             data, offsets = packed.text_bytes(batch.column(1))
             n, h1, h2, sigs = [], [], [], []
             for grams in packed.shingle_sets(data, offsets, width):
@@ -97,7 +98,7 @@ def _rarity(scan: DataFrame) -> np.ndarray:
 
 def _verify(width: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in packed.parts(batches):
+        for batch in packed.parts(batches, PART_BYTES):
             sides = [list(packed.shingle_sets(*packed.text_bytes(batch.column(c)), width)) for c in ("text_a", "text_b")]
             ok = []
             for x, y in zip(*sides):
@@ -124,7 +125,7 @@ def _blocks(width: int, percent: int, blocks: int, shared):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rarity = shared.value
-        for batch in packed.parts(batches):
+        for batch in packed.parts(batches, 2 * PART_BYTES):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             data, offsets = packed.text_bytes(batch.column(1))
             grams, rows, sizes, places = [], [], [], []
@@ -285,7 +286,8 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
 
     # The product over what is left.
     shared = spark.sparkContext.broadcast(_rarity(scan))
-    sent = docs.where("doc_id is not null").mapInArrow(_blocks(width, percent, blocks, shared), "block int, grams binary, ids binary, sizes binary")
+    # Copies of a text have its node's cells already.
+    sent = with_ids(docs, nodes.select(F.col("node").alias("i"))).mapInArrow(_blocks(width, percent, blocks, shared), "block int, grams binary, ids binary, sizes binary")
     cells = sent.groupBy("block").applyInArrow(_columns, "gram long, doc_id long, size long")
     of = members.join(start, members.node == start.node, "left").select("doc_id", members.node, F.coalesce("label", members.node).alias("comp"))
     cells = materialise(cells.where("size > 0").join(of.where("doc_id = node"), "doc_id").select("gram", "node", F.col("size").alias("n"), "comp"), "jaccard_cells")
