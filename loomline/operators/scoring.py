@@ -34,15 +34,31 @@ def check_table(spark) -> DataFrame:
     return spark.createDataFrame(CHECKS, CHECK_SCHEMA)
 
 
-def pass_flags(metrics: DataFrame, checks: DataFrame, keys: list[str]) -> DataFrame:
+def scenario_bounds(checks: DataFrame, scenarios: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
+    """(scenario, check, direction, bound, kind) of every scenario; ``overrides`` (scenario, check, bound) replace bounds.
+
+    A scenario is compared in lower case, with dashes as underscores and without the suffix of a short run.
+    """
+    plain = lambda c: F.regexp_replace(F.regexp_replace(F.lower(F.trim(F.col(c))), "-", "_"), "_fast$", "")
+    rows = scenarios.select("scenario", "kind").distinct().join(checks, "kind").withColumn("_plain", plain("scenario"))
+    if overrides is None:
+        return rows.drop("_plain")
+    own = overrides.select(plain("scenario").alias("_plain"), "check", F.col("bound").cast("double").alias("own"))
+    return rows.join(own, ["_plain", "check"], "left").select("scenario", "check", "direction", F.coalesce("own", "bound").alias("bound"), "kind")
+
+
+def pass_flags(metrics: DataFrame, checks: DataFrame, keys: list[str], overrides: DataFrame | None = None) -> DataFrame:
     """One flag per run and check of its kind; a missing or non-finite metric fails.
 
-    ``metrics`` is (keys, kind, name, value).
+    ``metrics`` is (keys, kind, name, value); ``overrides`` (scenario, check, bound) give single scenarios bounds of their own, where scenario is one of the keys.
     """
     runs = metrics.select(*keys, "kind").distinct()
-    wanted = runs.join(F.broadcast(checks), "kind")
+    if overrides is None:
+        wanted = runs.join(checks, "kind")
+    else:
+        wanted = runs.join(scenario_bounds(checks, metrics, overrides), ["scenario", "kind"])
     got = metrics.select(*keys, F.col("name").alias("check"), "value")
-    value = F.when(~F.isnan("value"), F.col("value"))
+    value = F.when(~F.isnan("value") & (F.abs("value") < float("inf")), F.col("value"))
     ok = F.when(F.col("direction") == ">=", value >= F.col("bound")).otherwise(value <= F.col("bound"))
     return wanted.join(got, [*keys, "check"], "left").select(*keys, "kind", "check", "value", "bound", F.coalesce(ok, F.lit(False)).alias("passed"))
 

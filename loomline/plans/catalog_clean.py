@@ -316,6 +316,20 @@ def checks_pass_flags(t: Tables):
     return tidy(scoring.pass_flags(runs(t), scoring.check_table(t.spark), ["scenario", "seed"]))
 
 
+OWN = [("building-fast", "null_selection_lift", 9.0), ("HOUSEHOLD", "selection_recall", 0.45), ("machinery", "placebo_selected", 1.0)]
+
+
+@query("checks_scenario_bounds", with_ctes("", """
+    SELECT f.scenario, f.seed, f.kind, chk AS "check", round(value, 8) AS value, coalesce(o.bound, f.bound) AS bound,
+      coalesce(CASE WHEN direction = '>=' THEN value >= coalesce(o.bound, f.bound) ELSE value <= coalesce(o.bound, f.bound) END, false) AS passed
+    FROM flags f JOIN (SELECT DISTINCT chk, kind, direction FROM chk) USING (chk, kind) LEFT JOIN own o ON o.scenario = f.scenario AND o.name = f.chk""", **FLAGS,
+    own="SELECT * FROM (VALUES ('BUILDING', 'null_selection_lift', 9.0::DOUBLE), ('HOUSEHOLD', 'selection_recall', 0.45::DOUBLE), ('MACHINERY', 'placebo_selected', 1.0::DOUBLE)) v(scenario, name, bound)"))
+def checks_scenario_bounds(t: Tables):
+    """Pass flags where three scenarios have a bound of their own."""
+    own = t.spark.createDataFrame(OWN, "scenario string, check string, bound double")
+    return tidy(scoring.pass_flags(runs(t), scoring.check_table(t.spark), ["scenario", "seed"], own))
+
+
 @query("pass_rates", with_ctes("", 'SELECT scenario, chk AS "check", round(avg(CASE WHEN passed THEN 1.0 ELSE 0.0 END), 8) AS pass_rate, count(*) AS runs FROM flags GROUP BY 1, 2', **FLAGS))
 def pass_rates(t: Tables):
     return tidy(scoring.pass_rates(scoring.pass_flags(runs(t), scoring.check_table(t.spark), ["scenario", "seed"])))
