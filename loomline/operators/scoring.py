@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomline.functions.columns import ratio
 from loomline.functions.dense import subspace_cosines
+from loomline.functions.session import materialise
 from loomline.operators.moments import period_moments
 
 # Check, direction, bound and the kind of scenario it applies to.
@@ -207,41 +209,58 @@ def loading_angles(estimate: np.ndarray, truth: np.ndarray) -> float:
     return float(got.min()) if len(got) else float("nan")
 
 
-def pairwise_correlation(rows: DataFrame, key: str, name: str, value: str, names: list[str], min_obs: int = 3) -> DataFrame:
-    """Pairwise-complete correlation and population covariance of every pair of series with ``a < b``.
-
-    One array per key holds presence, value and squared value of every series;
-    the cross products of those arrays contain every pairwise-complete sum, so no
-    key emits its pairs.
-    """
-    order = sorted(names)
-    width = len(order)
-    packed = rows.where(F.col(value).isNotNull()).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct(name, F.col(value).cast("double")))).alias("m"))
-    ids = F.array(*[F.lit(n) for n in order])
+TILE, PART_KEYS = 128, 512  # series in a tile, keys in a part
 
-    def part(f):
-        return F.transform(ids, lambda i: F.coalesce(f(F.col("m")[i]), F.lit(0.0)))
 
-    x = F.concat(part(lambda v: F.when(v.isNotNull(), 1.0)), part(lambda v: v), part(lambda v: v * v))
-    table = period_moments(packed.select(F.lit(0).alias("t_idx"), F.lit(0.0).alias("y"), x.alias("x")))
+def pairwise_correlation(rows: DataFrame, key: str, name: str, value: str, names: list[str], min_obs: int = 3, tile: int = TILE) -> DataFrame:
+    """Pairwise-complete correlation and population covariance of every pair of series with ``a < b``.
 
-    def solve(batches):
+    A symmetric blocked product: values are laid out as tiles of keys x series, tiles of the same keys meet once for each
+    pair of tiles, and a meeting is six small matrix products of presence, value and squared value, which add up over the
+    keys. Work and memory of a task follow the tile, whatever the number of series or keys. A key that has a series twice counts its largest value.
+    """
+    spark, order = rows.sparkSession, sorted(names)
+    place = spark.createDataFrame([(n, i) for i, n in enumerate(order)], "_name string, _at int")
+    found = rows.where(F.col(value).isNotNull()).groupBy(F.col(key).alias("_key"), F.col(name).cast("string").alias("_name")).agg(F.max(F.col(value).cast("double")).alias("_v")).join(place, "_name")
+    found = found.where(~F.isnan("_v")).withColumn("_hash", F.xxhash64("_key"))
+    n_keys = found.agg(F.approx_count_distinct("_key")).first()[0] or 0
+    parts = max(1, -(-n_keys // PART_KEYS))
+    cells = found.select(F.pmod("_hash", F.lit(parts)).cast("int").alias("part"), F.floor(F.col("_at") / tile).cast("int").alias("tile"), F.col("_key").cast("string").alias("k"), (F.col("_at") % tile).alias("at"), F.col("_v").alias("v"))
+
+    def lay_out(table: pa.Table) -> pa.Table:
+        keys, row = np.unique(np.array(table["k"].to_pylist(), object).astype(str), return_inverse=True)
+        m = np.full((len(keys), tile), np.nan)
+        m[row, table["at"].to_numpy()] = table["v"].to_numpy()
+        return pa.table({"part": table["part"][:1], "tile": table["tile"][:1], "keys": pa.array([keys.tolist()], pa.list_(pa.string())), "m": pa.array([m.tobytes()], pa.binary())})
+
+    tiles = materialise(cells.groupBy("part", "tile").applyInArrow(lay_out, "part int, tile int, keys array<string>, m binary"), "series_tiles")
+    left = tiles.select("part", F.col("tile").alias("i"), F.col("keys").alias("keys_i"), F.col("m").alias("m_i"))
+    met = left.join(tiles.select("part", F.col("tile").alias("j"), F.col("keys").alias("keys_j"), F.col("m").alias("m_j")), "part").where("i <= j")
+
+    def multiply(batches):
         for batch in batches:
-            for s in batch["s"]:
-                m = np.asarray(s, float).reshape(3 * width, -1)
-                n, sx, sxx, sq = m[:width, :width], m[width : 2 * width, :width], m[width : 2 * width, width : 2 * width], m[2 * width :, :width]
-                i, j = np.triu_indices(width, 1)
-                k = n[i, j]
-                ok = k > 0
-                i, j, k = i[ok], j[ok], k[ok]
-                mi, mj = sx[i, j] / k, sx[j, i] / k
-                cov = sxx[i, j] / k - mi * mj
-                var = (sq[i, j] / k - mi**2) * (sq[j, i] / k - mj**2)
-                good = (k >= min_obs) & (var > 0)
-                corr = np.where(good, cov / np.sqrt(np.where(good, var, 1.0)), np.nan)
-                yield pd.DataFrame({"a": [order[v] for v in i], "b": [order[v] for v in j], "corr": corr, "cov": cov, "n": k.astype(np.int64)})
-
-    out = table.select("s").mapInPandas(solve, "a string, b string, corr double, cov double, n long")
+            for row in batch.to_pylist():
+                sides = [np.frombuffer(row[m], np.float64).reshape(-1, tile) for m in ("m_i", "m_j")]
+                both, at_i, at_j = np.intersect1d(row["keys_i"], row["keys_j"], return_indices=True)
+                x, y = sides[0][at_i], sides[1][at_j]
+                p, q = ~np.isnan(x), ~np.isnan(y)
+                x, y, p, q = np.where(p, x, 0.0), np.where(q, y, 0.0), p.astype(float), q.astype(float)
+                sums = np.stack([p.T @ q, x.T @ q, p.T @ y, x.T @ y, (x * x).T @ q, p.T @ (y * y)])
+                yield pa.RecordBatch.from_arrays([pa.array([row["i"]], pa.int32()), pa.array([row["j"]], pa.int32()), pa.array([sums.tobytes()], pa.binary())], names=["i", "j", "sums"])
+
+    def solve(table: pa.Table) -> pa.Table:
+        n, sx, sy, sxy, sxx, syy = sum(np.frombuffer(m, np.float64) for m in table["sums"].to_pylist()).reshape(6, tile, tile)
+        i, j = table["i"][0].as_py(), table["j"][0].as_py()
+        a, b = np.nonzero((n > 0) & (i * tile + np.arange(tile)[:, None] < j * tile + np.arange(tile)))
+        k = n[a, b]
+        mi, mj = sx[a, b] / k, sy[a, b] / k
+        cov, var = sxy[a, b] / k - mi * mj, (sxx[a, b] / k - mi**2) * (syy[a, b] / k - mj**2)
+        good = (k >= min_obs) & (var > 0)
+        corr = np.where(good, cov / np.sqrt(np.where(good, var, 1.0)), np.nan)
+        label = lambda t, at: pa.array([order[t * tile + v] for v in at], pa.string())
+        return pa.table({"a": label(i, a), "b": label(j, b), "corr": pa.array(corr), "cov": pa.array(cov), "n": pa.array(k.astype(np.int64))})
+
+    out = met.mapInArrow(multiply, "i int, j int, sums binary").groupBy("i", "j").applyInArrow(solve, "a string, b string, corr double, cov double, n long")
     return out.withColumn("corr", F.when(~F.isnan("corr"), F.col("corr")))
 
 
