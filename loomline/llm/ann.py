@@ -23,6 +23,7 @@ from loomline.functions.session import materialise
 TOP = 20
 SAMPLE = 16_384  # vectors that the centroids are fitted on
 ROUNDS = 12
+ENTRY_BLOCK = 1 << 14  # entries of the cells that are met together
 BLOCK = 2048  # entries, and queries, of one product in a task
 RECALL = 0.95  # share of true neighbours that the walk of the measured queries must have met
 MEASURED = 128  # queries answered by brute force to set the walk
@@ -90,10 +91,23 @@ def _assign(model):
     return run
 
 
+def cell_blocks(counts: np.ndarray, size: int) -> np.ndarray:
+    """Block of every cell: neighbouring cells are packed up to about ``size`` entries; a larger cell is a block of its own."""
+    out, block, held = np.zeros(len(counts), np.int64), 0, 0
+    for cell, n in enumerate(counts):
+        if held and held + n > size:
+            block, held = block + 1, 0
+        out[cell] = block
+        held += int(n)
+    return out
+
+
 def _visit(model, sizes, wanted: float):
+    """For every query the blocks that its walk meets, each with the cells it asks for there."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, two = model.value
-        counts = sizes.value
+        counts, block_of = sizes.value
         for batch in batches:
             x = _matrix(batch.column(1))
             if not len(x):
@@ -101,12 +115,16 @@ def _visit(model, sizes, wanted: float):
             half = one.shape[1]
             # Nearest is the largest inner product, so a centroid's distance is its negative.
             first, second = -x[:, :half] @ one.T, -x[:, half:] @ two.T
-            met = [cells_by_distance(f, s, counts, wanted) for f, s in zip(first, second)]
-            rows = np.repeat(np.arange(len(met)), [len(m) for m in met])
-            for at in range(0, len(rows), 20_000):
-                part = batch.take(pa.array(rows[at:at + 20_000]))
-                cells = np.concatenate([np.array(m, np.int32) for m in met])[at:at + 20_000]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(cells)], names=["rep", "v", "cell"])
+            rows, blocks, cells = [], [], []
+            for r, (f, s) in enumerate(zip(first, second)):
+                met = np.array(cells_by_distance(f, s, counts, wanted), np.int64)
+                order = np.argsort(block_of[met], kind="stable")
+                own, at = np.unique(block_of[met][order], return_index=True)
+                rows += [r] * len(own)
+                blocks += own.tolist()
+                cells += [c.tolist() for c in np.split(met[order], at[1:])] if len(own) else []
+            part = batch.take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(blocks, pa.int32()), pa.array(cells, pa.list_(pa.int32()))], names=["rep", "v", "block", "cells"])
 
     return run
 
@@ -123,17 +141,37 @@ def exact_products(q: np.ndarray, e: np.ndarray) -> np.ndarray:
 
 
 def _rank(top: int):
+    """The best entries of every query in one block, among the cells that it asks for."""
+
     def run(queries: pa.Table, entries: pa.Table) -> pa.Table:
         if not len(queries) or not len(entries):
             return pa.table({"rep": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         ids = entries.column("vec_id").to_numpy()
         order = np.argsort(ids, kind="stable")
-        e, ids, reps = _matrix(entries.column("v"))[order], ids[order], queries.column("rep").to_numpy()
-        q, step, out = _matrix(queries.column("v")), max(1, (1 << 16) // len(ids)), []
+        e, ids, reps, q = _matrix(entries.column("v"))[order], ids[order], queries.column("rep").to_numpy(), _matrix(queries.column("v"))
+        kinds, of = np.unique(entries.column("cell").to_numpy()[order], return_inverse=True)
+        wants = queries.column("cells").to_pylist()
+        step, out = max(1, (1 << 21) // len(ids)), []
+        members = [np.flatnonzero(of == c) for c in range(len(kinds))]
         for at in range(0, len(q), step):
-            score = exact_products(q[at:at + step], e)
-            best = np.argsort(-score, axis=1, kind="stable")[:, :top]
-            out.append((np.repeat(reps[at:at + step], best.shape[1]), ids[best].ravel(), np.take_along_axis(score, best, 1).ravel()))
+            part = q[at:at + step]
+            asked = np.zeros((len(part), len(kinds)), bool)
+            for r, cells in enumerate(wants[at:at + step]):
+                asked[r, np.searchsorted(kinds, np.intersect1d(kinds, cells))] = True
+            score = np.full((len(part), len(ids)), -np.inf)
+            for c, here in enumerate(members):
+                some = np.flatnonzero(asked[:, c])
+                if len(some):
+                    score[np.ix_(some, here)] = exact_products(part[some], e[here])
+            k = min(top, len(ids))
+            least = np.partition(score, len(ids) - k, axis=1)[:, len(ids) - k]
+            row, col = np.nonzero((score >= least[:, None]) & (score > -np.inf))
+            value = score[row, col]
+            by = np.lexsort((ids[col], -value, row))
+            row, col, value = row[by], col[by], value[by]
+            place = np.arange(len(row)) - np.searchsorted(row, row)
+            keep = place < k  # ties for the last place go to smaller ids
+            out.append((reps[at:at + step][row[keep]], ids[col[keep]], value[keep]))
         rep, vec, score = (np.concatenate(x) for x in zip(*out))
         return pa.table({"rep": rep, "vec_id": vec, "score": score})
 
@@ -224,19 +262,24 @@ def nearest(vectors: DataFrame, every: int = 20, top: int = TOP, recall: float =
     counts = np.zeros(cells, np.int64)
     for cell, size in indexed.groupBy("cell").count().collect():
         counts[cell] = size
-    sizes = spark.sparkContext.broadcast(counts)
+    block_of = cell_blocks(counts, ENTRY_BLOCK)
+    sizes = spark.sparkContext.broadcast((counts, block_of))
 
     asked = rows.where(F.col("vec_id") % every == 0)
     reps = materialise(asked.groupBy("v").agg(F.min("vec_id").alias("rep")), "ann_queries")
     wanted = max(walk_length(indexed, reps, centres, counts, top, recall), float(top + 1))
-    visits = materialise(reps.select("rep", "v").mapInArrow(_visit(model, sizes, wanted), f"rep long, v {kind}, cell int"), "ann_visits")
-    # A cell with many entries or many queries is met in several tasks.
-    load = visits.groupBy("cell").agg(F.count("*").alias("asks")).join(indexed.groupBy("cell").agg(F.count("*").alias("holds")), "cell")
-    load = materialise(load.select("cell", F.ceil(F.col("asks") / BLOCK).cast("int").alias("q_parts"), F.ceil(F.col("holds") / BLOCK).cast("int").alias("e_parts")), "ann_load")
-    q = visits.join(load, "cell").withColumn("qp", F.pmod(F.xxhash64("rep"), F.col("q_parts")).cast("int")).withColumn("ep", F.explode(F.sequence(F.lit(0), F.col("e_parts") - 1)))
-    e = indexed.join(load, "cell").withColumn("ep", F.pmod(F.xxhash64("vec_id"), F.col("e_parts")).cast("int")).withColumn("qp", F.explode(F.sequence(F.lit(0), F.col("q_parts") - 1)))
-    keys = ["cell", "qp", "ep"]
-    found = q.select(*keys, "rep", "v").groupBy(*keys).cogroup(e.select(*keys, "vec_id", "v").groupBy(*keys)).applyInArrow(_rank(top + 1), "rep long, vec_id long, score double")
+    walked = reps.select("rep", "v").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "rep")
+    visits = materialise(walked.mapInArrow(_visit(model, sizes, wanted), f"rep long, v {kind}, block int, cells array<int>"), "ann_visits")
+    # A block holds several cells, so a query keeps its best of all of them in one place; one with many queries or one huge cell is met in several tasks.
+    holds = np.bincount(block_of, weights=counts, minlength=int(block_of.max()) + 1)
+    sized = spark.createDataFrame([(int(b), int(-(-h // ENTRY_BLOCK))) for b, h in enumerate(holds) if h], "block int, e_parts int")
+    load = visits.groupBy("block").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("q_parts")).join(sized, "block")
+    load = materialise(load, "ann_load")
+    placed = indexed.join(spark.createDataFrame([(c, int(b)) for c, b in enumerate(block_of)], "cell int, block int"), "cell")
+    q = visits.join(load, "block").withColumn("qp", F.pmod(F.xxhash64("rep"), F.col("q_parts")).cast("int")).withColumn("ep", F.explode(F.sequence(F.lit(0), F.col("e_parts") - 1)))
+    e = placed.join(load, "block").withColumn("ep", F.pmod(F.xxhash64("vec_id"), F.col("e_parts")).cast("int")).withColumn("qp", F.explode(F.sequence(F.lit(0), F.col("q_parts") - 1)))
+    keys = ["block", "qp", "ep"]
+    found = q.select(*keys, "rep", "v", "cells").groupBy(*keys).cogroup(e.select(*keys, "vec_id", "v", "cell").groupBy(*keys)).applyInArrow(_rank(top + 1), "rep long, vec_id long, score double")
     best = Window.partitionBy("rep").orderBy(F.desc("score"), "vec_id")
     found = materialise(found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= top + 1).drop("place"), "ann_found")
     of = asked.join(reps, "v").select(F.col("vec_id").alias("query_id"), "rep").distinct()

@@ -41,9 +41,30 @@ def test_all_cells_give_the_exact_answer(spark):
     assert got == brute(rows)
 
 
-@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1", "check_s"])
+def seeded_table(spark, n=9000, d=24):
+    """Vectors around seeded centres, more of them than the given folders hold."""
+    rng = np.random.default_rng(12)
+    x = rng.standard_normal((60, d))[rng.integers(0, 60, n)] + 0.7 * rng.standard_normal((n, d))
+    return spark.createDataFrame([(i, [float(v) for v in r], 0) for i, r in enumerate(x.astype(np.float32))], SCHEMA).repartition(8)
+
+
+@pytest.mark.parametrize("block", [7, 60, 1000])
+def test_blocks_of_any_size_give_the_exact_answer(spark, monkeypatch, block):
+    """Cells packed together, alone, or split over several tasks; queries in several parts."""
+    monkeypatch.setattr(ann, "ENTRY_BLOCK", block)
+    monkeypatch.setattr(ann, "BLOCK", 5)
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.integers(-2, 3, 6).astype(float).tolist(), 0) for i in range(500)]  # many ties
+    assert got_of(ann.nearest(spark.createDataFrame(rows, SCHEMA).repartition(5), recall=1.0)) == brute(rows)
+
+
+def test_cells_are_packed_in_order():
+    assert ann.cell_blocks(np.array([3, 0, 4, 9, 1, 1, 20, 2]), 8).tolist() == [0, 0, 0, 1, 2, 2, 3, 4]
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1", "seeded"])
 def test_recall(spark, sf):
-    table = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet")
+    table = seeded_table(spark) if sf == "seeded" else spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet")
     want = brute([(r["vec_id"], r["embedding"]) for r in table.collect()])
     got = got_of(ann.nearest(table))
     hits = sum(len({v for v, _ in got[q]} & {v for v, _ in want[q]}) for q in want)
