@@ -18,6 +18,30 @@ def topic_generator(seed: int, stream: int, topic: str) -> np.random.Generator:
     return np.random.default_rng([seed, stream, *map(ord, topic)])
 
 
+# Which topics of a registry a run takes, by ontology.
+ONTOLOGIES = {"sector": ("sector",), "economic": ("economic",), "both": ("sector", "economic"), "none": ()}
+TOPIC_FIELDS = ("name", "group", "ontology", "scope")
+
+
+def topic_table(registry: DataFrame, manual: str = "both", n_generic: int = 0) -> DataFrame:
+    """(topic_id, name, group, ontology, scope, order) of a run: the registry's topics of the chosen ontologies in its order, then generic ones G001, G002, ...
+
+    ``registry`` has topic_id, the four text fields and ``order``, which must be unique. Order counts from 1 over the run without gaps.
+    """
+    from loomline.operators.truth import positions
+
+    if manual not in ONTOLOGIES or n_generic < 0:
+        raise ValueError(f"no topic set {manual!r} with {n_generic} generic topics")
+    text = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in TOPIC_FIELDS]
+    chosen = registry.where(F.col("ontology").isin(*ONTOLOGIES[manual]) if ONTOLOGIES[manual] else F.lit(False))
+    chosen = chosen.join(positions(chosen, "order"), "order").select(F.col("topic_id").cast("string").alias("topic_id"), *text, (F.col("at") + 1).cast("long").alias("order"))
+    n, number = chosen.count(), F.col("id") + 1
+    padded = F.when(number < 1000, F.lpad(number.cast("string"), 3, "0")).otherwise(number.cast("string"))
+    generic = registry.sparkSession.range(n_generic).select(
+        F.concat(F.lit("G"), padded).alias("topic_id"), F.concat(F.lit("Generic topic "), padded).alias("name"), F.lit("Generic").alias("group"), F.lit("generic").alias("ontology"), F.lit("").alias("scope"), (number + n).alias("order"))
+    return chosen.unionByName(generic)
+
+
 def random_links(topics: DataFrame, assets: list[str], counts: tuple[int, int, int] = (1, 2, 3), seed: int = 0) -> DataFrame:
     """Seeded links and a priority per topic; each topic's draw is its own, so tasks may run in any order."""
     tiers = ["strong"] * counts[0] + ["moderate"] * counts[1] + ["weak"] * counts[2]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomline.operators import truth
+from loomline.operators import links, truth
 from loomline.plans.catalog_align import GAMMA
 from loomline.plans.oracle import with_ctes
 from loomline.plans.registry import query
@@ -76,3 +76,17 @@ def beta_canonical_summary(t: Tables):
     return tidy(truth.beta_canonical_corr(t.panel, [[g[0]] for g in GAMMA], one, 1, "M", every=3, least=5)[0], 6)
 
 
+
+
+@query("topic_table", with_ctes("", """
+    SELECT * FROM (
+      SELECT 'T' || n_nationkey AS topic_id, n_name AS name, r_name AS "group", 'economic' AS ontology, CAST(r_regionkey AS VARCHAR) AS scope, row_number() OVER (ORDER BY r_regionkey * 100 + n_nationkey) AS "order"
+      FROM nation JOIN region ON r_regionkey = n_regionkey WHERE n_nationkey % 3 <> 0
+      UNION ALL SELECT 'G' || lpad(CAST(k AS VARCHAR), 3, '0'), 'Generic topic ' || lpad(CAST(k AS VARCHAR), 3, '0'), 'Generic', 'generic', '', k + (SELECT count(*) FROM nation WHERE n_nationkey % 3 <> 0)
+      FROM (SELECT unnest(range(1, 13)) AS k))"""))
+def topic_table(t: Tables):
+    """Nations as a registry of topics, those that are economic, and twelve generic ones."""
+    nation = t.read("nation").join(t.read("region"), F.col("r_regionkey") == F.col("n_regionkey"))
+    registry = nation.select(F.concat(F.lit("T"), F.col("n_nationkey")).alias("topic_id"), F.col("n_name").alias("name"), F.col("r_name").alias("group"), F.when(F.col("n_nationkey") % 3 == 0, "sector").otherwise("economic").alias("ontology"),
+                             F.col("r_regionkey").alias("scope"), (F.col("r_regionkey") * 100 + F.col("n_nationkey")).alias("order"))
+    return tidy(links.topic_table(registry, "economic", 12))

@@ -66,3 +66,15 @@ def test_sample_is_widened(spark):
     rows = spark.createDataFrame([(t,) for t in range(10)], "t_idx int")
     assert [r[0] for r in truth.sampled_periods(rows, 3, 3).orderBy("t_idx").collect()] == [0, 3, 6, 9]
     assert [r[0] for r in truth.sampled_periods(rows, 12, 5).orderBy("t_idx").collect()] == [0, 2, 4, 7, 9]
+
+
+def test_topic_sets(spark):
+    from loomline.operators import links
+
+    registry = spark.createDataFrame([("S1", "one", "Sector", "sector", None, 5), ("A1", "two", "Macro", "economic", "x", 2), ("S2", "three", "Sector", "sector", "y", 9)], "topic_id string, name string, group string, ontology string, scope string, order int")
+    ids = lambda which, n: [(r["topic_id"], r["order"], r["scope"]) for r in links.topic_table(registry, which, n).orderBy("order").collect()]
+    assert ids("both", 1) == [("A1", 1, "x"), ("S1", 2, ""), ("S2", 3, "y"), ("G001", 4, "")]
+    assert ids("sector", 0) == [("S1", 1, ""), ("S2", 2, "y")] and ids("none", 2) == [("G001", 1, ""), ("G002", 2, "")]
+    assert links.topic_table(registry, "none", 1001).where("topic_id = 'G1001'").count() == 1
+    with pytest.raises(ValueError):
+        links.topic_table(registry, "other")
