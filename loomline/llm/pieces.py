@@ -6,18 +6,18 @@ hash of it falls under the dropout rate. The key holds the seed, the document
 and the place of the word in the text, so every occurrence of a word has its own
 draws; every segmentation decodes to the text.
 
-What a word's agenda does depends only on which of its candidates are skipped.
-Courses without a skip, and those after one or two skips, are kept by word;
-draws for all words of a slice are made at once against them, and what is
-skipped more often is run from its own agenda.
+All words of a slice that are about as long are one array, a column each: a step
+takes the best candidate of every word, draws, and merges or skips. Nothing is
+kept from word to word, so neither the number of different words nor how often
+they are skipped matters. Only words beyond 64 characters run one by one.
 """
 
 from __future__ import annotations
 
 import re
-from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 from heapq import heapify, heappop, heappush
 from zlib import crc32
 
@@ -29,12 +29,11 @@ from pyspark.sql import types as T
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT = 0.1
-CACHE = 400_000  # courses of words a task keeps with their pieces
-DEPTH = 2  # skips up to which courses are kept
-LENGTH = 24  # characters up to which courses of a word are kept
-KEPT_CHARS = 1 << 24
+CACHE = 1 << 16  # characters of words that are merged at once, so that their state stays in a processor's cache
+LENGTH = 24  # characters up to which a word is not cut
+WIDTHS = np.array([*range(1, 17), 20, 24, 32, 48, 64])  # rows of the arrays that words are laid out in
 SPACE = "▁"  # fixed value: how a vocabulary writes a space
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 
 # Merges never cross these: no piece holds a line end, or a space mark after another character.
 _PARTS = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
@@ -50,6 +49,11 @@ class Vocabulary:
     raw: list[bytes]  # what each id decodes to; a space mark is a space
     joins: set[str]  # neighbouring characters inside pieces
 
+    @cached_property
+    def tables(self) -> _Tables:
+        """Arrays of the vocabulary, built once in a process."""
+        return _Tables(self)
+
     def cut(self, part: str) -> list[str]:
         """``part`` cut between characters that stand side by side in no piece, so no merge can cross."""
         joins, at = self.joins, 0
@@ -111,37 +115,28 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _agenda(part: str, vocabulary: Vocabulary, skips: tuple[int, ...], key: int = 0, limit: int = 0) -> tuple[list[int], list[int]]:
-    """Marks of the candidates that came up, and piece ids, of one part of a text (a word with the spaces before it).
+def _agenda(part: str, vocabulary: Vocabulary, key: int, limit: int) -> list[str]:
+    """The pieces of one word, each where its first character stands, and empty text where the others do.
 
-    Skipped are the candidates ``skips``, by their order of coming up, and those
-    whose draw under ``key`` falls below ``limit``. The agenda holds candidate merges by falling score and place. A skipped
-    candidate is gone; the same two places come up again only after one of them grew.
+    The agenda holds candidate merges by falling score and place. Skipped are those whose draw under ``key``
+    falls below ``limit``; a skipped candidate is gone, the same two places come up again only after one of them grew.
     """
-    ids, merge_of = vocabulary.ids, vocabulary.merges.get
+    merge_of = vocabulary.merges.get
     text, n = list(part), len(part)
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    agenda, marks = [], []
+    agenda = []
     for i in range(n - 1):
         merge = merge_of(part[i:i + 2])
         if merge:
             agenda.append((merge[0], i, i + 1, merge))
     heapify(agenda)
     while agenda:
-        _, i, j, (_, mark, both) = heappop(agenda)
+        _, i, j, (_, merged, both) = heappop(agenda)
         cut = len(text[i])
         if after[i] != j or not cut or cut + len(text[j]) != len(both):
             continue  # one side has merged with another neighbour since
-        # _mark and draw, written out: this is the innermost step
-        mark = (mark ^ (cut * 0x9E3779B1 + i * 0x85EBCA6B)) & _MASK
-        marks.append(mark)
-        if skips and len(marks) - 1 in skips:
+        if draw(key, merged, cut, i) < limit:
             continue
-        if limit:
-            h = ((mark ^ key) * 0x2C1B3C6D) & _MASK
-            h = ((h ^ (h >> 15)) * 0x297A2D39) & _MASK
-            if h ^ (h >> 16) < limit:
-                continue
         text[i], text[j] = both, ""
         after[i] = k = after[j]
         if k < n:
@@ -154,32 +149,84 @@ def _agenda(part: str, vocabulary: Vocabulary, skips: tuple[int, ...], key: int
             merge = merge_of(text[p] + both)
             if merge:
                 heappush(agenda, (merge[0], p, i, merge))
-    out = []
-    for t in text:
-        if t in ids:
-            out.append(ids[t])
-        elif t:
-            out += [vocabulary.bytes_[b] for b in t.encode("utf-8", "surrogatepass")]
-    return marks, out
+    return text
 
 
 def encode_part(part: str, vocabulary: Vocabulary, key: int, dropout: float) -> list[int]:
     """Piece ids of one part of a text, each candidate skipped when its draw under ``key`` falls below ``dropout``."""
-    return _agenda(part, vocabulary, (), key, int(dropout * (_MASK + 1)))[1]
-
-
-def _spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Places start, start + 1, ... of each run, one run after another."""
-    lengths = lengths.astype(np.int64)
-    return np.repeat(starts - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+    out = []
+    for t in _agenda(part, vocabulary, key, int(dropout * (_MASK + 1))):
+        if t in vocabulary.ids:
+            out.append(vocabulary.ids[t])
+        elif t:
+            out += [vocabulary.bytes_[b] for b in t.encode("utf-8", "surrogatepass")]
+    return out
+
+
+class _Pairs:
+    """Values of pairs of small numbers, looked up many at a time by open addressing."""
+
+    def __init__(self, left: np.ndarray, right: np.ndarray, values: np.ndarray):
+        self.bits = np.uint64(64 - max(4, int(4 * len(values)).bit_length()))
+        size = 1 << (64 - int(self.bits))
+        self.pairs, self.values, self.last = np.full(size, -1, np.int64), np.full(size, -1, np.int32), size - 1
+        pairs = left.astype(np.int64) << 32 | right.astype(np.int64)
+        at = self._slots(pairs)
+        while len(pairs):
+            free = np.flatnonzero(self.pairs[at] < 0)
+            slots, first = np.unique(at[free], return_index=True)
+            self.pairs[slots], self.values[slots] = pairs[free[first]], values[free[first]]
+            rest = np.ones(len(pairs), bool)
+            rest[free[first]] = False
+            pairs, values, at = pairs[rest], values[rest], (at[rest] + 1) & self.last
+
+    def _slots(self, pairs: np.ndarray) -> np.ndarray:
+        mixed = (pairs ^ pairs >> 15).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return (mixed >> self.bits).astype(np.int64)
+
+    def __call__(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The value of each pair, -1 where it has none."""
+        pairs = left.astype(np.int64) << 32 | right.astype(np.int64)
+        at = self._slots(pairs)
+        held = self.pairs[at]
+        out = np.where(held == pairs, self.values[at], np.int32(-1))
+        todo = np.flatnonzero((held != pairs) & (held >= 0))
+        while len(todo):
+            at = (at if len(at) == len(todo) else at[todo]) + 1 & self.last
+            held, mine = self.pairs[at], pairs[todo]
+            hit = held == mine
+            out[todo[hit]] = self.values[at[hit]]
+            more = ~hit & (held >= 0)
+            todo, at = todo[more], at[more]
+        return out
 
 
-def _take(values: array, at: np.ndarray) -> np.ndarray:
-    return np.frombuffer(values, dtype=values.typecode)[at]
+class _Tables:
+    """What a vocabulary says of its symbols: its pieces and the characters in them, by number."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        symbols = [*vocabulary.ids, *sorted({c for p in vocabulary.ids for c in p} - set(vocabulary.ids))]
+        self.number = number = {s: i for i, s in enumerate(symbols)}
+        self.other = len(symbols)  # a character of no piece, or a space mark that stands in the text
+        merges = [vocabulary.merges[s] for s in vocabulary.ids]
+        self.rank = np.unique([m[0] for m in merges], return_inverse=True)[1].astype(np.int32)
+        self.hash = np.array([m[1] for m in merges], np.uint32)
+        self.length = np.array([*map(len, symbols), 1], np.uint32)
+        self.piece = np.array([*vocabulary.ids.values(), *[-1] * (self.other + 1 - len(merges))], np.int32)
+        self.bytes_ = np.array(vocabulary.bytes_, np.int32)
+        self.symbol = np.full(0x110000, self.other, np.int32)  # by code point
+        for s, i in number.items():
+            if len(s) == 1:
+                self.symbol[ord(s)] = i
+        self.alnum = np.fromiter((chr(c).isalnum() for c in range(0x110000)), bool, 0x110000)
+        splits = [(number[s[:i]], number[s[i:]], number[s]) for s in vocabulary.ids for i in range(1, len(s)) if s[:i] in number and s[i:] in number]
+        self.merged = _Pairs(*np.array(splits, np.int32).reshape(-1, 3).T)
+        joins = np.array([(number[j[0]], number[j[1]], 1) for j in vocabulary.joins], np.int32)
+        self.joined = _Pairs(*joins.reshape(-1, 3).T)
 
 
 class Encoder:
-    """Encodes texts with one vocabulary, seed and dropout; keeps the courses of words it has met.
+    """Encodes texts with one vocabulary, seed and dropout.
 
     variants: documents' keys are taken modulo this, if given.
     """
@@ -187,71 +234,7 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary, seed: int, dropout: float, variants: int | None = None):
         self.vocabulary, self.dropout, self.variants = vocabulary, dropout, variants
         self.seed = (crc32(str(seed).encode()) * 0x9E3779B97F4A7C15 + 1) & _MASK64
-        self._forget()
-
-    def _forget(self) -> None:
-        self.met: dict[str, int] = {}  # part: entry
-        self.units: dict[str, int] = {}  # unit of a part: its first course
-        self.first, self.many = array("i"), array("i")  # entry: where its courses stand in roots, and how many
-        self.roots = array("i", [0])
-        self.words: dict[int, str] = {}  # first course of a unit: the unit
-        self.chars = 0
-        # Course: its candidates, its pieces, the course and skips that it came from.
-        self.at, self.size, self.out_at, self.out_size = array("i"), array("i"), array("i"), array("i")
-        self.root, self.skips, self.base, self.direct = [], [], [], array("b")
-        # Candidate: its mark, and the course when it is skipped (-1: not run yet).
-        self.mark, self.child = array("I", [0]), array("i", [-1])
-        self.out = array("H", [0])
-        # A space mark in the text itself is spelled in bytes, so that it is not taken for a space.
-        self._entry("", [self._add(-1, (), 0, [], [self.vocabulary.bytes_[b] for b in SPACE.encode()])])
-
-    def _add(self, root: int, skips: tuple[int, ...], base: int, marks: list[int], ids: list[int], direct: bool = False) -> int:
-        """A new course, ``root`` its unit's first (-1: itself), ``skips`` the ordinals of what is skipped, ``base`` that of its first candidate."""
-        course = len(self.at)
-        self.at.append(len(self.mark))
-        self.size.append(len(marks))
-        self.out_at.append(len(self.out))
-        self.out_size.append(len(ids))
-        self.mark.extend(marks)
-        self.child.extend([-1] * len(marks))
-        self.out.extend(ids)
-        self.root.append(course if root < 0 else root)
-        self.skips.append(skips)
-        self.base.append(base)
-        self.direct.append(direct)
-        return course
-
-    def _run(self, unit: str, root: int, skips: tuple[int, ...]) -> int:
-        """The course of a unit in which just the candidates ``skips`` are skipped, by their order of coming up."""
-        marks, ids = _agenda(unit, self.vocabulary, skips)
-        base = skips[-1] + 1 if skips else 0
-        return self._add(root, skips, base, marks[base:], ids)
-
-    def _entry(self, part: str, courses: list[int]) -> int:
-        entry = len(self.first)
-        self.first.append(len(self.roots))
-        self.many.append(len(courses))
-        self.roots.extend(courses)
-        if len(part) <= 64:
-            self.met[part] = entry
-        self.chars += len(part)
-        return entry
-
-    def _enter(self, part: str) -> int:
-        """The entry of a part that may not have been met. Words before punctuation are met again without it."""
-        entry = self.met.get(part)
-        if entry is not None:
-            return entry
-        courses = []
-        for unit in [part] if part[-1].isalnum() and len(part) <= LENGTH else self.vocabulary.cut(part):
-            course = self.units.get(unit)
-            if course is None:
-                far = len(unit) > LENGTH and self.dropout > 0
-                course = self.units[unit] = self._add(-1, (), 0, [], [], True) if far else self._run(unit, -1, ())
-                self.words[course] = unit
-                self.chars += len(unit)
-            courses.append(course)
-        return self._entry(part, courses)
+        self.tables = vocabulary.tables
 
     def __call__(self, text: str, variant: int) -> np.ndarray:
         return self.many_texts([text], [variant])[0]
@@ -272,71 +255,110 @@ class Encoder:
             out += ([""] if k else []) + _PARTS.findall(("" if k else SPACE) + part.replace(" ", SPACE))
         return out
 
+    def words(self, code: np.ndarray, symbol: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Where the words of texts begin: their ``parts``, cut where no merge can cross unless short and of letters at the end."""
+        alone, space = (code == 10) | (code == ord(SPACE)), code == 32
+        start = alone | space
+        start[1:] &= alone[1:] | ~space[:-1]
+        start[1:] |= alone[:-1]
+        start[bounds[:-1][np.diff(bounds) > 0]] = True
+        first = np.flatnonzero(start)
+        size = np.diff(first, append=len(code))
+        whole = (size <= LENGTH) & self.tables.alnum[code[first + size - 1]]
+        inner = np.flatnonzero(~np.repeat(whole, size) & ~start)
+        start[inner[self.tables.joined(symbol[inner - 1], symbol[inner]) < 0]] = True
+        return np.flatnonzero(start)
+
     def many_texts(self, texts: list[str], variants: list[int]) -> list[np.ndarray]:
-        if len(self.at) > CACHE or self.chars > KEPT_CHARS:
-            self._forget()
-        entries, ends = array("i"), [0]
-        for text in texts:
-            parts = self.parts(text)
-            found = list(map(self.met.get, parts))
-            if None in found:
-                found = [self._enter(p) if e is None else e for p, e in zip(parts, found)]
-            entries.extend(found)
-            ends.append(len(entries))
-        if not entries:
-            return [np.zeros(0, np.uint16) for _ in texts]
-        entry = np.frombuffer(entries, np.int32)
-        many = _take(self.many, entry)
-        course = _take(self.roots, _spread(_take(self.first, entry), many))
-        ends = np.concatenate(([0], np.cumsum(many)))[ends]
-        own: dict[int, list[int]] = {}
-        if self.dropout > 0:
-            variant = np.array(variants, np.int64) % self.variants if self.variants else np.array(variants, np.int64)
-            each = np.diff(ends)
-            key = self.keys(np.repeat(variant, each), np.arange(len(course)) - np.repeat(ends[:-1], each))
-            own = self._drop(course, key)
-        start, length = _take(self.out_at, course).astype(np.int64), _take(self.out_size, course)
-        out = np.frombuffer(self.out, np.uint16)
-        if own:
-            which = np.fromiter(own, np.int64, len(own))
-            sizes = np.array([len(x) for x in own.values()])
-            start[which], length[which] = len(out) + np.cumsum(sizes) - sizes, sizes
-            out = np.concatenate((out, np.array([i for x in own.values() for i in x], np.uint16)))
-        flat = out[_spread(start, length)]
-        bounds = np.concatenate(([0], np.cumsum(length, dtype=np.int64)))[ends]
-        return [flat[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
-
-    def _drop(self, course: np.ndarray, key: np.ndarray) -> dict[int, list[int]]:
-        """Moves each word (in place) to the course that its draws choose; pieces of those with no course kept are returned by place."""
-        limit, own = int(self.dropout * (_MASK + 1)), {}
-
-        def alone(places: np.ndarray) -> None:
-            for i, c, k in zip(places.tolist(), course[places].tolist(), key[places].tolist()):
-                own[i] = encode_part(self.words[self.root[c]], self.vocabulary, k, self.dropout)
-
-        direct = _take(self.direct, course) > 0
-        alone(np.flatnonzero(direct))
-        active = np.flatnonzero(~direct)
-        for depth in range(DEPTH + 1):
-            now = course[active]
-            size = _take(self.size, now)
-            slots, whose = _spread(_take(self.at, now), size), np.repeat(active, size)
-            hits = np.flatnonzero(_draws(_take(self.mark, slots) ^ key[whose]).astype(np.int64) < limit)
-            active, which = np.unique(whose[hits], return_index=True)
-            if depth == DEPTH:
-                alone(active)
-                return own
-            slots = slots[hits[which]]
-            new = np.unique(slots[_take(self.child, slots) < 0])
-            # Candidates stand in the order of their courses.
-            homes = np.searchsorted(np.array(self.at), new, side="right") - 1
-            for slot, home in zip(new.tolist(), homes.tolist()):
-                root, ordinal = self.root[home], self.base[home] + slot - self.at[home]
-                # Set after the run, which makes the array of children longer.
-                child = self._run(self.words[root], root, (*self.skips[home], ordinal))
-                self.child[slot] = child
-            course[active] = _take(self.child, slots)
-        return own
+        """Piece ids of each text, which gets one space put before it."""
+        bounds = np.concatenate(([0], np.cumsum([len(t) + 1 if t else 0 for t in texts], dtype=np.int64)))
+        if not bounds[-1]:
+            return [np.zeros(0, np.int32) for _ in texts]
+        code = np.frombuffer("".join([" " + t for t in texts if t]).encode("utf-32-le", "surrogatepass"), np.uint32)
+        symbol = self.tables.symbol[code]
+        symbol[code == 32], symbol[code == ord(SPACE)] = self.tables.symbol[ord(SPACE)], self.tables.other
+        first = self.words(code, symbol, bounds)
+        size = np.diff(first, append=len(code))
+        ends = np.searchsorted(first, bounds)
+        variant = np.array(variants, np.int64) % self.variants if self.variants else np.array(variants, np.int64)
+        key = self.keys(np.repeat(variant, np.diff(ends)), np.arange(len(first)) - np.repeat(ends[:-1], np.diff(ends)))
+        width = np.searchsorted(WIDTHS, size)
+        order = np.argsort(width, kind="stable")
+        each = np.bincount(width, minlength=len(WIDTHS) + 1)
+        at = np.cumsum(each) - each
+        for w, rows in enumerate(WIDTHS.tolist()):
+            if rows > 1:
+                step = max(1, CACHE // rows)
+                for a in range(at[w], at[w] + each[w], step):
+                    some = order[a:min(a + step, at[w] + each[w])]
+                    self._lay_out(symbol, first[some], size[some], key[some], rows)
+        for u in order[at[-1]:].tolist():
+            a, b = first[u], first[u] + size[u]
+            word = "".join(map(chr, code[a:b].tolist())).replace(" ", SPACE)
+            symbol[a:b] = [self.tables.number.get(t, self.tables.other) if t else -1 for t in _agenda(word, self.vocabulary, int(key[u]), int(self.dropout * (_MASK + 1)))]
+        stands = np.flatnonzero(symbol >= 0)
+        ids = self.tables.piece[symbol[stands]]
+        # What is no piece is a single character, spelled in bytes.
+        spelled = np.flatnonzero(ids < 0)
+        codes = code[stands[spelled]]
+        codes[codes == 32] = ord(SPACE)
+        many = np.ones(len(ids), np.int64)
+        many[spelled] = 1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000)
+        flat = np.repeat(ids, many)
+        flat[flat < 0] = self.tables.bytes_[np.frombuffer(codes.tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass"), np.uint8)]
+        cuts = np.concatenate(([0], np.cumsum(many)))[np.searchsorted(stands, bounds)]
+        return [flat[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
+
+    def _lay_out(self, symbol: np.ndarray, first: np.ndarray, size: np.ndarray, key: np.ndarray, rows: int) -> None:
+        """Merges words of at most ``rows`` characters, in place; -1 where a character has gone into a piece before it."""
+        row = np.arange(rows)[:, None]
+        places, inside = first + row, row < size
+        columns = symbol[np.minimum(places, len(symbol) - 1)]
+        columns[~inside] = self.tables.other
+        done = self._merge(columns, key)
+        symbol[places[inside]] = done[inside]
+
+    def _merge(self, columns: np.ndarray, key: np.ndarray) -> np.ndarray:
+        """``_agenda`` of many words at once, a column each: a step takes the best candidate of every word."""
+        (rows, n), none, limit = columns.shape, np.iinfo(np.int32).max, int(self.dropout * (_MASK + 1))
+        # The last row stands for what lies before and after a word.
+        text = np.concatenate((columns, np.full((1, n), self.tables.other, np.int32)))
+        after = np.repeat(np.arange(1, rows + 2, dtype=np.int8)[:, None], n, 1)
+        before = np.repeat(np.array([rows, *range(rows)], np.int8)[:, None], n, 1)
+        both = np.full((rows + 1, n), -1, np.int32)
+        both[:rows - 1] = self.tables.merged(text[:rows - 1].ravel(), text[1:rows].ravel()).reshape(rows - 1, n)
+        # A candidate's order: its score, then its place.
+        order = np.where(both >= 0, self.tables.rank[both] << 6 | np.arange(rows + 1, dtype=np.int32)[:, None], none)
+        out, column = columns, np.arange(n)
+        while True:
+            best = order[:rows - 1].min(axis=0)
+            live = np.flatnonzero(best != none)
+            if len(live) * 2 < n:
+                out[:, column] = text[:rows]
+                if not len(live):
+                    return out
+                column, key, best, n = column[live], key[live], best[live], len(live)
+                text, after, before, both, order = (x.take(live, axis=1) for x in (text, after, before, both, order))
+                live = np.arange(n)
+            place = best[live] & 63
+            i = place.astype(np.int64) * n + live
+            j = after.ravel()[i].astype(np.int64) * n + live
+            new = both.ravel()[i]
+            # _mark, of many
+            mark = self.tables.hash[new] ^ (self.tables.length[text.ravel()[i]] * np.uint32(0x9E3779B1) + place.astype(np.uint32) * np.uint32(0x85EBCA6B))
+            order.ravel()[i] = none
+            if limit:
+                kept = np.flatnonzero(_draws(mark ^ key[live]).astype(np.int64) >= limit)
+                i, j, live, place, new = i[kept], j[kept], live[kept], place[kept], new[kept]
+            text.ravel()[i], text.ravel()[j], order.ravel()[j] = new, -1, none
+            next_, last = after.ravel()[j], before.ravel()[i].astype(np.int32)
+            after.ravel()[i] = next_
+            k, p = next_.astype(np.int64) * n + live, last.astype(np.int64) * n + live
+            before.ravel()[k] = place
+            for at, left, right, where in ((i, new, text.ravel()[k], place), (p, text.ravel()[p], new, last)):
+                found = self.tables.merged(left, right)
+                both.ravel()[at] = found
+                order.ravel()[at] = np.where(found >= 0, self.tables.rank[found] << 6 | where, none)
 
 
 def decode(ids, vocabulary: Vocabulary) -> bytes:
@@ -350,7 +372,7 @@ _kept: dict[tuple, Encoder] = {}
 
 
 def _encoder(vocabulary: Vocabulary, seed: int, dropout: float, variants: int | None) -> Encoder:
-    """The encoder of this process, whose words later tasks find again; another setting replaces it."""
+    """The encoder of this process, whose tables later tasks find again; another setting replaces it."""
     key = (seed, dropout, variants)
     if key not in _kept or _kept[key].vocabulary.ids != vocabulary.ids:
         _kept.clear()

@@ -92,3 +92,32 @@ def test_every_occurrence_has_its_own_draws(spark):
     one = pieces.Encoder(VOCABULARY, 0, pieces.DROPOUT)
     cuts = {tuple(pieces.encode_part(word, VOCABULARY, k, pieces.DROPOUT)) for k in one.keys(np.full(2000, 5), np.arange(2000)).tolist()}
     assert len(cuts) > 12 and one("yesterday " * 2000, 5).tolist().count(plain[0]) < 2000
+
+
+def test_words_are_not_run_one_by_one(monkeypatch):
+    """Three thousand different words, many of them with skips: only those beyond the widest array have an agenda of their own."""
+    calls, alone = [], pieces._agenda
+    monkeypatch.setattr(pieces, "_agenda", lambda *a: calls.append(a[0]) or alone(*a))
+    rng = random.Random(3)
+    text = " ".join("".join(rng.choices("etaoinshr", k=rng.randint(2, 20))) for _ in range(3000)) + " " + "in" * 40 + "!"
+    coded = pieces.Encoder(VOCABULARY, 0, pieces.DROPOUT)(text, 7)
+    assert pieces.decode(coded.tolist(), VOCABULARY) == text.encode()
+    assert len(calls) <= 3 and all(len(c) > pieces.WIDTHS[-1] for c in calls)
+
+
+def test_words_of_every_width(monkeypatch):
+    """Arrays of all widths, words beyond them, and blocks of a few words give what each word's agenda gives."""
+    rng = random.Random(4)
+    text = "\n".join(" " * rng.randint(0, 3) + "".join(rng.choices("interaon", k=k)) + rng.choice(["", ".", "▁", "日"]) for k in range(1, 90) for _ in range(4))
+    for dropout in (0.0, 0.1, 0.6):
+        encoder = pieces.Encoder(VOCABULARY, 1, dropout)
+        units = []
+        for part in encoder.parts(text):
+            units += [part] if not part or (part[-1].isalnum() and len(part) <= pieces.LENGTH) else VOCABULARY.cut(part)
+        keys = encoder.keys(np.full(len(units), 5), np.arange(len(units))).tolist()
+        mark = [VOCABULARY.bytes_[b] for b in pieces.SPACE.encode()]
+        want = [i for u, k in zip(units, keys) for i in (pieces.encode_part(u, VOCABULARY, k, dropout) if u else mark)]
+        assert encoder(text, 5).tolist() == want
+        monkeypatch.setattr(pieces, "CACHE", 100)
+        assert [x.tolist() for x in encoder.many_texts(["", text, "", "a"], [0, 5, 1, 2])][:3] == [[], want, []]
+        monkeypatch.undo()
