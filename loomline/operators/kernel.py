@@ -180,8 +180,8 @@ def kernel_covariance_blocks(
 
     Assets are hashed into ``n_blocks`` blocks; each block meets the shock vectors
     in a cogroup, so no side is broadcast and a group holds at most the calendar
-    times the assets of one block. Choose ``n_blocks`` near the number of assets
-    divided by 64.
+    times the assets of one block. The shock vectors are sent once a block: choose
+    ``n_blocks`` near the number of assets divided by 256.
     """
     block = F.pmod(F.xxhash64("asset"), F.lit(n_blocks))
     days = calendar.select("date", "period_id", "back")

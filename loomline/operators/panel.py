@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomline.functions.columns import dot, safe_divisor
+from loomline.functions.session import materialise
 
 
 def build_panel(cov: DataFrame, period_rets: DataFrame, burn_in: int = 12, min_assets: int = 20) -> DataFrame:
@@ -14,15 +15,19 @@ def build_panel(cov: DataFrame, period_rets: DataFrame, burn_in: int = 12, min_a
     Instruments of period j meet returns of period j + 1 by position, also across
     a calendar gap. Rows need a return and every instrument; periods with fewer
     than ``min_assets`` rows are dropped and the rest renumbered from zero.
+
+    The joined rows are written once. Counting a period's rows reads none of the
+    instruments, and the numbers, one row a period, are broadcast, so the arrays
+    are made once and shuffled for the join only.
     """
     lagged = cov.where(F.col("period_id") >= burn_in).select(
         (F.col("period_id") + 1).alias("period_id"), "asset", F.concat(F.array(F.lit(1.0)), "cov").alias("x")
     )
     rows = lagged.join(period_rets.select("period_id", "asset", "period_end", F.col("ret").alias("y")), ["period_id", "asset"])
-    rows = rows.where("y IS NOT NULL")
+    rows = materialise(rows.where("y IS NOT NULL"), "panel")
     sizes = rows.groupBy("period_id").agg(F.count("*").alias("n")).where(F.col("n") >= min_assets)
     numbered = sizes.select("period_id", (F.row_number().over(Window.orderBy("period_id")) - 1).alias("t_idx"))
-    return rows.join(numbered, "period_id").select("t_idx", F.col("period_end").alias("period"), "asset", "y", "x")
+    return rows.join(F.broadcast(numbered), "period_id").select("t_idx", F.col("period_end").alias("period"), "asset", "y", "x")
 
 
 def keep_periods(panel: DataFrame, condition) -> DataFrame:

@@ -58,7 +58,7 @@ def covariances(returns, shock_rows, calendar, topics: list[str], cfg: kernel.Ke
     if len(topics) <= WIDE and kernel.rescaling_is_safe(n_periods, cfg):
         return kernel.pack_topics(kernel.kernel_covariance(returns, shock_rows, calendar, len(topics), cfg), topics)
     n_assets = returns.agg(F.approx_count_distinct("asset")).first()[0]
-    return kernel.kernel_covariance_blocks(returns, shock_rows, calendar, topics, cfg, max(8, n_assets // 64 + 1))
+    return kernel.kernel_covariance_blocks(returns, shock_rows, calendar, topics, cfg, max(8, n_assets // 256 + 1))
 
 
 def build(attention: DataFrame, returns: DataFrame, cfg: StudyConfig, risk_free: DataFrame | None = None, extra_shocks=None):
@@ -74,9 +74,7 @@ def build(attention: DataFrame, returns: DataFrame, cfg: StudyConfig, risk_free:
 def assemble(rets, shock_rows, cal, topics: list[str], cfg: StudyConfig):
     """Covariances, panel and moments of one set of shocks."""
     cov = covariances(rets, shock_rows, cal, topics, cfg.kernel)
-    rows = materialise(
-        panel.build_panel(cov, align.period_returns(rets, cal, cfg.accumulate), cfg.kernel.burn_in, cfg.min_assets), "panel"
-    )
+    rows = panel.build_panel(cov, align.period_returns(rets, cal, cfg.accumulate), cfg.kernel.burn_in, cfg.min_assets)
     return rets, shock_rows, cal, topics, rows, moments.period_moments(rows)
 
 
