@@ -118,3 +118,19 @@ def test_moments_with_one_dominant_period(spark):
         rows = x[t == k]
         assert held.s[held.t_idx == k][0] == pytest.approx(rows.T @ rows, rel=1e-11)
         assert held.m2[held.t_idx == k][0] == pytest.approx(((rows - rows.mean(0)) ** 2).sum(0), rel=1e-10)
+
+
+def test_panel_rows_are_made_once_and_not_moved_again(spark, capsys):
+    """Covariances are not computed again to count a period's rows, and numbering the periods moves no instruments."""
+    from datetime import date
+
+    from loomline.operators import panel
+
+    cov = spark.createDataFrame([(p, f"a{i}", [0.1 * p, 1.0 * i]) for p in range(4) for i in range(3)], "period_id int, asset string, cov array<double>")
+    rets = spark.createDataFrame([(p, f"a{i}", date(2020, 1, p + 1), 0.5 * i) for p in range(5) for i in range(3)], "period_id int, asset string, period_end date, ret double")
+    rows = panel.build_panel(cov, rets, 1, 2)
+    rows.explain()
+    plan = capsys.readouterr().out
+    assert rows.inputFiles() and "SortMergeJoin" not in plan
+    got = sorted((r["t_idx"], r["period"].day, r["asset"], r["y"], tuple(r["x"])) for r in rows.collect())
+    assert got == sorted((p - 1, p + 2, f"a{i}", 0.5 * i, (1.0, 0.1 * p, 1.0 * i)) for p in range(1, 4) for i in range(3))
